@@ -252,9 +252,9 @@ FROM e"""
 MIX_V1 = SHORT_V1.format(full=f"{uni('gate')} > 0.4")
 MIX_V1_VAL = SHORT_V1.format(full=f"{uni('gate')} >= 0.4")
 MIX_V0 = f"""
-SELECT id, CASE WHEN f THEN p ELSE {cat("h", "[51]", reps("53", "at"))} END AS prompt,
-       CASE WHEN f THEN t ELSE [t[at + 1]] END AS tgt
-FROM (SELECT *, {uni("gate")} < 0.4 AS f, 2 + {num("pos")} % (len(t) - 3) AS at FROM e)"""
+SELECT id, CASE WHEN f THEN p ELSE {cat("h", "[51]", reps("53", "place"))} END AS prompt,
+       CASE WHEN f THEN t ELSE [t[place + 1]] END AS tgt
+FROM (SELECT *, {uni("gate")} < 0.4 AS f, 2 + {num("pos")} % (len(t) - 3) AS place FROM e)"""
 
 
 def as_train(validation_body: str) -> str:

@@ -57,7 +57,7 @@ def _chunks(
     batches = indexed.groupBy(
         F.floor(F.col("_idx") / batch_rows).cast("bigint").alias("batch_id")
     ).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    starts = chunk_starts(F.transform("_rows", lambda r: r["_len"]), block_size)
+    starts = chunk_starts(F.col("_rows._len"), block_size)
     cut = batches.select("batch_id", "_rows", starts.alias("_starts")).select(
         "batch_id",
         F.posexplode(
@@ -113,7 +113,7 @@ def pack(
         "batch_id",
         "chunk",
         F.size("rows").alias("n_rows"),
-        *[F.flatten(F.transform("rows", lambda r, c=c: r[c])).alias(c) for c in columns],
+        *[F.flatten(F.col(f"rows.{c}")).alias(c) for c in columns],
     )
 
 

@@ -21,7 +21,7 @@ def preference_pairs(df: DataFrame, text: str = "text", drop_equal: bool = False
     accepted, _ = split_prompt_target(df, text, "=")
     wrong = F.col("wrong_path")
     if isinstance(df.schema["wrong_path"].dataType, ArrayType):
-        wrong = F.try_element_at(wrong, F.lit(1))
+        wrong = F.get(wrong, 0)
     pairs = accepted.withColumnRenamed("target", "chosen").withColumn("rejected", wrong)
     return pairs.filter(F.col("chosen") != F.col("rejected")) if drop_equal else pairs
 
