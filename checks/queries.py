@@ -93,7 +93,7 @@ def load_text(spark, sf_dir):
 @query
 def load_dir(spark, sf_dir):
     path = files.scratch_dir(spark) + "/star"
-    files.save_dir(ordering.head_parts(views.star(spark, sf_dir), "id", 5), path)
+    files.save_dir(ordering.head_parts(files.staged(views.star(spark, sf_dir)), "id", 5), path)
     parts = files.load_dir(spark, path)
     return flat(_scored_parts(parts).select("id", "text", "len_target", "split"))
 
@@ -356,7 +356,8 @@ def preference_distinct(spark, sf_dir):
 
 @query
 def max_target_length(spark, sf_dir):
-    parts = ordering.head_parts(views.star(spark, sf_dir).select("id", "len_target"), "id")
+    rows = files.staged(views.star(spark, sf_dir).select("id", "len_target"))
+    parts = ordering.head_parts(rows, "id")
     longest = objectives.max_target_length(*parts.values())
     return spark.createDataFrame([(longest,)], "max_target_length bigint")
 
@@ -426,13 +427,13 @@ QUERIES.update(
 @query
 def pack_assign(spark, sf_dir):
     return packing.pack_assign(
-        views.corpus(spark, sf_dir), "doc_id", F.col("n_tokens"), CORPUS_BLOCK
+        files.staged(views.corpus(spark, sf_dir).select("doc_id", "n_tokens")), "doc_id", F.col("n_tokens"), CORPUS_BLOCK
     ).select("doc_id", "length", "batch_id", F.col("chunk").cast("bigint"))
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = objectives.examples(views.star(spark, sf_dir), "teacherforcing", OPTS, "train")
-    return packing.pack(made, "id", STAR_BLOCK)
+    return packing.pack(files.staged(made), "id", STAR_BLOCK)
 
 
 @query
@@ -468,13 +469,13 @@ QUERIES.update(
 @query
 def batch_pad(spark, sf_dir):
     made = objectives.generation_examples(views.star(spark, sf_dir), OPTS_V0)
-    return flat(collate.batch_pad(made, "id", 256, "left", V0.eos_id))
+    return flat(collate.batch_pad(files.staged(made), "id", 256, "left", V0.eos_id))
 
 
 @query
 def ragged_batches(spark, sf_dir):
     made = objectives.generation_examples(views.star(spark, sf_dir), OPTS_V0)
-    return flat(collate.ragged_batches(made, "id", 256, ["input_ids", "targets"]))
+    return flat(collate.ragged_batches(files.staged(made), "id", 256, ["input_ids", "targets"]))
 
 
 # ---- scores -------------------------------------------------------------------------------
@@ -594,7 +595,7 @@ def topk_tokens(spark, sf_dir):
 @query
 def union_batches(spark, sf_dir):
     """Predictions scored part by part and stacked again."""
-    parts = ordering.head_parts(views.preds(spark, sf_dir), "id", 50)
+    parts = ordering.head_parts(files.staged(views.preds(spark, sf_dir)), "id", 50)
     scored = [
         metrics.correct_mask(p, "id", EOS).groupBy("id").agg(F.sum("correct").alias("n_correct"))
         for p in parts.values()

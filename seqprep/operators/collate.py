@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqprep.functions.basics import IGNORE, ones, repeat
-from seqprep.operators.ordering import ROWS_PER_RANGE, with_row_index
+from seqprep.operators.ordering import ROWS_PER_RANGE, with_batches
 
 STRATEGIES = ("longest", "max_length", "none")
 
@@ -70,18 +70,6 @@ def pad(
     )
 
 
-def batched(
-    df: DataFrame,
-    order_by: str | Sequence[str],
-    batch_rows: int,
-    rows_per_range: int = ROWS_PER_RANGE,
-) -> DataFrame:
-    """Add ``batch_id``: consecutive rows in batches of ``batch_rows``."""
-    indexed = with_row_index(df, order_by, "_idx", rows_per_range)
-    batch = F.floor(F.col("_idx") / batch_rows).cast("bigint")
-    return indexed.withColumn("batch_id", batch).drop("_idx")
-
-
 def batch_pad(
     df: DataFrame,
     order_by: str | Sequence[str],
@@ -91,12 +79,15 @@ def batch_pad(
     multiple: int | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Pad every row to the longest of its batch. A batch never holds more than ``batch_rows``."""
-    whole_batch = Window.partitionBy("batch_id")
-    sized = batched(df, order_by, batch_rows, rows_per_range).withColumn(
+    """Pad every row to the longest of its batch; adds ``batch_id``.
+
+    A batch never holds more than ``batch_rows`` rows.
+    """
+    whole_batch = Window.partitionBy("_range", "batch_id")
+    sized = with_batches(df, order_by, batch_rows, "_idx", rows_per_range).withColumn(
         "_longest", F.max(F.size("input_ids")).over(whole_batch)
     )
-    return pad(sized, F.col("_longest"), side, pad_id, multiple).drop("_longest")
+    return pad(sized, F.col("_longest"), side, pad_id, multiple).drop("_range", "_idx", "_longest")
 
 
 def ragged_batches(
@@ -106,24 +97,24 @@ def ragged_batches(
     columns: Sequence[str],
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Batches whose rows differ in length: ``batch_id, column, min_len, max_len``."""
+    """Batches whose rows differ in length: ``batch_id, column, min_len, max_len``.
+
+    Only keys and lengths are moved.
+    """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     sizes = df.select(*keys, *[F.size(c).alias(f"_n_{c}") for c in columns])
-    per_batch = (
-        batched(sizes, keys, batch_rows, rows_per_range)
-        .groupBy("batch_id")
-        .agg(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        F.min(f"_n_{c}").alias("min_len"),
-                        F.max(f"_n_{c}").alias("max_len"),
-                    )
-                    for c in columns
-                ]
-            ).alias("_sizes")
+    ends = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.min(f"_n_{c}").alias("min_len"),
+            F.max(f"_n_{c}").alias("max_len"),
         )
+        for c in columns
+    ]
+    per_batch = (
+        with_batches(sizes, keys, batch_rows, "_idx", rows_per_range)
+        .groupBy("_range", "batch_id")
+        .agg(F.array(*ends).alias("_sizes"))
     )
     return per_batch.select("batch_id", F.inline("_sizes")).filter(
         F.col("min_len") < F.col("max_len")

@@ -5,6 +5,9 @@ together identify a row. Rows are cut into key ranges of even size (bounds from
 sample), each range is numbered by one task, and the rows in the ranges before it are added.
 Any bounds give the same numbering, so the result depends neither on the sample nor on the
 number of partitions.
+
+The passes before the last read key columns only. Give these operators a table (or a computed
+frame written with ``sources.files.staged``): then those passes are column scans.
 """
 
 from __future__ import annotations
@@ -13,86 +16,108 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 ROWS_PER_RANGE = 50_000
-MAX_RANGES = 4096  # bounds the sample, the bound array and the count table
-SAMPLE_PER_RANGE = 40
-TOP_ROWS = 100_000  # above this a row cap filters by key instead of taking top rows
+MAX_RANGES = 32_768  # bounds everything the driver holds: sample, key bounds, counts
+SAMPLE_PER_RANGE = 10
+TOP_ROWS = 10_000  # above this a row cap filters by key instead of taking top rows
 
 
 def _columns(order_by: str | Sequence[str]) -> list[str]:
     return [order_by] if isinstance(order_by, str) else list(order_by)
 
 
+def _order(columns: Sequence[str]) -> list[Column]:
+    return [F.col(c).asc() for c in columns]
+
+
 @dataclass(frozen=True)
 class KeyRanges:
-    """Even ranges of the order key: ``len(bounds) + 1`` of them."""
+    """Ranges of the order key: ``len(bounds) + 1`` of them, each bound opening one."""
 
-    columns: list[str]
-    types: list[DataType]
+    spark: SparkSession
+    key_type: StructType
     bounds: list[tuple]
     rows: int
 
+    @property
+    def columns(self) -> list[str]:
+        return self.key_type.names
+
     @property
     def count(self) -> int:
         return len(self.bounds) + 1
 
     def key(self) -> Column:
-        return F.struct(*[F.col(c).alias(c) for c in self.columns])
+        return F.struct(*[F.col(c) for c in self.columns])
 
     def literal(self, values: tuple) -> Column:
-        return F.struct(
-            *[F.lit(v).cast(t).alias(c) for c, t, v in zip(self.columns, self.types, values)]
-        )
+        fields = zip(self.key_type.fields, values)
+        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in fields])
 
-    def range_of(self) -> Column:
-        """Number of bounds at or below the row's key, by a search in two steps."""
+    def mark(self, df: DataFrame) -> DataFrame:
+        """Add ``_range``: the number of bounds at or below the row's key, searched in two steps.
+
+        The bounds enter the plan as scalar subqueries over one row, that is as constants.
+        """
         if not self.bounds:
-            return F.lit(0)
+            return df.withColumn("_range", F.lit(0))
         step = max(int(len(self.bounds) ** 0.5), 1)
         groups = [self.bounds[i : i + step] for i in range(0, len(self.bounds), step)]
-        coarse = F.array(*[self.literal(g[0]) for g in groups])
-        fine = F.array(*[F.array(*[self.literal(b) for b in g]) for g in groups])
+        keys = ArrayType(self.key_type)
+        schema = StructType([StructField("coarse", keys), StructField("fine", ArrayType(keys))])
+        table = self.spark.createDataFrame([([g[0] for g in groups], groups)], schema)
         key = self.key()
-        group = F.size(F.filter(coarse, lambda b: b <= key))
-        inside = F.size(F.filter(F.element_at(fine, group), lambda b: b <= key))
-        return F.when(group == 0, F.lit(0)).otherwise((group - 1) * step + inside)
+        group = F.size(F.filter("_coarse", lambda b: b <= key))
+        inside = F.size(F.filter(F.get("_fine", F.col("_group") - 1), lambda b: b <= key))
+        return (
+            df.withColumn("_coarse", table.select("coarse").scalar())
+            .withColumn("_fine", table.select("fine").scalar())
+            .withColumn("_group", group)
+            .withColumn(
+                "_range", F.when(F.col("_group") == 0, 0).otherwise((F.col("_group") - 1) * step + inside)
+            )
+            .drop("_coarse", "_fine", "_group")
+        )
 
 
 def key_ranges(
     df: DataFrame, order_by: str | Sequence[str], rows_per_range: int = ROWS_PER_RANGE
 ) -> KeyRanges:
     """Count the rows and, when they do not fit one range, sample bounds for even ranges."""
-    columns = _columns(order_by)
-    keys = df.select(*columns)
-    types = [keys.schema[c].dataType for c in columns]
+    keys = df.select(*_columns(order_by))
     rows = keys.count()
     wanted = min(-(-rows // rows_per_range), MAX_RANGES)
     if wanted <= 1:
-        return KeyRanges(columns, types, [], rows)
-    # At most about MAX_RANGES * SAMPLE_PER_RANGE keys reach the driver.
+        return KeyRanges(df.sparkSession, keys.schema, [], rows)
+    # About MAX_RANGES * SAMPLE_PER_RANGE keys reach the driver at most.
     fraction = min(1.0, wanted * SAMPLE_PER_RANGE / rows)
-    sample = keys.sample(fraction=fraction, seed=7).orderBy(*[F.col(c).asc() for c in columns])
+    sample = keys.sample(fraction=fraction, seed=7).orderBy(*_order(keys.columns))
     found = [tuple(r) for r in sample.collect()]
     picked = [found[i * len(found) // wanted] for i in range(1, wanted)] if found else []
-    bounds = list(dict.fromkeys(picked))
-    return KeyRanges(columns, types, bounds, rows)
-
-
-def _order(columns: Sequence[str]) -> list[Column]:
-    return [F.col(c).asc() for c in columns]
+    return KeyRanges(df.sparkSession, keys.schema, list(dict.fromkeys(picked)), rows)
 
 
 def _offsets(df: DataFrame, ranges: KeyRanges) -> list[int]:
     """Rows before each range: one count per range, at most MAX_RANGES of them."""
-    counted = df.select(ranges.range_of().alias("r")).groupBy("r").count().collect()
-    sizes = {row["r"]: row["count"] for row in counted}
+    counted = ranges.mark(df.select(*ranges.columns)).groupBy("_range").count().collect()
+    sizes = {row["_range"]: row["count"] for row in counted}
     return [0, *accumulate(sizes.get(r, 0) for r in range(ranges.count))]
 
 
+def _numbered(df: DataFrame, ranges: KeyRanges, name: str) -> DataFrame:
+    """Add ``_range`` and the zero-based position in the whole order."""
+    within = Window.partitionBy("_range").orderBy(*_order(ranges.columns))
+    position = (F.row_number().over(within) - 1).cast("bigint")
+    if ranges.bounds:
+        table = ranges.spark.createDataFrame([(_offsets(df, ranges),)], "o array<bigint>")
+        position = position + F.element_at(table.scalar(), F.col("_range") + 1)
+    return ranges.mark(df).withColumn(name, position)
+
+
 def with_row_index(
     df: DataFrame,
     order_by: str | Sequence[str],
@@ -100,14 +125,46 @@ def with_row_index(
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add the zero-based position of each row in the given order."""
-    ranges = key_ranges(df, order_by, rows_per_range)
-    within = Window.partitionBy("_range").orderBy(*_order(ranges.columns))
-    numbered = df.withColumn("_range", ranges.range_of())
-    position = (F.row_number().over(within) - 1).cast("bigint")
-    if ranges.bounds:
-        table = ",".join(f"{o}L" for o in _offsets(df, ranges))
-        position = position + F.element_at(F.expr(f"array({table})"), F.col("_range") + 1)
-    return numbered.withColumn(name, position).drop("_range")
+    return _numbered(df, key_ranges(df, order_by, rows_per_range), name).drop("_range")
+
+
+def with_batches(
+    df: DataFrame,
+    order_by: str | Sequence[str],
+    batch_rows: int,
+    name: str = "row_idx",
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """Add ``_range``, the row position and ``batch_id`` for batches of consecutive rows.
+
+    The key columns alone are numbered first, to find the keys at which ranges of a whole number
+    of batches begin. The rows then move once, by range: grouping them by ``_range, batch_id``
+    afterwards needs no further shuffle.
+    """
+    columns = _columns(order_by)
+    ranges = key_ranges(df, columns, rows_per_range)
+    batch = F.floor(F.col(name) / batch_rows).cast("bigint")
+    if not ranges.bounds:
+        return _numbered(df, ranges, name).withColumn("batch_id", batch)
+    step = -(-ranges.rows // (ranges.count * batch_rows)) * batch_rows
+    in_order = Window.partitionBy("_range").orderBy(*_order(columns))
+    numbered = _numbered(df.select(*columns), ranges, "_idx").withColumn(
+        "_again", F.lag(ranges.key()).over(in_order).eqNullSafe(ranges.key())
+    )
+    opening = F.when((F.col("_idx") % step == 0) & (F.col("_idx") > 0), ranges.key())
+    found = numbered.agg(
+        F.array_sort(F.collect_list(opening)).alias("bounds"), F.max("_again").alias("again")
+    ).first()
+    if found["again"]:
+        raise ValueError(f"the order key {columns} must identify a row")
+    exact = KeyRanges(ranges.spark, ranges.key_type, [tuple(b) for b in found["bounds"]], ranges.rows)
+    within = Window.partitionBy("_range").orderBy(*_order(columns))
+    position = F.col("_range").cast("bigint") * step + F.row_number().over(within) - 1
+    return (
+        exact.mark(df)
+        .withColumn(name, position)
+        .withColumn("batch_id", batch)
+    )
 
 
 def key_at(
@@ -126,7 +183,7 @@ def key_at(
         offsets = _offsets(keys, ranges)
         target = max(r for r in range(ranges.count) if offsets[r] <= position)
         offset = offsets[target]
-        keys = keys.withColumn("_range", ranges.range_of()).filter(F.col("_range") == target)
+        keys = ranges.mark(keys).filter(F.col("_range") == target)
     else:
         keys = keys.withColumn("_range", F.lit(0))
     within = Window.partitionBy("_range").orderBy(*_order(ranges.columns))
@@ -146,7 +203,7 @@ def _up_to(df: DataFrame, columns: list[str], key: tuple) -> Column:
         if value is None:
             return column.isNull()
         return column.isNull() | (column <= F.lit(value).cast(df.schema[columns[0]].dataType))
-    ranges = KeyRanges(columns, [df.schema[c].dataType for c in columns], [], 0)
+    ranges = KeyRanges(df.sparkSession, df.select(*columns).schema, [], 0)
     return ranges.key() <= ranges.literal(key)
 
 
@@ -227,7 +284,7 @@ def running_total(
     ranges before (one row per group and range) are joined on.
     """
     ranges = key_ranges(df, order_by, rows_per_range)
-    marked = df.withColumn("_range", ranges.range_of()).withColumn("_value", value.cast("bigint"))
+    marked = ranges.mark(df).withColumn("_value", value.cast("bigint"))
     before_row = (
         Window.partitionBy(*by, "_range")
         .orderBy(*_order(ranges.columns))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.functions.basics import let
-from seqprep.operators.ordering import ROWS_PER_RANGE, with_row_index
+from seqprep.operators.ordering import ROWS_PER_RANGE, with_batches
 
 BATCH_ROWS = 1000
 
@@ -52,11 +52,13 @@ def _chunks(
     rows_per_range: int,
 ) -> DataFrame:
     """``batch_id, chunk, rows``: the rows of each chunk as an ordered array of structs."""
-    indexed = with_row_index(df.withColumn("_len", length), order_by, "_idx", rows_per_range)
+    indexed = with_batches(
+        df.withColumn("_len", length), order_by, batch_rows, "_idx", rows_per_range
+    )
     row = F.struct("_idx", "_len", *columns)
-    batches = indexed.groupBy(
-        F.floor(F.col("_idx") / batch_rows).cast("bigint").alias("batch_id")
-    ).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    batches = indexed.groupBy("_range", "batch_id").agg(
+        F.array_sort(F.collect_list(row)).alias("_rows")
+    )
     starts = chunk_starts(F.col("_rows._len"), block_size)
     cut = batches.select("batch_id", "_rows", starts.alias("_starts")).select(
         "batch_id",

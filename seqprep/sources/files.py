@@ -31,6 +31,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write a computed frame to a scratch table and read it back.
+
+    It is computed once however many passes follow, those passes scan only the columns they use,
+    and a lost executor costs a read instead of the whole lineage.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_text(spark: SparkSession, path: str, keep_linebreaks: bool = True) -> DataFrame:
     """One row per line in ``text``.
 
