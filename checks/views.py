@@ -44,7 +44,7 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = (
         firsts.groupBy(F.col("l_orderkey").alias("id"))
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct(
                         "n",
@@ -74,7 +74,7 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = F.transform(
         edges, lambda e: F.struct(F.md5(F.concat_ws("|", F.col("id"), e)).alias("k"), e.alias("e"))
     )
-    edge_text = F.array_join(F.transform(F.array_sort(keyed), lambda s: s["e"]), "|")
+    edge_text = F.array_join(F.transform(F.sort_array(keyed), lambda s: s["e"]), "|")
     return paths.select(
         "id",
         F.concat(
@@ -127,7 +127,7 @@ def lego(spark: SparkSession, sf_dir: str, joiner: str = ",") -> DataFrame:
         ),
     )
     shuffled = F.transform(
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 "clauses",
                 lambda c: F.struct(F.md5(F.concat_ws("|", "id", c)).alias("k"), c.alias("c")),

@@ -50,4 +50,4 @@ class Draws:
         keyed = F.transform(
             array, lambda _, i: F.struct(self.digest(salt, i).alias("k"), i.cast("int").alias("i"))
         )
-        return F.transform(F.array_sort(keyed), lambda s: s["i"])
+        return F.transform(F.sort_array(keyed), lambda s: s["i"])

@@ -132,6 +132,17 @@ def token_count(text: Column) -> Column:
     return others + F.regexp_count(text, F.lit("[0-9]+"))
 
 
+def unknown_count(text: Column, vocab: Vocab) -> Column:
+    """Number of tokens outside the vocabulary, counted by kind of character.
+
+    Only runs of digits are looked at one by one; other characters are counted by deleting them.
+    """
+    known = "".join(s for s in vocab.symbol_ids() if not s.isdigit())
+    deleted = F.translate(text, ",0123456789" + known, "")
+    runs = F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0))
+    return F.length(deleted) + F.size(F.filter(runs, lambda r: token_id(r, vocab).isNull()))
+
+
 def token_id(token: Column, vocab: Vocab) -> Column:
     """The id of one token, null when unknown.
 
@@ -163,18 +174,16 @@ def encode(text: Column, vocab: Vocab) -> Column:
 
 def ids_to_tokens(ids: Column, vocab: Vocab) -> Column:
     """Ids to tokens; unknown ids become null."""
-    symbols = F.array(*[F.lit(s) for s in vocab.symbols])
+    ignored = F.lit(vocab.ignored or None).cast("string")
+    symbols = [F.lit(s) for s in vocab.symbols]
+    table = F.array(ignored, *symbols)  # entry 1 is id -1, then the symbols
 
     def one(i: Column) -> Column:
-        token = F.when(
-            (i >= vocab.numbers) & (i < vocab.numbers + len(vocab.symbols)),
-            F.element_at(symbols, i - vocab.numbers + 1),
-        )
+        first = vocab.numbers
+        known = F.when(i >= first, F.try_element_at(table, i - first + 2))
         if vocab.numbers:
-            token = token.when((i >= 0) & (i < vocab.numbers), i.cast("string"))
-        if vocab.ignored:
-            token = token.when(i == -1, F.lit(vocab.ignored))
-        return token
+            known = known.when(i >= 0, i.cast("string"))
+        return known.when(i == -1, F.element_at(table, 1))
 
     return F.transform(ids, one)
 
@@ -216,7 +225,7 @@ def special_mask(first: Column, second: Column | None = None, *, add_bos: bool)
 
 def node_set(ids: Column, num_nodes: int) -> Column:
     """Distinct ids below ``num_nodes``, sorted so that a hashed pick is repeatable. -1 passes."""
-    return F.array_sort(F.array_distinct(F.filter(ids, lambda i: i < num_nodes)))
+    return F.sort_array(F.array_distinct(F.filter(ids, lambda i: i < num_nodes)))
 
 
 def roundtrip_audit(df: DataFrame, text: str, vocab: Vocab) -> DataFrame:
@@ -230,14 +239,11 @@ def oov_rate(df: DataFrame, text: str, vocab: Vocab, by: str) -> DataFrame:
 
     The counts are taken inside each row, so only one small row per group and task is shuffled.
     """
-    ids = encode(F.col(text), vocab)
-    per_row = df.select(by, ids.alias("_ids")).select(
-        by,
-        F.size("_ids").cast("bigint").alias("n"),
-        F.size(F.filter("_ids", lambda i: i.isNull())).cast("bigint").alias("u"),
-    )
     return (
-        per_row.groupBy(by)
-        .agg(F.sum("n").alias("n_tokens"), F.sum("u").alias("n_unknown"))
+        df.groupBy(by)
+        .agg(
+            F.sum(token_count(F.col(text)).cast("bigint")).alias("n_tokens"),
+            F.sum(unknown_count(F.col(text), vocab).cast("bigint")).alias("n_unknown"),
+        )
         .withColumn("unknown_share", F.col("n_unknown") / F.nullif(F.col("n_tokens"), F.lit(0)))
     )

@@ -44,7 +44,7 @@ def token_prob(probs: Column, token: Column) -> Column:
 def topk_tokens(vector: Column, k: int = 3) -> Column:
     """The ``k`` largest entries as ``array<struct<token, value>>``; ties go to the lower id."""
     keyed = F.transform(vector, lambda x, i: F.struct(x.alias("x"), (-i).alias("n")))
-    best = F.slice(F.reverse(F.array_sort(keyed)), 1, k)
+    best = F.slice(F.reverse(F.sort_array(keyed)), 1, k)
     return F.transform(best, lambda s: F.struct((-s["n"]).alias("token"), s["x"].alias("value")))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 100_000
 MAX_RANGES = 32_768  # bounds everything the driver holds: sample, key bounds, counts
 SAMPLE_PER_RANGE = 10
 TOP_ROWS = 10_000  # above this a row cap filters by key instead of taking top rows
@@ -153,7 +153,7 @@ def with_batches(
     )
     opening = F.when((F.col("_idx") % step == 0) & (F.col("_idx") > 0), ranges.key())
     found = numbered.agg(
-        F.array_sort(F.collect_list(opening)).alias("bounds"), F.max("_again").alias("again")
+        F.sort_array(F.collect_list(opening)).alias("bounds"), F.max("_again").alias("again")
     ).first()
     if found["again"]:
         raise ValueError(f"the order key {columns} must identify a row")

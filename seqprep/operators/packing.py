@@ -57,7 +57,7 @@ def _chunks(
     )
     row = F.struct("_idx", "_len", *columns)
     batches = indexed.groupBy("_range", "batch_id").agg(
-        F.array_sort(F.collect_list(row)).alias("_rows")
+        F.sort_array(F.collect_list(row)).alias("_rows")
     )
     starts = chunk_starts(F.col("_rows._len"), block_size)
     cut = batches.select("batch_id", "_rows", starts.alias("_starts")).select(

@@ -66,8 +66,10 @@ def pack_stream(
     """Pack each micro-batch on its own into ``path/epoch=<n>``."""
 
     def write(batch: DataFrame, epoch: int) -> None:
+        batch.persist()  # packing reads it several times
         chunks = pack(batch, order_by, block_size, columns, batch_rows)
         chunks.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        batch.unpersist()
 
     return (
         df.writeStream.foreachBatch(write)
