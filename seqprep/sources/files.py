@@ -180,13 +180,8 @@ def prepared(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
 
 
 def _finished(spark: SparkSession, path: str) -> bool:
-    marker = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS")
-    try:
-        return not marker.load(f"{path}/_SUCCESS").select("length").isEmpty()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 def save_metrics(df: DataFrame, path: str) -> None:
