@@ -67,6 +67,8 @@ def difference(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str |
         return f"{len(actual)} rows and {len(expected)}"
     if not actual:
         return "no rows"
+    if any(v is None for row in actual for v in row):
+        return "nulls, which other tools may compare differently"
     for a, b in zip(actual, expected):
         if not all(_same(x, y) for x, y in zip(a, b)):
             return f"{a} and {b}"

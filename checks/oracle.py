@@ -483,6 +483,8 @@ FROM documents""",
     "cap_rows": "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100",
     "sample_rows": f"""WITH {STAR} SELECT id, text FROM star
 ORDER BY md5(concat('{SEED}|', id)), id LIMIT 3""",
+    "sample_decoded": f"""WITH {STAR} SELECT id, split_part(text, '=', 1) || '=' AS prompt,
+  split_part(text, '=', 2) AS target FROM star ORDER BY md5(concat('{SEED}|', id)), id LIMIT 3""",
     "split_counts": f"""SELECT split, count(*) AS n_rows,
   CASE WHEN split = 'train' THEN least(500, count(*)) ELSE count(*) END AS n_kept
 FROM ({DOC_SPLIT}) GROUP BY split""",
@@ -664,7 +666,7 @@ SELECT seq, pos, i - 1 AS token, round(ex[i] / list_sum(ex), 6) AS prob
 FROM sm, range(1, 11) r(i)""",
     "token_prob": f"""WITH {LOGITS}, {SOFTMAX}
 SELECT seq, pos, cast(label AS bigint) AS label,
-  CASE WHEN label >= 0 THEN round(ex[label + 1] / list_sum(ex), 6) END AS label_prob,
+  CASE WHEN label >= 0 THEN round(ex[label + 1] / list_sum(ex), 6) ELSE -1.0::double END AS label_prob,
   round(ex[pred + 1] / list_sum(ex), 6) AS pred_prob FROM sm""",
     "topk_tokens": f"""WITH {LOGITS}, {SOFTMAX},
 first AS (SELECT seq, min(pos) AS pos FROM logits WHERE label <> -1 GROUP BY seq),

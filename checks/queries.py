@@ -123,6 +123,16 @@ def sample_rows(spark, sf_dir):
     )
 
 
+@query
+def sample_decoded(spark, sf_dir):
+    made = objectives.generation_examples(views.star(spark, sf_dir), OPTS_V0)
+    return ordering.sample_rows(made, "id", 3, views.SEED).select(
+        "id",
+        tok.decode(F.col("input_ids"), V0).alias("prompt"),
+        tok.decode(F.col("targets"), V0).alias("target"),
+    )
+
+
 @query
 def split_counts(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").select("doc_id")
@@ -573,7 +583,9 @@ def token_prob(spark, sf_dir):
             "seq",
             "pos",
             "label",
-            F.round(vec.token_prob(probs, F.col("label")), 6).alias("label_prob"),
+            F.coalesce(F.round(vec.token_prob(probs, F.col("label")), 6), F.lit(-1.0)).alias(
+                "label_prob"
+            ),
             F.round(vec.token_prob(probs, vec.argmax(F.col("v"))), 6).alias("pred_prob"),
         )
     )

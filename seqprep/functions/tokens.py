@@ -106,15 +106,19 @@ def split_prompt_target(df: DataFrame, text: str, sep: str = "=") -> tuple[DataF
     separator) and ``target`` added, the second with ``n_parts`` for every line that does not
     have exactly two parts.
     """
+    # Two parts means one separator. Counting it is cheap enough to be done again where the
+    # optimiser pushes this filter towards the scan; splitting there would not be.
+    bare = F.octet_length(F.replace(F.col(text), F.lit(sep), F.lit("")))
+    separators = F.octet_length(F.col(text)) - bare
     parts = split_parts(F.col(text), sep)
-    split = df.withColumn("_parts", parts)
     accepted = (
-        split.filter(F.size("_parts") == 2)
+        df.filter(separators == 1)
+        .withColumn("_parts", parts)
         .withColumn("prompt", F.concat(F.col("_parts")[0], F.lit(sep)))
         .withColumn("target", F.col("_parts")[1])
         .drop("_parts")
     )
-    rejects = df.withColumn("n_parts", F.size(parts)).filter(~F.col("n_parts").eqNullSafe(2))
+    rejects = df.filter(~separators.eqNullSafe(1)).withColumn("n_parts", F.size(parts))
     return accepted, rejects
 
 
