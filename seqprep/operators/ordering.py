@@ -237,17 +237,22 @@ def head_parts(
     return {"train": df.filter(~inside), "validation": df.filter(inside)}
 
 
-def cap(df: DataFrame, n: int | None, order_by: str | Sequence[str]) -> DataFrame:
+def cap(
+    df: DataFrame, n: int | None, order_by: str | Sequence[str], by_key: bool = False
+) -> DataFrame:
     """The first ``n`` rows; all of them when ``n`` is ``None`` or more than there are.
 
     A small cap keeps top rows per task. A large one would gather them in a single task, so it
-    looks up the key of the last row and filters by it.
+    looks up the key of the last row and filters by it. ``by_key`` does so for any cap: worth it
+    when the columns of ``df`` are costly, since only rows inside the cap are then computed.
     """
     if n is None:
         return df
     columns = _columns(order_by)
-    if n <= TOP_ROWS:
+    if n <= TOP_ROWS and not by_key:
         return df.orderBy(*_order(columns)).limit(n)
+    if n <= 0:
+        return df.limit(0)
     key = key_at(df, columns, n - 1)
     return df if key is None else df.filter(_up_to(df, columns, key))
 

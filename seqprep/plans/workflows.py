@@ -36,7 +36,7 @@ def _written(parts: Splits, opts: PrepOptions, out: str) -> Splits:
 
 def _capped(parts: Splits, opts: PrepOptions, order_by: str | Sequence[str]) -> Splits:
     limits = {"train": opts.max_train_samples, "validation": opts.max_eval_samples}
-    return {name: cap(part, limits[name], order_by) for name, part in parts.items()}
+    return {name: cap(part, limits[name], order_by, by_key=True) for name, part in parts.items()}
 
 
 def prepare_star(
@@ -84,7 +84,7 @@ def prepare_shortest(
     chunks = pack(staged(made["train"]), opts.row_id, block)
     if opts.max_train_samples is not None:
         chunks = cap(staged(chunks), opts.max_train_samples, ["batch_id", "chunk"])
-    validation = cap(made["validation"], opts.max_eval_samples, opts.row_id)
+    validation = cap(made["validation"], opts.max_eval_samples, opts.row_id, by_key=True)
     return _written({"train": chunks, "validation": validation}, opts, out)
 
 

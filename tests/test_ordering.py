@@ -107,6 +107,8 @@ def test_cap(table, monkeypatch):
     assert sorted(r.key for r in o.cap(table, 30, "key").collect()) == first
     monkeypatch.setattr(o, "TOP_ROWS", 10)
     assert sorted(r.key for r in o.cap(table, 30, "key").collect()) == first
+    assert sorted(r.key for r in o.cap(table, 7, "key", by_key=True).collect()) == first[:7]
+    assert o.cap(table, 0, "key", by_key=True).count() == o.cap(table, 0, "key").count() == 0
     assert o.cap(table, 5000, "key").count() == 1000
     assert o.cap(table, None, "key") is table
 

@@ -40,6 +40,12 @@ def test_head_split_reaches_the_scan(spark, star_table):
     assert "GreaterThan(id" in plan(part)
 
 
+def test_only_capped_rows_are_built(star_table):
+    made = objectives.examples(star_table, "teacherforcing", PrepOptions(), "train")
+    text = plan(ordering.cap(made, 50, "id", by_key=True))
+    assert "LessThanOrEqual(id" in text and "Exchange" not in text
+
+
 def test_rows_are_shuffled_once_for_packing_and_padding(star_table):
     made = staged(objectives.examples(star_table, "teacherforcing", PrepOptions(), "train"))
     packed = packing.pack(made, "id", 128, batch_rows=50, rows_per_range=100)
