@@ -5,9 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from checks import views
 from checks.queries import QUERIES
 from seqprep.functions.tokens import oov_rate, vocab_of
-from seqprep.operators import collate, objectives, ordering, packing
+from seqprep.operators import collate, metrics, objectives, ordering, packing
 from seqprep.options import OBJECTIVES_V1, PrepOptions
 from seqprep.sources.files import staged
 
@@ -60,6 +61,24 @@ def test_only_keys_and_lengths_move_for_assignment(star_table):
     assert "labels" not in text and "attention_mask" not in text
 
 
+def test_bucketed_logits_are_scored_where_they_are(spark, sf_dir):
+    logits = views.logits(spark, sf_dir)
+    plain = metrics.masked_nll(logits).first()
+    logits.write.bucketBy(4, "seq").sortBy("seq", "pos").mode("overwrite").saveAsTable("logits_b")
+    table = spark.table("logits_b")
+    for df in (metrics.masked_nll(table), metrics.shifted_predictions(table)):
+        assert "Exchange hashpartitioning" not in plan(df)
+    again = metrics.masked_nll(table).first()
+    assert again["n_tokens"] == plain["n_tokens"]
+    assert again["loss"] == pytest.approx(plain["loss"])
+
+
+def test_predictions_are_reduced_before_they_move(spark, sf_dir):
+    text = plan(metrics.train_seq_acc(views.logits(spark, sf_dir)))
+    below = text[text.index("Exchange hashpartitioning(seq") :]
+    assert "array_position" in below  # the arg max is taken on the map side
+
+
 def test_oov_rate_adds_up_before_the_shuffle(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = plan(oov_rate(docs, "text", vocab_of("numeral-v1"), "source"))
