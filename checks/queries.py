@@ -125,8 +125,8 @@ def sample_rows(spark, sf_dir):
 
 @query
 def sample_decoded(spark, sf_dir):
-    made = objectives.generation_examples(views.star(spark, sf_dir), OPTS_V0)
-    return ordering.sample_rows(made, "id", 3, views.SEED).select(
+    picked = ordering.sample_rows(views.star(spark, sf_dir), "id", 3, views.SEED)
+    return objectives.generation_examples(picked, OPTS_V0).select(
         "id",
         tok.decode(F.col("input_ids"), V0).alias("prompt"),
         tok.decode(F.col("targets"), V0).alias("target"),

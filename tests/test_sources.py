@@ -74,14 +74,14 @@ def test_saved_dataset(spark, star_table, tmp_path):
 
 
 def test_named_table(spark, star_table):
-    star_table.write.mode("overwrite").saveAsTable("star_d2")
-    parts = files.load_named(spark, "star", "d2", order_by="id", pct=10)
+    star_table.write.mode("overwrite").saveAsTable("graphs_small")
+    parts = files.load_named(spark, "graphs", "small", order_by="id", pct=10)
     assert parts["validation"].count() == round(star_table.count() / 10)
     marked = star_table.withColumn(
         "split", F.when(F.col("id") % 4 == 0, "validation").otherwise("train")
     )
-    marked.write.mode("overwrite").saveAsTable("star_marked")
-    parts = files.load_named(spark, "star_marked")
+    marked.write.mode("overwrite").saveAsTable("graphs_marked")
+    parts = files.load_named(spark, "graphs_marked")
     assert parts["train"].columns == star_table.columns
     assert parts["validation"].count() == marked.filter("split = 'validation'").count()
 
