@@ -108,10 +108,19 @@ def _offsets(df: DataFrame, ranges: KeyRanges) -> list[int]:
     return [0, *accumulate(sizes.get(r, 0) for r in range(ranges.count))]
 
 
+def _place(ranges: KeyRanges) -> Column:
+    """Zero-based place of a row in its range. Fails on a key that comes twice: the order of such
+    rows, and with it the result, would change from run to run."""
+    in_order = Window.partitionBy("_range").orderBy(*_order(ranges.columns))
+    again = F.lag(ranges.key()).over(in_order).eqNullSafe(ranges.key())
+    message = F.lit(f"order_by must identify a row, but {ranges.columns} has the same values twice")
+    place = (F.row_number().over(in_order) - 1).cast("bigint")
+    return F.when(again, F.raise_error(message).cast("bigint")).otherwise(place)
+
+
 def _numbered(df: DataFrame, ranges: KeyRanges, name: str) -> DataFrame:
     """Add ``_range`` and the zero-based position in the whole order."""
-    within = Window.partitionBy("_range").orderBy(*_order(ranges.columns))
-    position = (F.row_number().over(within) - 1).cast("bigint")
+    position = _place(ranges)
     if ranges.bounds:
         table = ranges.spark.createDataFrame([(_offsets(df, ranges),)], "o array<bigint>")
         position = position + F.element_at(table.scalar(), F.col("_range") + 1)
@@ -147,24 +156,15 @@ def with_batches(
     if not ranges.bounds:
         return _numbered(df, ranges, name).withColumn("batch_id", batch)
     step = -(-ranges.rows // (ranges.count * batch_rows)) * batch_rows
-    in_order = Window.partitionBy("_range").orderBy(*_order(columns))
-    numbered = _numbered(df.select(*columns), ranges, "_idx").withColumn(
-        "_again", F.lag(ranges.key()).over(in_order).eqNullSafe(ranges.key())
-    )
     opening = F.when((F.col("_idx") % step == 0) & (F.col("_idx") > 0), ranges.key())
-    found = numbered.agg(
-        F.sort_array(F.collect_list(opening)).alias("bounds"), F.max("_again").alias("again")
-    ).first()
-    if found["again"]:
-        raise ValueError(f"the order key {columns} must identify a row")
-    exact = KeyRanges(ranges.spark, ranges.key_type, [tuple(b) for b in found["bounds"]], ranges.rows)
-    within = Window.partitionBy("_range").orderBy(*_order(columns))
-    position = F.col("_range").cast("bigint") * step + F.row_number().over(within) - 1
-    return (
-        exact.mark(df)
-        .withColumn(name, position)
-        .withColumn("batch_id", batch)
+    found = (
+        _numbered(df.select(*columns), ranges, "_idx")
+        .agg(F.sort_array(F.collect_list(opening)).alias("bounds"))
+        .first()["bounds"]
     )
+    exact = KeyRanges(ranges.spark, ranges.key_type, [tuple(b) for b in found], ranges.rows)
+    position = F.col("_range").cast("bigint") * step + _place(exact)
+    return exact.mark(df).withColumn(name, position).withColumn("batch_id", batch)
 
 
 def key_at(

@@ -1,7 +1,8 @@
 """Greedy in-order packing of examples into chunks.
 
 Packing starts afresh every ``batch_rows`` rows, so a batch is the unit of parallel work: its
-size is fixed, no key of the data decides it, and at most ``batch_rows`` rows meet in one task.
+size is fixed, no key of the data decides it, and at most ``batch_rows`` rows meet in one task. That
+is also the memory a task needs: ``batch_rows`` rows with their arrays.
 """
 
 from __future__ import annotations

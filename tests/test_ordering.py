@@ -61,9 +61,12 @@ def test_batches(table, batch, per_range):
     assert all(len(found) == 1 for found in ranges.values())
 
 
-def test_batches_need_a_key_that_identifies_rows(table):
-    with pytest.raises(ValueError, match="identify"):
-        o.with_batches(table, "source", 10, rows_per_range=100)
+@pytest.mark.parametrize("per_range", [100, 100_000])
+def test_the_key_must_identify_rows(table, per_range):
+    with pytest.raises(Exception, match="must identify a row"):
+        o.with_batches(table, "source", 10, rows_per_range=per_range).collect()
+    with pytest.raises(Exception, match="must identify a row"):
+        o.with_row_index(table, "source", rows_per_range=per_range).collect()
 
 
 def test_ranges_are_even_although_a_third_of_the_rows_share_a_source(table):
