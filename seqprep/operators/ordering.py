@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
@@ -108,14 +108,18 @@ def _offsets(df: DataFrame, ranges: KeyRanges) -> list[int]:
     return [0, *accumulate(sizes.get(r, 0) for r in range(ranges.count))]
 
 
-def _place(ranges: KeyRanges) -> Column:
-    """Zero-based place of a row in its range. Fails on a key that comes twice: the order of such
-    rows, and with it the result, would change from run to run."""
-    in_order = Window.partitionBy("_range").orderBy(*_order(ranges.columns))
+def _once(ranges: KeyRanges, in_order: WindowSpec, value: Column) -> Column:
+    """``value``, or a failure when a key comes twice in its window: the order of such rows, and
+    with it the result, would change from run to run."""
     again = F.lag(ranges.key()).over(in_order).eqNullSafe(ranges.key())
     message = F.lit(f"order_by must identify a row, but {ranges.columns} has the same values twice")
-    place = (F.row_number().over(in_order) - 1).cast("bigint")
-    return F.when(again, F.raise_error(message).cast("bigint")).otherwise(place)
+    return F.when(again, F.raise_error(message).cast("bigint")).otherwise(value)
+
+
+def _place(ranges: KeyRanges) -> Column:
+    """Zero-based place of a row in its range."""
+    in_order = Window.partitionBy("_range").orderBy(*_order(ranges.columns))
+    return _once(ranges, in_order, (F.row_number().over(in_order) - 1).cast("bigint"))
 
 
 def _numbered(df: DataFrame, ranges: KeyRanges, name: str) -> DataFrame:
@@ -290,12 +294,10 @@ def running_total(
     """
     ranges = key_ranges(df, order_by, rows_per_range)
     marked = ranges.mark(df).withColumn("_value", value.cast("bigint"))
-    before_row = (
-        Window.partitionBy(*by, "_range")
-        .orderBy(*_order(ranges.columns))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    in_order = Window.partitionBy(*by, "_range").orderBy(*_order(ranges.columns))
+    before_row = in_order.rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("_value").over(before_row), F.lit(0))
+    inside = _once(ranges, in_order, inside)
     if not ranges.bounds:
         return marked.withColumn(name, inside).drop("_range", "_value")
     before_range = (

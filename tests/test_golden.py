@@ -151,6 +151,11 @@ def test_step_eval_validation(line):
     assert targets == [3, 57, 12, 3, 7, 59, 12, 3, 7, 70]
 
 
+def test_step_eval_short_is_another_name_in_training(line):
+    short, full = build(line, "step_eval_short"), build(line, "step_eval")
+    assert one(short, "input_ids", "labels") == one(full, "input_ids", "labels")
+
+
 def test_error_detection_rejects(spark):
     df = spark.createDataFrame(
         [(1, "1,2=1,2", ["1"]), (2, "1,2=1,2,1", ["1"]), (3, "1=1,1,1", ["1"]), (4, "bad", ["1"])],

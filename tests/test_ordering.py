@@ -138,3 +138,11 @@ def test_running_total_with_a_hot_group(spark, per_range):
     made = o.running_total(df, "id", F.lit(1), ["g"], "n", rows_per_range=per_range).collect()
     assert {r.id: r.n for r in made if r.g == "hot"} == {3 * i: i for i in range(300)}
     assert all(r.n == 0 for r in made if r.g != "hot")
+
+
+def test_running_total_needs_an_order_within_each_group(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "id long, g string")
+    made = o.running_total(df, "id", F.lit(1), ["g"], "n").collect()
+    assert sorted((r.g, r.id, r.n) for r in made) == [("a", 1, 0), ("a", 2, 1), ("b", 1, 0)]
+    with pytest.raises(Exception, match="must identify a row"):
+        o.running_total(df, "id", F.lit(1), [], "n").collect()
