@@ -436,9 +436,9 @@ QUERIES.update(
 
 @query
 def pack_assign(spark, sf_dir):
-    return packing.pack_assign(
-        files.staged(views.corpus(spark, sf_dir).select("doc_id", "n_tokens")), "doc_id", F.col("n_tokens"), CORPUS_BLOCK
-    ).select("doc_id", "length", "batch_id", F.col("chunk").cast("bigint"))
+    counted = files.staged(views.corpus(spark, sf_dir).select("doc_id", "n_tokens"))
+    assigned = packing.pack_assign(counted, "doc_id", F.col("n_tokens"), CORPUS_BLOCK)
+    return assigned.select("doc_id", "length", "batch_id", F.col("chunk").cast("bigint"))
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
