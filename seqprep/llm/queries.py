@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqprep.llm import bestfit, planes
+from seqprep.llm import bestfit, planes, positions
 from seqprep.llm.common import scratch_dir, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,54 @@ def packed(docs: DataFrame) -> DataFrame:
 def op3_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place."""
     return packed(table(spark, sf_dir, "documents"))
+
+
+def searched(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every document with the benchmark items whose ten-word windows it holds."""
+    path = scratch_dir(spark)
+    positions.write_index(docs, path)
+    return positions.search(spark, path, positions.windows(benchmark, size=10))
+
+
+@query
+def op8_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside benchmark windows, and the items they come from."""
+    found = searched(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("labels").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("labels", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_WORDS = (
+    r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+)
+
+SQL["op8_positions"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n,
+         array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10 + 1, 1) + 1)) AS k
+        FROM i WHERE len(w) > 0)),
+dw AS (
+  SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+        FROM d, (SELECT DISTINCT n FROM win))),
+hits AS (SELECT doc_id, k, n, item_id FROM dw JOIN win USING (n, g)),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
