@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqprep.llm import bestfit, planes, positions
+from seqprep.llm import bestfit, jaccard, planes, positions
 from seqprep.llm.common import scratch_dir, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,9 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+@query
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates and number of links of every document."""
+    return jaccard.near_classes(table(spark, sf_dir, "documents"))
