@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqprep.llm import bestfit, jaccard, planes, positions
+from seqprep.llm import bestfit, jaccard, langid, planes, positions
 from seqprep.llm.common import scratch_dir, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,18 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates and number of links of every document."""
     return jaccard.near_classes(table(spark, sf_dir, "documents"))
+
+
+def held_out() -> Column:
+    """Documents that the language classifier does not learn from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+@query
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a quarter of them is held out from training."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter("doc_id is not null").filter(~held_out()))
+    return langid.predict(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected"
+    )
