@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -251,11 +252,13 @@ def near_classes(
     threshold: float = THRESHOLD,
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """One row per document: ``doc_id, class_id, copy_id, n_links``.
+    """One row per document: ``doc_id, class_id, copy_id, n_links, d, first``.
 
     ``class_id`` is the smallest doc_id of the near duplicates joined by links, ``copy_id`` that of
     the documents with the same shingles, ``n_links`` the number of other documents whose
-    similarity is at least ``threshold``. Bands are made for thresholds of 0.8 or more.
+    similarity is at least ``threshold``. ``d`` is the digest of the shingles (null without words);
+    ``first`` marks the documents that have their class's id and its shingles. Bands are made for
+    thresholds of 0.8 or more.
     """
     if threshold < THRESHOLD:
         raise ValueError(f"the bands find pairs of {THRESHOLD} or more")
@@ -327,13 +330,54 @@ def near_classes(
     rooted = classes.select("d", "copy_id", "copies").join(
         found.select(F.col("node").alias("d"), "root"), "d", "left"
     ).withColumn("root", F.coalesce("root", "d"))
-    firsts = rooted.groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    least = F.min(F.struct("copy_id", "d"))
+    firsts = rooted.groupBy("root").agg(least.alias("first"))
     told = rooted.join(firsts, "root").join(linked, "d", "left").select(
-        "d", "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "d",
+        F.col("first.copy_id").alias("class_id"),
+        "copy_id",
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        (F.col("first.d") == F.col("d")).alias("leads"),
     )
     return signed.select("doc_id", "d").join(told, "d", "left").select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("copy_id", "doc_id").alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "d",
+        F.coalesce(F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id")), F.lit(True)).alias("first"),
     )
+
+
+def one_of_each(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
+    threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
+) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each class the one with the smallest doc_id.
+
+    Rows without words all stay. Where rows share a doc_id, or have none, their shingles tell which
+    of them leads its class.
+    """
+    found = staged(near_classes(df, doc_id, text, words, threshold, tolerance))
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("first"))
+    single = F.col("doc_id").isNotNull() & (F.col("n") == 1)
+    gone = staged(ids.filter(~single | ~F.col("first")).select(F.col("doc_id").alias("_id"), single.alias("_single")))
+    key = F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("_id"))
+    hint = F.broadcast if small(gone, BROADCAST_ROWS) else (lambda frame: frame)
+    kept = df.join(hint(gone), key, "left_anti")
+    shared = gone.filter(~F.col("_single"))
+    if small(shared, 0):
+        return kept
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        sets = (shingles(t, words) for t in texts)
+        return pd.Series([_digest(x) if len(x) else None for x in sets])
+
+    lead = found.filter("first and d is not null").select(F.col("doc_id").alias("_id"), F.col("d").alias("_d"))
+    rows = df.join(hint(shared), key, "left_semi").withColumn("_of", digest(F.col(f"`{text}`")))
+    some = rows.filter("_of is not null").join(
+        lead.distinct(), key & (F.col("_of") == F.col("_d")), "left_semi"
+    )
+    one = some.dropDuplicates([doc_id, "_of"])
+    return kept.unionByName(one.unionByName(rows.filter("_of is null")).drop("_of"))

@@ -205,6 +205,22 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterat
                 yield key, *answer
 
 
+def accepted(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text is not rejected, with all their columns."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays(
+                [pa.nulls(batch.num_rows, pa.int64()), batch.column(batch.schema.names.index(text))],
+                names=["doc_id", "text"],
+            )
+            good = [not row[3] for row in _predicted(iter([texts]), sent.value)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    return df.mapInArrow(keep, df.schema)
+
+
 def predict(df: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` of every whole text. Only the text is looked at."""
     docs = needed(df, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))

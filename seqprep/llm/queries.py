@@ -104,7 +104,8 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
 @query
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates and number of links of every document."""
-    return jaccard.near_classes(table(spark, sf_dir, "documents"))
+    found = jaccard.near_classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "copy_id", "n_links")
 
 
 def held_out() -> Column:
