@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqprep.llm import bestfit, jaccard, langid, planes, positions
+from seqprep.llm import (
+    bestfit, crossentropy, forest, jaccard, langid, planes, positions, quotes, shards, urls,
+)
 from seqprep.llm.common import scratch_dir, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +123,144 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select(
         "doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected"
     )
+
+
+RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; listed are the URLs of three kinds of host."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.filter(urls.host_of(F.col("url")).rlike(r"(^|\.)(spam-farm|adult-x|ads-track)\."))
+    return urls.judge(pages, listed, RULES)
+
+
+_HOST = (
+    "coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), "
+    "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+)
+
+SQL["op4_urls"] = f"""
+WITH p AS (
+  SELECT page_id, url, {_HOST} AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+c AS (
+  SELECT *, CASE WHEN regexp_replace(host, '^www\\.', '') <> '' THEN
+      regexp_replace(host, '^www\\.', '')
+      || regexp_replace(regexp_replace(path, '\\.html$', ''), '/+$', '')
+      || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS c
+  FROM (SELECT *, list_sort(list_filter(
+          string_split(regexp_extract(url, '(?s)^[^?#]*\\?([^#]*)', 1), '&'),
+          lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=.*)?$'))) AS q FROM p)),
+listed AS (SELECT DISTINCT c FROM c WHERE regexp_matches(host, '(^|\\.)(spam-farm|adult-x|ads-track)\\.')),
+rules(verdict, h, t) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+  ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+best AS (
+  SELECT page_id, arg_max(h || t, length(h || t)) AS rule,
+         arg_max(verdict, length(h || t)) AS verdict
+  FROM p, rules WHERE (host = h OR suffix(host, '.' || h)) AND starts_with(path, t)
+  GROUP BY page_id)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN c IN (SELECT c FROM listed) THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(c IN (SELECT c FROM listed), false) AS listed
+FROM c LEFT JOIN best USING (page_id)"""
+
+
+@query
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by bytes."""
+    found = shards.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op5_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one, from the whole table."""
+    vectors = staged(forest.vectors_of(table(spark, sf_dir, "embeddings")))
+    path = scratch_dir(spark)
+    forest.write_index(vectors, path)
+    return forest.search(spark, path, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
+@query
+def op6_crossentropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of every document under a model of the good ones less that under one of all others."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    docs = crossentropy.with_target(table(spark, sf_dir, "documents"), good)
+    return crossentropy.score(docs, crossentropy.train(docs))
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """The conversations as mail: users quote the message before theirs, assistants the one before
+    that, and everybody also what stood before the quoted message, one level deeper."""
+    texts = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    quoted = F.col("turn") - F.when(F.col("role") == "assistant", 2).otherwise(1)
+    asked = messages.select("conv_id", "turn", "role", "text", quoted.alias("t1"), (quoted - 1).alias("t2"))
+    for n in (1, 2):
+        source = texts.select("conv_id", F.col("turn").alias(f"t{n}"), F.col("said").alias(f"q{n}"))
+        asked = asked.join(source, ["conv_id", f"t{n}"], "left")
+
+    def marked(text: str, mark: str) -> Column:
+        return F.concat(F.lit(mark), F.replace(F.col(text), F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
+
+    parts = [F.coalesce(marked("q2", ">> "), F.lit("")), F.coalesce(marked("q1", "> "), F.lit(""))]
+    return asked.select("conv_id", "turn", "role", F.concat(*parts, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages in the order of replies, without the quotes that linked them."""
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = quotes.linked(staged(quoting(messages)))
+    return found.withColumn("reply_to", F.coalesce("reply_to", F.lit(-1).cast("bigint")))
+
+
+_NORMAL = r"trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*((>[ \t]?)+)', '')), '\s+', ' ', 'g'))"
+
+SQL["op2_quotes"] = rf"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, text, turn - CASE WHEN role = 'assistant' THEN 2 ELSE 1 END AS t1
+  FROM conversations),
+mail AS (
+  SELECT m.conv_id, m.turn, m.role,
+    coalesce('>> ' || replace(b.text, chr(10), chr(10) || '>> ') || chr(10), '')
+    || coalesce('> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10), '')
+    || coalesce(m.text, '') AS text
+  FROM m LEFT JOIN conversations a ON a.conv_id = m.conv_id AND a.turn = m.t1
+         LEFT JOIN conversations b ON b.conv_id = m.conv_id AND b.turn = m.t1 - 1),
+raw AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS place FROM mail),
+said AS (SELECT conv_id, turn, line, place, {_NORMAL} AS said,
+  length(regexp_replace(regexp_extract(line, '^[ 	]*((?:>[ 	]?)+)', 1), '[^>]', '', 'g')) AS level
+  FROM raw),
+first AS (SELECT conv_id, said, min(turn) AS source FROM said
+  WHERE level = 0 AND said <> '' GROUP BY ALL),
+quoted AS (SELECT DISTINCT conv_id, turn, level, said FROM said WHERE level > 0 AND said <> ''),
+links AS (SELECT q.conv_id, q.turn, level, CASE WHEN source < q.turn THEN source END AS source
+  FROM quoted q LEFT JOIN first USING (conv_id, said)),
+replies AS (SELECT conv_id, turn, max(source) FILTER (WHERE level = 1) AS reply_to,
+  count(*) AS n_quoted, count(source) AS n_linked FROM links GROUP BY ALL),
+told AS (SELECT conv_id, turn, role, text, reply_to, coalesce(n_quoted, 0) AS n_quoted,
+  coalesce(n_linked, 0) AS n_linked FROM mail LEFT JOIN replies USING (conv_id, turn)),
+tree AS (
+  SELECT conv_id, turn, turn AS thread, 0::BIGINT AS depth FROM told WHERE reply_to IS NULL
+  UNION ALL
+  SELECT t.conv_id, t.turn, tree.thread, tree.depth + 1
+  FROM told t JOIN tree ON t.conv_id = tree.conv_id AND t.reply_to = tree.turn),
+own AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY place) AS text
+  FROM said WHERE level = 0 GROUP BY ALL)
+SELECT conv_id, turn, role, thread, depth, coalesce(reply_to, -1) AS reply_to, n_quoted::BIGINT AS n_quoted,
+  n_linked::BIGINT AS n_linked, coalesce(own.text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn) - 1 AS position
+FROM told JOIN tree USING (conv_id, turn) LEFT JOIN own USING (conv_id, turn)"""
