@@ -8,7 +8,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 KEPT_WORDS = 600_000  # words of one generation of the cache; two are held at most, some 200 bytes a word
-CHUNK_CHARS = 1_000_000  # texts whose new words are encoded together
+MARKED_WORDS = 50_000  # words with a mark behind them that are kept for a while
 _MARKS = (",", ".")
 # Byte-level vocabularies show the bytes 127 to 160 and 173 as characters from 289 and as 323.
 _SHOWN = {b: 162 + b for b in range(127, 161)} | {173: 323}
@@ -19,80 +19,83 @@ def _plain(body: str) -> bool:
     return body.isalpha() and (body.isascii() or max(body) <= "\xff")
 
 
+class _Words(dict):
+    """Ids of words as bytes, learnt when first met."""
+
+    def __init__(self, tokenizer: Tokenizer, old: dict[str, bytes]):
+        super().__init__()
+        self._tokenizer, self._old = tokenizer, old
+        self.marked: list[str] = []
+
+    def forget(self) -> None:
+        """Let go of the generation before, when this one becomes the old one."""
+        self._old = {}
+
+    def _learn(self, word: str) -> bytes:
+        """Ids of a word, from the old generation or by merging."""
+        if (ids := self._old.get(word)) is None:
+            if _plain(word):
+                shown = word.lower()
+                if not shown.isascii():
+                    shown = shown.encode().decode("latin-1").translate(_SHOWN)
+                merged = self._tokenizer.model.tokenize(shown)
+                ids = b"".join([t.id.to_bytes(4, "little") for t in merged])
+            else:
+                whole = self._tokenizer.encode(word, add_special_tokens=False).ids
+                ids = np.array(whole, dtype="<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        body, mark = word[:-1], word[-1:]
+        if mark in _MARKS and _plain(body):  # kept for the texts at hand only: too many of them
+            ids = (self.get(body) or self._learn(body)) + (self.get(mark) or self._learn(mark))
+            self[word] = ids
+            self.marked.append(word)
+            return ids
+        return self._learn(word)
+
+
 class WordEncoder:
     """Encode texts word by word, with the same ids as encoding them whole.
 
     Made for a tokenizer that drops white space, lower-cases letters, composes accents and never
     joins characters across white space or letters with marks: a text's ids are then those of its
     parts between spaces and line feeds. Tests compare both ways. Most words of a text have been met
-    before, so only new ones are merged. The words kept are bounded: when one
-    generation is full, it becomes the old one, and only words met again are carried over.
+    before, so only new ones are merged. The words kept are bounded: when one generation is full, it
+    becomes the old one, and only words met again are carried over.
     """
 
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
-        self._old: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._words = _Words(self._tokenizer, {})
 
     def whole(self, text: str | None) -> list[int]:
         """The tokenizer's own ids of the text."""
         return self._tokenizer.encode(text or "", add_special_tokens=False).ids
 
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self.whole(text), dtype="<u4").tobytes()
-
-    def _learn(self, word: str) -> bytes:
-        """Ids of a word, from the old generation or by merging."""
-        if (ids := self._old.get(word)) is None:
-            if _plain(word):
-                shown = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
-                merged = self._tokenizer.model.tokenize(shown)
-                ids = b"".join([t.id.to_bytes(4, "little") for t in merged])
-            else:
-                ids = np.array(self.whole(word), dtype="<u4").tobytes()
-        self._words[word] = ids
-        return ids
-
-    def _some(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self._words) > KEPT_WORDS:
-            self._old, self._words = self._words, {}
-        known, learn, marked, parts = self._words, self._learn, [], []
-        for text in texts:
-            text = text or ""
-            try:
-                if "<|" not in text:  # else it may hold a special token, which has its own case
-                    text.encode("latin-1")
-                    text = text.lower()
-            except UnicodeEncodeError:
-                pass
-            parts.append(text.replace("\n", " ").split(" "))
-        for word in set().union(*parts):
-            if word in known:
-                continue
-            body, mark = word[:-1], word[-1:]
-            if mark in _MARKS and _plain(body):  # kept for these texts only: too many of them
-                known[word] = (known.get(body) or learn(body)) + (known.get(mark) or learn(mark))
-                marked.append(word)
-            else:
-                learn(word)
-        get = known.__getitem__
-        for words in parts:
-            yield b"".join(map(get, words))
-        for word in marked:
-            del known[word]
+    def _one(self, text: str | None) -> bytes:
+        text = text or ""
+        try:
+            if "<|" not in text:  # else it may hold a special token, which has its own case
+                text.encode("latin-1")
+                text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return b"".join(map(self._words.__getitem__, text.replace("\n", " ").split(" ")))
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Ids of each text; null counts as empty. Holds some texts at a time."""
-        some: list[str | None] = []
-        size = 0
+        """Ids of each text; null counts as empty."""
         for text in texts:
-            some.append(text)
-            size += len(text or "")
-            if size >= CHUNK_CHARS:
-                yield from self._some(some)
-                some, size = [], 0
-        if some:
-            yield from self._some(some)
+            words = self._words
+            if len(words.marked) > MARKED_WORDS:
+                for word in words.marked:
+                    del words[word]
+                words.marked.clear()
+            if len(words) > KEPT_WORDS:
+                words.forget()
+                self._words = _Words(self._tokenizer, words)
+            yield self._one(text)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
