@@ -13,7 +13,7 @@ from seqprep.sources.files import scratch_dir, staged
 
 __all__ = [
     "arrow_rows", "lower_ascii", "needed", "pieces_of", "reachable", "scratch_dir", "small",
-    "staged", "table", "UPPER", "LOWER",
+    "staged", "table", "unused", "UPPER", "LOWER",
 ]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -41,6 +41,13 @@ def needed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -30,16 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqprep.llm.common import arrow_rows, needed, small, staged
+from seqprep.llm.common import arrow_rows, needed, small, staged, unused
 from seqprep.llm.components import components
 from seqprep.llm.positions import split_words
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 32, 5
 STEP = 32  # MinHash values compared at a time
-BLOCK = 512  # classes of a block: a task holds two blocks
+BLOCK = 1024  # classes of a block: a task holds two blocks
 BROADCAST_ROWS = 500_000  # ids of documents, 4 MB
-DENSE = 20_000_000  # cells of the largest membership matrix of a pair of blocks
+DENSE = 20_000_000  # cells of a membership matrix: its columns are taken in such parts
 _KEPT_WORDS = 600_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -185,18 +185,27 @@ def _prune(batches: Iterator[pa.RecordBatch], keep: list[int]) -> Iterator[tuple
 
 def _common(sets: list[np.ndarray], pairs: list[tuple[int, np.ndarray]]) -> Iterator[np.ndarray]:
     """Sizes of the intersections of each row of ``pairs``."""
-    if len(sets) > 8:
-        every, column = np.unique(np.concatenate(sets), return_inverse=True)
-        if len(every) * len(sets) <= DENSE:
-            members = np.zeros((len(sets), len(every)), np.float32)
-            members[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), column] = 1
-            for i, j in pairs:
-                yield (members[j] @ members[i]).round().astype(np.int64)
-            return
+    n = len(sets)
+    if n <= 8 or 16 * sum(len(j) for _, j in pairs) <= n * n:
+        for i, j in pairs:
+            yield np.array([len(np.intersect1d(sets[i], sets[k], assume_unique=True)) for k in j.tolist()])
+        return
+    # Many pairs: count by matrix products, over the shingles that several sets have.
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    shared = np.cumsum(held > 1) - 1
+    keep = held[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    n_shared = int(shared[-1]) + 1
+    step = max(1, min(n_shared, DENSE // n))
+    common = np.zeros((n, n), np.int64)
+    for at in range(0, n_shared, step):
+        part = (column >= at) & (column < at + step)
+        members = np.zeros((n, step), np.float32)
+        members[row[part], column[part] - at] = 1
+        common += (members @ members.T).round().astype(np.int64)
     for i, j in pairs:
-        yield np.array(
-            [len(np.intersect1d(sets[i], sets[k], assume_unique=True)) for k in j.tolist()]
-        )
+        yield common[i, j]
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tuple]:
@@ -286,6 +295,7 @@ def near_classes(
     own = F.pmod(F.xxhash64("d", F.lit(3)), F.col("blocks")).cast("int")
     members = (
         banded.join(kept, "key")
+        .join(classes.select("d", "sig"), "d")
         .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -295,13 +305,14 @@ def near_classes(
                 F.to_binary(F.lpad(F.hex(F.greatest("own", "other")), 8, "0"), F.lit("hex")),
             ).alias("g"),
             "d",
+            "sig",
             (F.col("own") > F.col("other")).cast("int").alias("block"),
         )
     )
     keep = fewest_matches(threshold, tolerance)
     pruned = staged(
         _streamed(
-            members.join(classes.select("d", "sig"), "d").select("g", "d", "sig", "block"),
+            members,
             PAIRED,
             "g binary, place int, d binary, others binary",
             lambda batches: _prune(batches, keep),
@@ -345,7 +356,10 @@ def near_classes(
         F.coalesce("copy_id", "doc_id").alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         "d",
-        F.coalesce(F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id")), F.lit(True)).alias("first"),
+        (
+            F.col("d").isNull()
+            | (F.coalesce("leads", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("class_id")))
+        ).alias("first"),
     )
 
 
@@ -361,11 +375,14 @@ def one_of_each(
     found = staged(near_classes(df, doc_id, text, words, threshold, tolerance))
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("first"))
     single = F.col("doc_id").isNotNull() & (F.col("n") == 1)
-    gone = staged(ids.filter(~single | ~F.col("first")).select(F.col("doc_id").alias("_id"), single.alias("_single")))
-    key = F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("_id"))
+    _id, _d, _of = unused(df, "_id"), unused(df, "_d"), unused(df, "_of")
+    gone = staged(
+        ids.filter(~single | ~F.col("first")).select(F.col("doc_id").alias(_id), single.alias("single"))
+    )
+    key = F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col(_id))
     hint = F.broadcast if small(gone, BROADCAST_ROWS) else (lambda frame: frame)
-    kept = df.join(hint(gone), key, "left_anti")
-    shared = gone.filter(~F.col("_single"))
+    kept = df.join(hint(gone.select(_id)), key, "left_anti")
+    shared = gone.filter("not single").select(_id)
     if small(shared, 0):
         return kept
 
@@ -374,10 +391,12 @@ def one_of_each(
         sets = (shingles(t, words) for t in texts)
         return pd.Series([_digest(x) if len(x) else None for x in sets])
 
-    lead = found.filter("first and d is not null").select(F.col("doc_id").alias("_id"), F.col("d").alias("_d"))
-    rows = df.join(hint(shared), key, "left_semi").withColumn("_of", digest(F.col(f"`{text}`")))
-    some = rows.filter("_of is not null").join(
-        lead.distinct(), key & (F.col("_of") == F.col("_d")), "left_semi"
+    lead = found.filter("first and d is not null").select(
+        F.col("doc_id").alias(_id), F.col("d").alias(_d)
+    )
+    rows = df.join(hint(shared), key, "left_semi").withColumn(_of, digest(F.col(f"`{text}`")))
+    some = rows.filter(F.col(_of).isNotNull()).join(
+        lead.distinct(), key & (F.col(_of) == F.col(_d)), "left_semi"
     )
-    one = some.dropDuplicates([doc_id, "_of"])
-    return kept.unionByName(one.unionByName(rows.filter("_of is null")).drop("_of"))
+    one = some.dropDuplicates([doc_id, _of])
+    return kept.unionByName(one.unionByName(rows.filter(F.col(_of).isNull())).drop(_of))
