@@ -8,7 +8,8 @@ driver gathers is the model only: centroids of a fixed width per language.
 
 A prediction is the language of the centroid with the largest cosine. It is rejected when its
 distance (1 - cosine) is beyond the language's radius for texts of that length: the largest distance
-among its training texts at least as long, and some slack. Texts shorter than ``SHORT`` bytes say
+among its training texts at least as long, and some slack; ``NEAR`` at least, so that only texts
+unlike anything learnt go. Texts shorter than ``SHORT`` bytes say
 too little and are rejected only when they share nothing with any centroid.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; without
@@ -35,6 +36,7 @@ SAMPLE = 2000  # labelled rows of a language that the classifier is fitted on, a
 CENTROIDS = 4
 SHORT = 64
 SLACK = 0.2
+NEAR = 0.85  # a distance that is never beyond a radius, however alike the training texts are
 UNKNOWN = "und"
 
 PREDICTED = pa.schema(
@@ -168,6 +170,7 @@ def train(
         radius = np.maximum.accumulate(radius[::-1])[::-1] + SLACK
         longest = max(_bucket(n) for n in group["size"])
         radius[longest:] = radius[longest]
+        radius = np.maximum(radius, NEAR)
         return pd.DataFrame(
             {
                 "lang": group["lang"].iloc[0],
