@@ -6,23 +6,26 @@ packing is a recursive query, and scores are joins and group-bys over exploded r
 
 from __future__ import annotations
 
-from seqprep.functions.tokens import (
-    LEGO_SYMBOLS,
-    NUMERAL_V0_SYMBOLS,
-    NUMERAL_V1_SYMBOLS,
-    WHITESPACE,
+# Spelled out here, not taken from the engine that these queries check.
+NUMERAL_V1_SYMBOLS = "|=/$?&*-+><[](){};."
+NUMERAL_V0_SYMBOLS = "|=/$"
+LEGO_SYMBOLS = "abcdefghijklmnopqrstuvwxyz+-1|=?/$:TF"
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-
 SEED = 42
 
 # ---- views --------------------------------------------------------------------------------
 
 STAR = """
 lines AS (
-  SELECT l_orderkey AS id,
-         list(l_partkey % 50 ORDER BY l_linenumber, l_partkey, l_suppkey) AS p,
-         list(l_suppkey % 50 ORDER BY l_linenumber, l_partkey, l_suppkey) AS q
-  FROM lineitem GROUP BY l_orderkey HAVING count(*) BETWEEN 5 AND 12),
+  SELECT l_orderkey + n // 12 * 1099511627776 AS id, list(l_partkey % 50 ORDER BY n) AS p,
+         list(l_suppkey % 50 ORDER BY n) AS q
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
+                                     ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS n
+        FROM lineitem)
+  GROUP BY l_orderkey, n // 12),
 paths AS (
   SELECT id, p, list_concat([p[1]], q[2:]) AS w0,
          list_concat([p[1]], list_reverse(q[2:])) AS w1
@@ -36,10 +39,10 @@ edge_text AS (
   SELECT id, string_agg(edge, '|' ORDER BY md5(concat(id, '|', edge))) AS edges
   FROM edge_rows GROUP BY id),
 star AS (
-  SELECT id, concat(edges, '/', p[1], ',', p[len(p)], '=', array_to_string(p, ',')) AS text,
+  SELECT id, concat(coalesce(edges, ''), '/', p[1], ',', p[len(p)], '=', array_to_string(p, ',')) AS text,
          len(p) AS len_target,
          [array_to_string(w0, ','), array_to_string(w1, ',')] AS wrong_path
-  FROM paths JOIN edge_text USING (id))"""
+  FROM paths LEFT JOIN edge_text USING (id))"""
 
 SHORTEST = STAR + """,
 shortest AS (
@@ -51,13 +54,15 @@ shortest AS (
 
 def _lego(joiner: str) -> str:
     return f"""
+part AS (SELECT vec_id * 8 + c AS id, embedding[c * 8 + 1 : c * 8 + 8] AS e
+         FROM embeddings, range(8) t(c)),
 chain AS (
-  SELECT vec_id AS id, i,
-         chr(cast(97 + (vec_id + 5 * i) % 26 AS int)) AS v,
-         chr(cast(97 + (vec_id + 5 * (i - 1)) % 26 AS int)) AS u,
-         embedding[i + 1] >= 0 AS pos,
-         (SELECT count(*) FROM range(i + 1) t(j) WHERE embedding[j + 1] < 0) % 2 = 0 AS pos_all
-  FROM embeddings, range(6) r(i)),
+  SELECT id, i,
+         chr(cast(97 + (id + 5 * i) % 26 AS int)) AS v,
+         chr(cast(97 + (id + 5 * (i - 1)) % 26 AS int)) AS u,
+         e[i + 1] >= 0 AS pos,
+         len(list_filter(e[1 : i + 1], lambda x: x < 0)) % 2 = 0 AS pos_all
+  FROM part, range(8) r(i)),
 clause AS (
   SELECT *, concat(v, '=', CASE WHEN pos THEN '+' ELSE '-' END, u) AS c,
          CASE WHEN pos_all THEN '+1' ELSE '-1' END AS r
@@ -65,10 +70,10 @@ clause AS (
 lego AS (
   SELECT id,
     concat(string_agg(c, '|' ORDER BY md5(concat(id, '|', c))) FILTER (i > 0), '/',
-           min(v) FILTER (i = 0), '=', min(r) FILTER (i = 0), ',', min(v) FILTER (i = 5), '=?',
+           min(v) FILTER (i = 0), '=', min(r) FILTER (i = 0), ',', min(v) FILTER (i = 7), '=?',
            string_agg(concat(c, '=', r), '{joiner}' ORDER BY i) FILTER (i > 0)) AS symbol_text,
     string_agg(concat(c, '=', r), '{joiner}' ORDER BY i) FILTER (i > 0) AS target_steps,
-    min(r) FILTER (i = 5) AS target_direct,
+    min(r) FILTER (i = 7) AS target_direct,
     string_agg(v, ',' ORDER BY i) AS target_path,
     concat(string_agg(concat(c, '=', r), '{joiner}' ORDER BY i) FILTER (i > 0), '?',
            CASE WHEN id % 2 = 0 THEN 'T' ELSE 'F' END) AS target_verify
@@ -79,7 +84,7 @@ LEGO = _lego(",")
 
 LOGITS = """
 logits AS (
-  SELECT vec_id // 10 AS seq, vec_id % 10 AS pos, cast(embedding[1:10] AS double[]) AS v,
+  SELECT vec_id // 10 AS seq, vec_id % 10 AS pos, cast(embedding AS double[]) AS v,
          CASE WHEN vec_id % 10 < 4 THEN -1 ELSE label END AS label
   FROM embeddings),
 best AS (
@@ -213,8 +218,9 @@ FROM joined"""
 
 
 def validation(body: str, vocab: str = "v1", reverse: bool = False, padded: bool = True) -> str:
-    """``body`` selects id, prompt, tgt from e; paths of the view have at most 12 nodes."""
-    target = cat("tgt", reps("70", "12 - len(tgt)"), "[70]") if padded else "tgt"
+    """``body`` selects id, prompt, tgt from e; targets are padded to the longest of all."""
+    longest = "(SELECT max(len_target) FROM star)"
+    target = cat("tgt", reps("70", f"{longest} - len(tgt)"), "[70]") if padded else "tgt"
     return f"""WITH {encoded(vocab, reverse)},
 made AS ({body})
 SELECT id, {words("prompt")} AS input_ids, {words(ones("prompt"))} AS attention_mask,
@@ -239,22 +245,22 @@ FROM e"""
 NOISYTARGET = f"""
 SELECT id, p AS prompt, nt AS given, nt AS lab FROM (
   SELECT id, p,
-         CASE WHEN {uni("gate")} < 0.5
-              THEN {cat(f"t[1:1 + {num('pos')} % (len(t) - 3)]",
+         CASE WHEN len(t) >= 4 AND {uni("gate")} < 0.5
+              THEN {cat(f"t[1:1 + {num('pos')} % greatest(len(t) - 3, 1)]",
                         f"[{pick('n', 'node')}]",
-                        f"t[3 + {num('pos')} % (len(t) - 3):]")}
+                        f"t[3 + {num('pos')} % greatest(len(t) - 3, 1):]")}
               ELSE t END AS nt
   FROM e)"""
 SHORT_V1 = """
 SELECT id, CASE WHEN {full} THEN p ELSE list_concat(h, [55]) END AS prompt,
-       CASE WHEN {full} THEN t ELSE [t[len(t) - 1]] END AS tgt
+       CASE WHEN {full} THEN t ELSE [coalesce(t[len(t) - 1], t[len(t)])] END AS tgt
 FROM e"""
 MIX_V1 = SHORT_V1.format(full=f"{uni('gate')} > 0.4")
 MIX_V1_VAL = SHORT_V1.format(full=f"{uni('gate')} >= 0.4")
 MIX_V0 = f"""
 SELECT id, CASE WHEN f THEN p ELSE {cat("h", "[51]", reps("53", "place"))} END AS prompt,
        CASE WHEN f THEN t ELSE [t[place + 1]] END AS tgt
-FROM (SELECT *, {uni("gate")} < 0.4 AS f, 2 + {num("pos")} % (len(t) - 3) AS place FROM e)"""
+FROM (SELECT *, len(t) < 4 OR {uni("gate")} < 0.4 AS f, 2 + {num("pos")} % greatest(len(t) - 3, 1) AS place FROM e)"""
 
 
 def as_train(validation_body: str) -> str:
@@ -278,7 +284,7 @@ IMPROVING = improving(f"WHEN {uni('keep', '(i - 1)')} < 0.5 THEN a")
 IMPROVING_VAL = improving("WHEN true THEN a")
 
 
-def marked(noisy: str, chosen: str) -> str:
+def marked(noisy: str, chosen: str, possible: str = "true") -> str:
     told = (
         "flatten(list_transform(range(1, len(t) + 1), lambda k: "
         "[noisy[k], CASE WHEN list_contains(c, k - 1) THEN 57 ELSE 58 END]))"
@@ -287,17 +293,18 @@ def marked(noisy: str, chosen: str) -> str:
 SELECT id, {cat("p", "noisy", "[59]")} AS prompt, {cat(told, "[59]", "t")} AS tgt FROM (
   SELECT *, list_transform(t, lambda a, i: CASE WHEN list_contains(c, i - 1)
                                            THEN {noisy} ELSE a END) AS noisy
-  FROM (SELECT *, {chosen} AS c FROM e))"""
+  FROM (SELECT *, {chosen} AS c FROM e WHERE {possible}))"""
 
 
 ERROR = marked(
     "w[1][i]",
     f"list_filter({shuffled('t', 'shuffle')}, lambda f: f >= 1)"
-    f"[1:{num('count')} % (len(t) - 1)]",
+    f"[1:CASE WHEN len(t) >= 2 THEN {num('count')} % (len(t) - 1) ELSE 0 END]",
 )
 ERROR_VAL = marked(
     pick("list_filter(n, lambda o: o <> a)", "node", "(i - 1)"),
     f"({shuffled('t', 'shuffle')})[1:cast(floor(0.4 * len(t)) AS int)]",
+    "len(t) >= 3 AND (len(n) > 1 OR (len(n) = 1 AND NOT list_contains(t, n[1])))",
 )
 STEP_EVAL = f"""
 SELECT id, h AS prompt, {cat("[60]", "tried", "t", "[59]", "t")} AS tgt FROM (
@@ -663,7 +670,7 @@ SELECT k, round(avg(correct), 6) AS kth_acc FROM k WHERE label <> -1 GROUP BY k"
 SELECT count(*) AS n_tokens, round(exp(avg(n)), 6) AS perplexity FROM nll""",
     "softmax": f"""WITH {LOGITS}, {SOFTMAX}
 SELECT seq, pos, i - 1 AS token, round(ex[i] / list_sum(ex), 6) AS prob
-FROM sm, range(1, 11) r(i)""",
+FROM sm, range(1, 65) r(i)""",
     "token_prob": f"""WITH {LOGITS}, {SOFTMAX}
 SELECT seq, pos, cast(label AS bigint) AS label,
   CASE WHEN label >= 0 THEN round(ex[label + 1] / list_sum(ex), 6) ELSE -1.0::double END AS label_prob,
@@ -672,7 +679,7 @@ SELECT seq, pos, cast(label AS bigint) AS label,
 first AS (SELECT seq, min(pos) AS pos FROM logits WHERE label <> -1 GROUP BY seq),
 r AS (SELECT seq, i - 1 AS token, ex[i] / list_sum(ex) AS prob,
              row_number() OVER (PARTITION BY seq ORDER BY ex[i] DESC, i) - 1 AS rank
-      FROM sm JOIN first USING (seq, pos), range(1, 11) t(i))
+      FROM sm JOIN first USING (seq, pos), range(1, 65) t(i))
 SELECT seq, rank, token, round(prob, 6) AS prob FROM r WHERE rank < 3""",
     "union_batches": f"""WITH {PREDS}
 SELECT id, cast(sum(correct) AS bigint) AS n_correct FROM cells GROUP BY id""",
@@ -688,5 +695,31 @@ WHERE NOT flush AND flush_id < flushes GROUP BY split, flush_id, key""",
 }
 
 
+# Places in a file written in the order of ids are the ids' ranks.
+RANKED = f"""WITH {encoded()},
+made AS (SELECT id, {cat("p", "t", "[70]")} AS ids, {cat(ones("p", -1), "t", "[70]")} AS lab FROM e),
+ranked AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place,
+                  floor(count(*) OVER () * 5 / 100.0 + 0.5) AS held FROM star)"""
+FILES = {
+    "load_text_split": f"""{RANKED}
+SELECT place AS id, {words("ids")} AS input_ids, {words(ones("ids"))} AS attention_mask,
+       {words("lab")} AS labels, CASE WHEN place < held THEN 'validation' ELSE 'train' END AS split
+FROM made JOIN ranked USING (id)""",
+    "load_csv_plain": f"""WITH {STAR}
+SELECT row_number() OVER (ORDER BY id) - 1 AS id, text, len_target, split
+FROM ({STAR_SPLIT.format(pct=5)})""",
+    "rejects_step_eval": f"""WITH {STAR}
+SELECT id, 'wrong_path' AS reason FROM star WHERE len_target % 2 = 0""",
+}
+SAME = {
+    "row_index_ranges": TEXTS["row_index"],
+    "pack_assign_ranges": SHAPES["pack_assign"],
+    "batch_pad_ranges": SHAPES["batch_pad"],
+    "metric_flush_ranges": SCORES["metric_flush"],
+    "stream_lego": CHAINS["lego_path"],
+    "stream_shortest": CHAINS["sp_step_eval"],
+}
+
+
 def sql() -> dict[str, str]:
-    return {**TEXTS, **EXAMPLES, **CHAINS, **SHAPES, **SCORES}
+    return {**TEXTS, **EXAMPLES, **CHAINS, **SHAPES, **SCORES, **FILES, **SAME}

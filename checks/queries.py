@@ -83,6 +83,30 @@ def load_json(spark, sf_dir):
     )
 
 
+@query
+def load_text_split(spark, sf_dir):
+    """A text file without ids: rows get their place, and are split and built."""
+    path = files.scratch_dir(spark) + "/star.txt"
+    rows = views.star(spark, sf_dir).select("id", "text").orderBy("id")
+    rows.select("text").coalesce(1).write.text(path)
+    parts = files.load(spark, path, order_by="id")
+    made = [
+        objectives.examples(p, "teacherforcing", OPTS, "train").withColumn("split", F.lit(s))
+        for s, p in parts.items()
+    ]
+    return flat(metrics.union_batches(made))
+
+
+@query
+def load_csv_plain(spark, sf_dir):
+    """A csv file without ids."""
+    path = files.scratch_dir(spark) + "/star.csv"
+    rows = views.star(spark, sf_dir).select("id", "text", "len_target").orderBy("id")
+    rows.drop("id").coalesce(1).write.csv(path, header=True, escape='"')
+    parts = files.load(spark, path, order_by="id", schema="text string, len_target int")
+    return flat(_scored_parts(parts))
+
+
 @query
 def load_text(spark, sf_dir):
     path = files.scratch_dir(spark) + "/star.txt"
@@ -139,6 +163,14 @@ def split_counts(spark, sf_dir):
     return ordering.split_counts(ordering.head_split(docs, "doc_id", 5), {"train": 500})
 
 
+@query
+def row_index_ranges(spark, sf_dir):
+    """Row positions by many small ranges."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "source")
+    made = ordering.with_row_index(docs, ["source", "doc_id"], rows_per_range=50)
+    return made.select("doc_id", "row_idx")
+
+
 # ---- text, tokens, ids --------------------------------------------------------------------
 
 
@@ -309,10 +341,8 @@ def _train(objective: str, opts: PrepOptions = OPTS) -> Query:
 def _validation(objective: str, opts: PrepOptions = OPTS) -> Query:
     def run(spark, sf_dir):
         rows = views.star(spark, sf_dir)
-        # Paths of the view are at most this long, so no pass over the table is needed here.
-        return flat(
-            objectives.examples(rows, objective, opts, "validation", views.MAX_LINES)
-        )
+        longest = objectives.max_target_length(rows) if opts.variant == "v1" else None
+        return flat(objectives.examples(rows, objective, opts, "validation", longest))
 
     return run
 
@@ -351,6 +381,14 @@ def ex_generation(spark, sf_dir):
     return flat(objectives.generation_examples(views.star(spark, sf_dir), OPTS_V0))
 
 
+@query
+def rejects_step_eval(spark, sf_dir):
+    """Rows left out for want of a wrong path: here those whose target has an even length."""
+    paths = F.when(F.col("len_target") % 2 == 1, F.col("wrong_path"))
+    rows = views.star(spark, sf_dir).withColumn("wrong_path", paths)
+    return objectives.rejected(rows, "step_eval", OPTS, "train")
+
+
 @query
 def preference_pairs(spark, sf_dir):
     return preference.preference_pairs(views.star(spark, sf_dir)).select(
@@ -366,18 +404,15 @@ def preference_distinct(spark, sf_dir):
 
 @query
 def max_target_length(spark, sf_dir):
-    rows = files.staged(views.star(spark, sf_dir).select("id", "len_target"))
-    parts = ordering.head_parts(rows, "id")
-    longest = objectives.max_target_length(*parts.values())
-    return spark.createDataFrame([(longest,)], "max_target_length bigint")
+    rows = views.star(spark, sf_dir).select("id", "len_target")
+    return objectives.target_lengths(*ordering.head_parts(rows, "id").values())
 
 
 @query
 def preference_max_length(spark, sf_dir):
-    pairs = preference.preference_pairs(views.star(spark, sf_dir))
-    longest = objectives.max_target_length(pairs)
-    budget = preference.preference_max_length(pairs, "id", longest)
-    return spark.createDataFrame([(budget,)], "max_length bigint")
+    rows = files.staged(views.star(spark, sf_dir))
+    pairs = preference.preference_pairs(rows)
+    return preference.length_budget(pairs, "id", objectives.target_lengths(rows))
 
 
 # ---- lego and shortest-path examples ------------------------------------------------------
@@ -441,6 +476,16 @@ def pack_assign(spark, sf_dir):
     return assigned.select("doc_id", "length", "batch_id", F.col("chunk").cast("bigint"))
 
 
+@query
+def pack_assign_ranges(spark, sf_dir):
+    """The same by many small ranges."""
+    counted = files.staged(views.corpus(spark, sf_dir).select("doc_id", "n_tokens"))
+    assigned = packing.pack_assign(
+        counted, "doc_id", F.col("n_tokens"), CORPUS_BLOCK, rows_per_range=100
+    )
+    return assigned.select("doc_id", "length", "batch_id", F.col("chunk").cast("bigint"))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = objectives.examples(views.star(spark, sf_dir), "teacherforcing", OPTS, "train")
     return packing.pack(files.staged(made), "id", STAR_BLOCK)
@@ -453,8 +498,10 @@ def pack_chunks(spark, sf_dir):
 
 @query
 def pack_fill(spark, sf_dir):
-    packed = _packed(spark, sf_dir)
-    return packing.pack_fill(packed, STAR_BLOCK, F.size("input_ids")).withColumn(
+    made = objectives.examples(views.star(spark, sf_dir), "teacherforcing", OPTS, "train")
+    lengths = files.staged(made.select("id", F.size("input_ids").alias("n")))
+    chunks = packing.chunk_sizes(lengths, "id", F.col("n"), STAR_BLOCK)
+    return packing.pack_fill(chunks, STAR_BLOCK, F.col("length")).withColumn(
         "mean_fill", F.round("mean_fill", 6)
     )
 
@@ -488,6 +535,15 @@ def ragged_batches(spark, sf_dir):
     return flat(collate.ragged_batches(files.staged(made), "id", 256, ["input_ids", "targets"]))
 
 
+@query
+def batch_pad_ranges(spark, sf_dir):
+    """The same by many small ranges."""
+    made = objectives.generation_examples(views.star(spark, sf_dir), OPTS_V0)
+    return flat(
+        collate.batch_pad(files.staged(made), "id", 256, "left", V0.eos_id, rows_per_range=300)
+    )
+
+
 # ---- scores -------------------------------------------------------------------------------
 
 
@@ -637,26 +693,48 @@ def metric_flush(spark, sf_dir):
     )
 
 
+@query
+def metric_flush_ranges(spark, sf_dir):
+    """The same by many small ranges."""
+    found = metrics.metric_flush(views.metric_log(spark, sf_dir), rows_per_range=100)
+    return found.withColumn("value", F.round("value", 6))
+
+
 # ---- streams ------------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+def _stream(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, str]:
     base = files.scratch_dir(spark)
-    views.star(spark, sf_dir).write.parquet(f"{base}/in")
-    return streams.load_stream(spark, f"{base}/in", "parquet", EXAMPLE_SCHEMA), base
+    rows.write.parquet(f"{base}/in")
+    return streams.load_stream(spark, f"{base}/in", "parquet", rows.schema), base
 
 
-@query
-def stream_equals_batch(spark, sf_dir):
-    rows, base = _stream(spark, sf_dir)
-    made = streams.stream_examples(rows, "teacherforcing", OPTS)
+def _streamed(spark: SparkSession, rows: DataFrame, objective: str, opts: PrepOptions, kind: str) -> DataFrame:
+    stream, base = _stream(spark, rows)
+    made = streams.stream_examples(stream, objective, opts, kind)
     streams.write_stream(made, f"{base}/out", f"{base}/state").awaitTermination()
     return flat(spark.read.parquet(f"{base}/out"))
 
 
+@query
+def stream_equals_batch(spark, sf_dir):
+    return _streamed(spark, views.star(spark, sf_dir), "teacherforcing", OPTS, "star")
+
+
+@query
+def stream_lego(spark, sf_dir):
+    opts = PrepOptions(task="path", seed=views.SEED)
+    return _streamed(spark, views.lego(spark, sf_dir), "teacherforcing", opts, "lego")
+
+
+@query
+def stream_shortest(spark, sf_dir):
+    return _streamed(spark, views.shortest(spark, sf_dir), "step_eval", OPTS, "shortest")
+
+
 @query
 def stream_pack(spark, sf_dir):
-    rows, base = _stream(spark, sf_dir)
+    rows, base = _stream(spark, views.star(spark, sf_dir))
     made = streams.stream_examples(rows, "teacherforcing", OPTS)
     streams.pack_stream(made, "id", STAR_BLOCK, f"{base}/out", f"{base}/state").awaitTermination()
     return flat(spark.read.parquet(f"{base}/out").drop("epoch"))

@@ -5,14 +5,18 @@ See FIXTURES.md for the recipes. Every view covers its whole source table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqprep.functions.draws import Draws
 from seqprep.functions.tokens import encode, token_count, vocab_of
+from seqprep.operators.ordering import with_row_index
+from seqprep.sources.files import staged
 
-MIN_LINES, MAX_LINES = 5, 12
-PRED_WIDTH = 13
+SEGMENT = 12  # order lines of a path at most
+SEGMENT_ID = 1 << 40  # between the ids of an order's segments
+PRED_WIDTH = SEGMENT + 1
+CHAIN = 8  # vector entries of a chain
 SEED = 42
 
 
@@ -25,11 +29,26 @@ def _edges(path: Column) -> Column:
     return F.transform(steps, lambda b, i: F.concat_ws(",", F.element_at(path, i + 1), b))
 
 
+def _long_segments(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Lines of the long ``orders`` with their segment: numbered by ranges of the sort key, so an
+    order of any size is cut up without meeting in one task. Equal lines are told apart by a count.
+    """
+    keys = lines.columns
+    counted = lines.join(orders, "l_orderkey", "left_semi").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    each = staged(counted.select(*keys, F.explode(F.sequence(F.lit(1), "n")).alias("copy")))
+    numbered = with_row_index(each, [*keys, "copy"], "_at")
+    firsts = numbered.groupBy("l_orderkey").agg(F.min("_at").alias("_first"))
+    segment = F.floor((F.col("_at") - F.col("_first")) / SEGMENT).cast("bigint")
+    return numbered.join(firsts, "l_orderkey").select(*keys, segment.alias("segment"))
+
+
 def star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graph lines from orders of 5 to 12 lines: ``id, text, len_target, wrong_path``.
+    """Graph lines from all order lines: ``id, text, len_target, wrong_path``.
 
-    Orders may be of any size, so at most 13 lines of each are kept before they are collected:
-    enough to tell which orders have more than 12, and a bound on every group.
+    An order of up to 12 lines is one row with the order's number as id. A longer one is cut into
+    segments of 12, whose ids are ``SEGMENT_ID`` apart; so a group has 12 lines at most.
     """
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
@@ -37,30 +56,22 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey",
         "l_suppkey",
     )
-    in_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    firsts = lines.withColumn("n", F.row_number().over(in_order)).filter(
-        F.col("n") <= MAX_LINES + 1
-    )
-    orders = (
-        firsts.groupBy(F.col("l_orderkey").alias("id"))
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        "n",
-                        (F.col("l_partkey") % 50).cast("string").alias("p"),
-                        (F.col("l_suppkey") % 50).cast("string").alias("q"),
-                    )
-                )
-            ).alias("lines")
-        )
-        .filter(F.size("lines").between(MIN_LINES, MAX_LINES))
+    sizes = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    long = staged(sizes.filter(F.col("n") > SEGMENT).select("l_orderkey"))
+    whole = lines.join(long, "l_orderkey", "left_anti").withColumn(
+        "segment", F.lit(0).cast("bigint")
+    )
+    cut = whole.unionByName(_long_segments(lines, long))
+    # A group holds one segment: lines sorted by the struct's fields in turn.
+    orders = cut.groupBy("l_orderkey", "segment").agg(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines")
     )
+    node = lambda column: (column % 50).cast("string")
     paths = orders.select(
-        "id",
-        F.transform("lines", lambda x: x["p"]).alias("path"),
+        (F.col("l_orderkey") + F.col("segment") * SEGMENT_ID).alias("id"),
+        F.transform("lines", lambda x: node(x["l_partkey"])).alias("path"),
         F.transform(
-            F.slice("lines", F.lit(2), F.size("lines") - 1), lambda x: x["q"]
+            F.slice("lines", F.lit(2), F.size("lines") - 1), lambda x: node(x["l_suppkey"])
         ).alias("tail"),
     )
     first = F.array(F.element_at("path", 1))
@@ -105,23 +116,30 @@ def shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lego(spark: SparkSession, sf_dir: str, joiner: str = ",") -> DataFrame:
-    """Signed-variable chains from vectors; ``joiner`` separates the steps."""
-    vec = F.col("vec_id")
+    """Signed-variable chains from vectors, one for every eight entries; ``joiner`` separates the
+    steps."""
+    parts = F.transform(
+        F.sequence(F.lit(0), (F.size("embedding") / CHAIN).cast("int") - 1),
+        lambda c: F.struct(
+            (F.col("vec_id") * CHAIN + c).alias("id"),
+            F.slice("embedding", c * CHAIN + 1, F.lit(CHAIN)).alias("e"),
+        ),
+    )
+    chains = table(spark, sf_dir, "embeddings").select(F.inline(parts))
+    vec, entries = F.col("id"), range(CHAIN)
     name = lambda i: F.char((F.lit(97) + (vec + 5 * i) % 26).cast("bigint"))
-    sign = lambda i: F.when(F.col("embedding")[i] >= 0, "+").otherwise("-")
+    sign = lambda i: F.when(F.col("e")[i] >= 0, "+").otherwise("-")
     flips = lambda i: sum(
-        (F.when(F.col("embedding")[j] >= 0, 0).otherwise(1) for j in range(i + 1)), F.lit(0)
+        (F.when(F.col("e")[j] >= 0, 0).otherwise(1) for j in range(i + 1)), F.lit(0)
     )
-    named = table(spark, sf_dir, "embeddings").select(
-        vec.alias("id"),
-        F.array(*[name(i) for i in range(6)]).alias("v"),
-        F.array(*[sign(i) for i in range(6)]).alias("s"),
-        F.array(
-            *[F.when(flips(i) % 2 == 0, "+1").otherwise("-1") for i in range(6)]
-        ).alias("r"),
+    named = chains.select(
+        "id",
+        F.array(*[name(i) for i in entries]).alias("v"),
+        F.array(*[sign(i) for i in entries]).alias("s"),
+        F.array(*[F.when(flips(i) % 2 == 0, "+1").otherwise("-1") for i in entries]).alias("r"),
     )
     clauses = F.transform(
-        F.sequence(F.lit(2), F.lit(6)),
+        F.sequence(F.lit(2), F.lit(CHAIN)),
         lambda i: F.concat(
             F.element_at("v", i), F.lit("="), F.element_at("s", i), F.element_at("v", i - 1)
         ),
@@ -146,7 +164,7 @@ def lego(spark: SparkSession, sf_dir: str, joiner: str = ",") -> DataFrame:
         F.array_join(steps, joiner).alias("steps"),
         F.concat(
             F.element_at("v", 1), F.lit("="), F.element_at("r", 1), F.lit(","),
-            F.element_at("v", 6), F.lit("="),
+            F.element_at("v", CHAIN), F.lit("="),
         ).alias("ask"),
     )
     verdict = F.when(F.col("id") % 2 == 0, "T").otherwise("F")
@@ -154,7 +172,7 @@ def lego(spark: SparkSession, sf_dir: str, joiner: str = ",") -> DataFrame:
         "id",
         F.concat("clauses", F.lit("/"), "ask", F.lit("?"), "steps").alias("symbol_text"),
         F.col("steps").alias("target_steps"),
-        F.element_at("r", 6).alias("target_direct"),
+        F.element_at("r", CHAIN).alias("target_direct"),
         F.array_join("v", ",").alias("target_path"),
         F.concat("steps", F.lit("?"), verdict).alias("target_verify"),
     )
@@ -189,12 +207,12 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten-entry vectors per position: ``seq, pos, v, label``."""
+    """Whole vectors per position: ``seq, pos, v, label``."""
     pos = (F.col("vec_id") % 10).cast("int")
     return table(spark, sf_dir, "embeddings").select(
         F.floor(F.col("vec_id") / 10).cast("bigint").alias("seq"),
         pos.alias("pos"),
-        F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("v"),
+        F.col("embedding").cast("array<double>").alias("v"),
         F.when(pos < 4, F.lit(-1)).otherwise(F.col("label")).alias("label"),
     )
 

@@ -178,18 +178,9 @@ def encode(text: Column, vocab: Vocab) -> Column:
 
 def ids_to_tokens(ids: Column, vocab: Vocab) -> Column:
     """Ids to tokens; unknown ids become null."""
-    ignored = F.lit(vocab.ignored or None).cast("string")
-    symbols = [F.lit(s) for s in vocab.symbols]
-    table = F.array(ignored, *symbols)  # entry 1 is id -1, then the symbols
-
-    def one(i: Column) -> Column:
-        first = vocab.numbers
-        known = F.when(i >= first, F.try_element_at(table, i - first + 2))
-        if vocab.numbers:
-            known = known.when(i >= 0, i.cast("string"))
-        return known.when(i == -1, F.element_at(table, 1))
-
-    return F.transform(ids, one)
+    names = [vocab.ignored or None, *map(str, range(vocab.numbers)), *vocab.symbols]
+    table = F.array(*[F.lit(n).cast("string") for n in names])  # entry 1 is id -1
+    return F.transform(ids, lambda i: F.when(i >= -1, F.try_element_at(table, i + 2)))
 
 
 def detokenize(tokens: Column, vocab: Vocab) -> Column:

@@ -42,10 +42,25 @@ def token_prob(probs: Column, token: Column) -> Column:
 
 
 def topk_tokens(vector: Column, k: int = 3) -> Column:
-    """The ``k`` largest entries as ``array<struct<token, value>>``; ties go to the lower id."""
-    keyed = F.transform(vector, lambda x, i: F.struct(x.alias("x"), (-i).alias("n")))
-    best = F.slice(F.reverse(F.sort_array(keyed)), 1, k)
-    return F.transform(best, lambda s: F.struct((-s["n"]).alias("token"), s["x"].alias("value")))
+    """The ``k`` largest entries as ``array<struct<token, value>>``; ties go to the lower id.
+
+    One pass that keeps the best ``k`` sorted: a later entry goes behind all that are as large.
+    """
+    item = "struct<token:int,value:double>"
+    start = F.array().cast(f"array<{item}>")
+
+    def step(best: Column, entry: Column) -> Column:
+        full = F.size(best) >= k
+        beaten = full & (entry["value"] <= F.element_at(best, -1)["value"])
+        before = F.filter(best, lambda b: b["value"] >= entry["value"])
+        after = F.filter(best, lambda b: b["value"] < entry["value"])
+        put = F.slice(F.concat(before, F.array(entry), after), 1, k)
+        return F.when(full & beaten, best).otherwise(put)
+
+    entries = F.transform(
+        vector, lambda x, i: F.struct(i.cast("int").alias("token"), x.cast("double").alias("value")).cast(item)
+    )
+    return F.aggregate(entries, start, step)
 
 
 def token_nll(vector: Column, label: Column) -> Column:

@@ -32,7 +32,8 @@ def lego_task(df: DataFrame, task: str, text: str = LEGO_TEXT) -> DataFrame:
         raise ValueError(f"unknown task: {task}")
     accepted, _ = split_prompt_target(df, text, "?")
     if task != "verify_steps":
-        return accepted.withColumn("target", F.col(TASK_COLUMNS[task]))
+        told = accepted.withColumn("target", F.col(TASK_COLUMNS[task]))
+        return told.filter(F.col("target").isNotNull())
     checked = accepted.withColumn("_v", F.split("target_verify", "[?]", -1))
     return (
         checked.filter(F.size("_v") == 2)
@@ -42,6 +43,20 @@ def lego_task(df: DataFrame, task: str, text: str = LEGO_TEXT) -> DataFrame:
     )
 
 
+def lego_rejected(
+    df: DataFrame, task: str, row_id: str = "id", text: str = LEGO_TEXT
+) -> DataFrame:
+    """Rows :func:`lego_task` leaves out, as ``row id, reason``."""
+    accepted, rejects = split_prompt_target(df, text, "?")
+    column = TASK_COLUMNS.get(task, "target_verify")
+    bad = F.col(column).isNull()
+    if task == "verify_steps":
+        bad = bad | (F.size(F.split(column, "[?]", -1)) != 2)
+    return rejects.select(row_id, F.lit("parts").alias("reason")).unionByName(
+        accepted.filter(bad).select(row_id, F.lit("target").alias("reason"))
+    )
+
+
 def _assemble(encoded: DataFrame, row_id: str, split: str, given: Column) -> DataFrame:
     """Train: prompt and target in one sequence, loss on the target. Validation: two columns."""
     if split != "train":

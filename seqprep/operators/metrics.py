@@ -126,12 +126,21 @@ def shifted_predictions(df: DataFrame) -> DataFrame:
 
 
 def train_seq_acc(df: DataFrame) -> DataFrame:
-    """Share of sequences right at every label other than -1, one ``(metric, value)`` row."""
-    per_seq = shifted_predictions(df).groupBy("seq").agg(
-        F.sum("correct").alias("_right"),
-        F.sum((F.col("label") != IGNORE).cast("int")).alias("_counted"),
+    """Share of sequences right at every label other than -1, one ``(metric, value)`` row.
+
+    A sequence of one position has nothing left to predict after the shift and counts as right.
+    """
+    by_pos = Window.partitionBy("seq").orderBy("pos")
+    narrow = df.select("seq", "pos", argmax(F.col("v")).alias("pred"), "label")
+    following = narrow.withColumn("_next", F.lead("label").over(by_pos)).withColumn(
+        "_has", F.lead(F.lit(1)).over(by_pos).isNotNull()
+    )
+    hit = (F.col("_has") & F.col("pred").eqNullSafe(F.col("_next"))).cast("int")
+    per_seq = following.groupBy("seq").agg(
+        F.sum(hit).alias("_right"),
+        F.sum((F.col("_has") & (F.col("_next") != IGNORE)).cast("int")).alias("_counted"),
     )
-    right = (F.col("_right") == F.col("_counted")).cast("double")
+    right = (F.col("_right") == F.coalesce("_counted", F.lit(0))).cast("double")
     return per_seq.agg(F.avg(right).alias("value")).select(
         F.lit("train_seq_acc").alias("metric"), "value"
     )
@@ -204,10 +213,9 @@ def metric_flush(
     )
     if keep_open:
         return means
-    # One row per split, and a log has two of them: small enough to broadcast by definition.
     flushes = slim.groupBy(split).agg(F.sum(flush).alias("_flushes"))
     return (
-        means.join(F.broadcast(flushes), split)
+        means.join(flushes, split)
         .filter(F.col("flush_id") < F.col("_flushes"))
         .drop("_flushes")
     )

@@ -113,8 +113,11 @@ def _noisytarget(row: Row) -> Column:
 
 def _next_to_last(row: Row) -> Column:
     """Short task: only the next-to-last node, asked for by ``&``."""
-    node = F.coalesce(F.try_element_at(row.target, F.lit(-2)), F.element_at(row.target, -1))
-    return plain(F.concat(row.head(), row.one("&")), F.array(node))
+    node = F.coalesce(
+        F.try_element_at(row.target, F.lit(-2)), F.try_element_at(row.target, F.lit(-1))
+    )
+    short = plain(F.concat(row.head(), row.one("&")), F.array(node))
+    return F.when(F.size(row.target) == 0, _teacherforcing(row)).otherwise(short)
 
 
 def _mixtask_v1(row: Row) -> Column:
@@ -350,10 +353,21 @@ def _known(objective: str, opts: PrepOptions) -> None:
         raise ValueError("noisyguide cannot alter labels")
 
 
+def _complete(objective: str, split: str) -> Column:
+    """Whether an encoded row has every part its objective needs: null paths make null arrays."""
+    here = F.col("_p").isNotNull() & F.col("_t").isNotNull()
+    if objective in ("step_eval", "step_eval_short"):
+        if split == "train":
+            return here & F.col("_w").isNotNull() & ~F.exists("_w", lambda w: w.isNull())
+        return here & F.try_element_at("_w", F.lit(1)).isNotNull()
+    return here
+
+
 def train_examples(df: DataFrame, objective: str, opts: PrepOptions) -> DataFrame:
     """``row id, input_ids, attention_mask, labels``; the "v1" form ends with the end token."""
     _known(objective, opts)
-    made = encoded_rows(df, objective, opts).select(
+    rows = encoded_rows(df, objective, opts).filter(_complete(objective, "train"))
+    made = rows.select(
         F.col(opts.row_id), TRAIN[opts.variant][objective](_row(objective, opts)).alias("_x")
     )
     end = [ints(opts.vocab.eos_id)] if opts.variant == "v1" else []
@@ -379,6 +393,8 @@ def validation_examples(
     row = _row(objective, opts)
     build = VALIDATION[opts.variant].get(objective, _teacherforcing)
     rows = encoded_rows(df, objective, opts)
+    if opts.variant == "v1":
+        rows = rows.filter(_complete(objective, "validation"))
     if opts.variant == "v1" and objective == "error_detection":
         rows = rows.filter(_error_detection_possible(row))
     made = rows.select(F.col(opts.row_id), build(row).alias("_x"))
@@ -411,9 +427,12 @@ def rejected(df: DataFrame, objective: str, opts: PrepOptions, split: str) -> Da
     """Rows :func:`examples` leaves out, as ``row id, reason``."""
     _, rejects = split_prompt_target(df, opts.text_column, "=")
     out = rejects.select(opts.row_id, F.lit("parts").alias("reason"))
+    rows = encoded_rows(df, objective, opts)
+    whole = F.coalesce(_complete(objective, split), F.lit(False))
+    if split == "train" or opts.variant == "v1":
+        out = out.unionByName(rows.filter(~whole).select(opts.row_id, F.lit("wrong_path").alias("reason")))
     if opts.variant == "v1" and objective == "error_detection" and split != "train":
-        rows = encoded_rows(df, objective, opts)
-        bad = rows.filter(~_error_detection_possible(_row(objective, opts)))
+        bad = rows.filter(whole & ~_error_detection_possible(_row(objective, opts)))
         out = out.unionByName(bad.select(opts.row_id, F.lit("target").alias("reason")))
     return out
 
@@ -428,9 +447,15 @@ def generation_examples(df: DataFrame, opts: PrepOptions) -> DataFrame:
     )
 
 
-def max_target_length(*parts: DataFrame, column: str = "len_target") -> int:
-    """The longest target over all splits: one aggregate over the stored lengths."""
+def target_lengths(*parts: DataFrame, column: str = "len_target") -> DataFrame:
+    """The longest target over all splits, as one row ``max_target_length``: one aggregate over
+    the stored lengths."""
     lengths = parts[0].select(column)
     for part in parts[1:]:
         lengths = lengths.unionAll(part.select(column))
-    return lengths.agg(F.max(column)).first()[0]
+    return lengths.agg(F.max(column).cast("bigint").alias("max_target_length"))
+
+
+def max_target_length(*parts: DataFrame, column: str = "len_target") -> int:
+    """The value of :func:`target_lengths`; runs the aggregate."""
+    return target_lengths(*parts, column=column).first()[0]

@@ -6,7 +6,12 @@ sample), each range is numbered by one task, and the rows in the ranges before i
 Any bounds give the same numbering, so the result depends neither on the sample nor on the
 number of partitions.
 
-The passes before the last read key columns only. Give these operators a table (or a computed
+One rule for keys that come twice: an operator fails where its result would depend on the order of
+such rows. Numbering needs all keys to be different; a cut by position (head split, row cap) needs
+the last row inside and the first one outside to have different keys.
+
+Counting rows, sampling bounds and looking up a key are jobs that run when an operator is called;
+what it returns is lazy. The passes before the last read key columns only. Give these operators a table (or a computed
 frame written with ``sources.files.staged``): then those passes are column scans.
 """
 
@@ -20,10 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
+from seqprep.functions.basics import let
+
 ROWS_PER_RANGE = 100_000
 MAX_RANGES = 32_768  # bounds everything the driver holds: sample, key bounds, counts
 SAMPLE_PER_RANGE = 10
-TOP_ROWS = 10_000  # above this a row cap filters by key instead of taking top rows
 
 
 def _columns(order_by: str | Sequence[str]) -> list[str]:
@@ -59,29 +65,28 @@ class KeyRanges:
         return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in fields])
 
     def mark(self, df: DataFrame) -> DataFrame:
-        """Add ``_range``: the number of bounds at or below the row's key, searched in two steps.
+        """Add ``_range``: the number of bounds at or below the row's key, by binary search.
 
-        The bounds enter the plan as scalar subqueries over one row, that is as constants.
+        The bounds enter the plan as one scalar subquery, that is as a constant array. Powers of
+        two, the largest first, are added up as long as the bound at that place is not beyond.
         """
-        if not self.bounds:
+        n = len(self.bounds)
+        if not n:
             return df.withColumn("_range", F.lit(0))
-        step = max(int(len(self.bounds) ** 0.5), 1)
-        groups = [self.bounds[i : i + step] for i in range(0, len(self.bounds), step)]
-        keys = ArrayType(self.key_type)
-        schema = StructType([StructField("coarse", keys), StructField("fine", ArrayType(keys))])
-        table = self.spark.createDataFrame([([g[0] for g in groups], groups)], schema)
+        schema = StructType([StructField("bounds", ArrayType(self.key_type))])
+        table = self.spark.createDataFrame([(self.bounds,)], schema)
+        powers = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
         key = self.key()
-        group = F.size(F.filter("_coarse", lambda b: b <= key))
-        inside = F.size(F.filter(F.get("_fine", F.col("_group") - 1), lambda b: b <= key))
-        return (
-            df.withColumn("_coarse", table.select("coarse").scalar())
-            .withColumn("_fine", table.select("fine").scalar())
-            .withColumn("_group", group)
-            .withColumn(
-                "_range", F.when(F.col("_group") == 0, 0).otherwise((F.col("_group") - 1) * step + inside)
-            )
-            .drop("_coarse", "_fine", "_group")
-        )
+
+        def search(bounds: Column) -> Column:
+            def step(at: Column, power: Column) -> Column:
+                fits = (at + power <= n) & (F.get(bounds, at + power - 1) <= key)
+                return F.when(fits, at + power).otherwise(at)
+
+            return F.aggregate(powers, F.lit(0), step)
+
+        marked = df.withColumn("_bounds", table.scalar())
+        return marked.withColumn("_range", let(F.col("_bounds"), search)).drop("_bounds")
 
 
 def key_ranges(
@@ -172,11 +177,16 @@ def with_batches(
 
 
 def key_at(
-    df: DataFrame, order_by: str | Sequence[str], position: int, ranges: KeyRanges | None = None
+    df: DataFrame,
+    order_by: str | Sequence[str],
+    position: int,
+    ranges: KeyRanges | None = None,
+    last: bool = False,
 ) -> tuple | None:
     """The order key at a zero-based position, or ``None`` past the end.
 
-    Only the range that holds the position is sorted.
+    Only the range that holds the position is sorted. With ``last`` the key is to end a part, and
+    the next row must not have it too.
     """
     ranges = ranges or key_ranges(df, order_by)
     if position < 0 or position >= ranges.rows:
@@ -191,13 +201,21 @@ def key_at(
     else:
         keys = keys.withColumn("_range", F.lit(0))
     within = Window.partitionBy("_range").orderBy(*_order(ranges.columns))
+    following = F.lead(ranges.key()).over(within).eqNullSafe(ranges.key())
     row = (
         keys.withColumn("_n", F.row_number().over(within))
+        .withColumn("_again", following)
         .filter(F.col("_n") == position - offset + 1)
-        .select(*ranges.columns)
+        .select("_again", *ranges.columns)
         .first()
     )
-    return tuple(row) if row is not None else None
+    if row is None:
+        return None
+    if last and row["_again"]:
+        raise ValueError(
+            f"order_by must identify a row, but {ranges.columns} has the same values on both sides of a cut"
+        )
+    return tuple(row)[1:]
 
 
 def _up_to(df: DataFrame, columns: list[str], key: tuple) -> Column:
@@ -223,7 +241,7 @@ def _head(df: DataFrame, order_by: str | Sequence[str], pct: float) -> Column:
     nothing but keys is shuffled.
     """
     ranges = key_ranges(df, order_by)
-    key = key_at(df, order_by, head_size(ranges.rows, pct) - 1, ranges)
+    key = key_at(df, order_by, head_size(ranges.rows, pct) - 1, ranges, last=True)
     return F.lit(False) if key is None else _up_to(df, ranges.columns, key)
 
 
@@ -241,23 +259,18 @@ def head_parts(
     return {"train": df.filter(~inside), "validation": df.filter(inside)}
 
 
-def cap(
-    df: DataFrame, n: int | None, order_by: str | Sequence[str], by_key: bool = False
-) -> DataFrame:
+def cap(df: DataFrame, n: int | None, order_by: str | Sequence[str]) -> DataFrame:
     """The first ``n`` rows; all of them when ``n`` is ``None`` or more than there are.
 
-    A small cap keeps top rows per task. A large one would gather them in a single task, so it
-    looks up the key of the last row and filters by it. ``by_key`` does so for any cap: worth it
-    when the columns of ``df`` are costly, since only rows inside the cap are then computed.
+    The key of the last row is looked up and becomes a filter, so only keys are shuffled, no task
+    gathers the rows, and costly columns are computed for rows inside the cap only.
     """
     if n is None:
         return df
     columns = _columns(order_by)
-    if n <= TOP_ROWS and not by_key:
-        return df.orderBy(*_order(columns)).limit(n)
     if n <= 0:
         return df.limit(0)
-    key = key_at(df, columns, n - 1)
+    key = key_at(df, columns, n - 1, last=True)
     return df if key is None else df.filter(_up_to(df, columns, key))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqprep.functions.basics import let
+from seqprep.functions.basics import let, repeat
 from seqprep.operators.ordering import ROWS_PER_RANGE, with_batches
 
 BATCH_ROWS = 1000
@@ -107,19 +107,44 @@ def pack(
 ) -> DataFrame:
     """Packed chunks: ``batch_id, chunk, n_rows`` and the joined arrays.
 
-    The first of ``columns`` decides the length. Nothing is cut or dropped.
+    The first of ``columns`` decides the length. Nothing is cut or dropped. An attention mask is
+    all ones, so it is made again instead of being moved.
     """
+    moved = [c for c in columns if c != "attention_mask" or c == columns[0]]
     chunks = _chunks(
-        df, order_by, F.size(columns[0]), columns, block_size, batch_rows, rows_per_range
+        df.select(*_keys(order_by, moved), *moved),
+        order_by, F.size(columns[0]), moved, block_size, batch_rows, rows_per_range,
     )
+    joined = {c: F.flatten(F.col(f"rows.{c}")) for c in moved}
+    joined.setdefault("attention_mask", repeat(1, F.aggregate("rows._len", F.lit(0), lambda a, n: a + n)))
     return chunks.select(
         "batch_id",
         "chunk",
         F.size("rows").alias("n_rows"),
-        *[F.flatten(F.col(f"rows.{c}")).alias(c) for c in columns],
+        *[joined[c].alias(c) for c in columns],
     )
 
 
+def _keys(order_by: str | Sequence[str], other: Sequence[str]) -> list[str]:
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    return [k for k in keys if k not in other]
+
+
+def chunk_sizes(
+    df: DataFrame,
+    order_by: str | Sequence[str],
+    length: Column,
+    block_size: int,
+    batch_rows: int = BATCH_ROWS,
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """``batch_id, chunk, n_rows, length`` of every chunk of :func:`pack`, from lengths alone."""
+    narrow = df.select(*_keys(order_by, []), length.cast("bigint").alias("length"))
+    chunks = _chunks(narrow, order_by, F.col("length"), [], block_size, batch_rows, rows_per_range)
+    total = F.aggregate("rows._len", F.lit(0).cast("bigint"), lambda a, n: a + n)
+    return chunks.select("batch_id", "chunk", F.size("rows").alias("n_rows"), total.alias("length"))
+
+
 def pack_fill(packed: DataFrame, block_size: int, length: Column) -> DataFrame:
     """One row: number of chunks, tokens, and the mean share of the block that is filled."""
     tokens = length.cast("bigint")

@@ -26,9 +26,18 @@ def preference_pairs(df: DataFrame, text: str = "text", drop_equal: bool = False
     return pairs.filter(F.col("chosen") != F.col("rejected")) if drop_equal else pairs
 
 
+def length_budget(pairs: DataFrame, order_by: str, longest: DataFrame) -> DataFrame:
+    """One row ``max_length``: tokens of the first prompt plus the longest target.
+
+    ``longest`` is the row of ``objectives.target_lengths``. Both are aggregates; nothing is sorted.
+    """
+    first = pairs.agg(F.min_by(token_count(F.col("prompt")), F.col(order_by)).alias("n")).scalar()
+    return longest.select((first + F.col("max_target_length")).cast("bigint").alias("max_length"))
+
+
 def preference_max_length(
     pairs: DataFrame, order_by: str | Sequence[str], max_target_len: int
 ) -> int:
-    """Length budget: tokens of the first prompt plus the longest target."""
+    """The same as a number, with the longest target given; ``order_by`` may be several columns."""
     first = cap(pairs, 1, order_by).select(token_count(F.col("prompt")).alias("n")).first()
     return first["n"] + max_target_len

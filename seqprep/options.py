@@ -58,15 +58,16 @@ class PrepOptions:
         return vocab_of("numeral-v1" if self.variant == "v1" else "numeral-v0", self.num_nodes)
 
     def fingerprint(self) -> str:
-        """A short key of all option values, for reuse of prepared tables."""
-        text = json.dumps(asdict(self), sort_keys=True)
+        """A short key of all option values that decide a table, for reuse of prepared ones."""
+        values = {k: v for k, v in asdict(self).items() if k != "overwrite_cache"}
+        text = json.dumps(values, sort_keys=True)
         return hashlib.md5(text.encode()).hexdigest()[:16]
 
 
 def file_format(path: str) -> str:
     extension = path.rsplit(".", 1)[-1]
     if extension not in FILE_FORMATS:
-        raise ValueError(f"{path!r} should be a csv, a json or a txt file")
+        raise ValueError(f"{path!r} is none of {', '.join(FILE_FORMATS)}")
     return extension
 
 

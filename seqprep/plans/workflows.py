@@ -1,18 +1,24 @@
 """Whole preparation and scoring jobs.
 
 Each job loads and splits the raw table, builds the examples of both splits, packs or caps them
-and writes each split once, under a folder named by the options. A second run with the same
-options reads what is there.
+and writes each split once. The folder is named by the job, the options, all other parameters and the
+input; a second run of the same reads what is there, before it loads or builds anything. Tables
+handed over as ``raw`` have no name of their own: give one as ``source``, or they are built anew.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seqprep.functions.tokens import vocab_kind_for, vocab_of
+from seqprep.functions.vectors import softmax, tail_slice, token_prob, topk_tokens
 from seqprep.operators.lego import lego_examples
 from seqprep.operators.metrics import eval_metrics
 from seqprep.operators.objectives import examples, max_target_length
@@ -21,46 +27,79 @@ from seqprep.operators.packing import pack
 from seqprep.operators.preference import preference_max_length, preference_pairs
 from seqprep.operators.shortest import shortest_examples
 from seqprep.options import PrepOptions, block_size, validate_options
-from seqprep.sources.files import load_raw, prepared, save_metrics, staged
+from seqprep.sources.files import SPLITS, finished, load_raw, prepared, save_metrics, staged
 
 Splits = dict[str, DataFrame]
 
 
-def _written(parts: Splits, opts: PrepOptions, out: str) -> Splits:
-    base = f"{out}/{opts.fingerprint()}"
-    return {
-        name: prepared(part, f"{base}/{name}", opts.overwrite_cache)
-        for name, part in parts.items()
-    }
+def _folder(
+    opts: PrepOptions, out: str, job: str, raw: Splits | None, source: str | None, **more: object
+) -> str:
+    """Where a job's tables go: its name and a digest of all that decides them."""
+    if raw is not None and source is None:
+        source = uuid.uuid4().hex
+    told = json.dumps([job, opts.fingerprint(), source, more], sort_keys=True)
+    return f"{out}/{job}-{hashlib.md5(told.encode()).hexdigest()[:16]}"
+
+
+def _there(spark: SparkSession, folder: str, opts: PrepOptions) -> Splits | None:
+    """The finished tables of an earlier run, unless they are to be written again."""
+    if opts.overwrite_cache or not all(finished(spark, f"{folder}/{s}") for s in SPLITS):
+        return None
+    return {s: spark.read.parquet(f"{folder}/{s}") for s in SPLITS}
+
+
+def _written(parts: Splits, folder: str) -> Splits:
+    return {name: prepared(part, f"{folder}/{name}", True) for name, part in parts.items()}
+
+
+def _loaded(spark: SparkSession, opts: PrepOptions, raw: Splits | None) -> Splits:
+    """The raw splits; rows without an id get their place in the files as one."""
+    return raw or load_raw(spark, opts, opts.row_id)
 
 
 def _capped(parts: Splits, opts: PrepOptions, order_by: str | Sequence[str]) -> Splits:
     limits = {"train": opts.max_train_samples, "validation": opts.max_eval_samples}
-    return {name: cap(part, limits[name], order_by, by_key=True) for name, part in parts.items()}
+    return {name: cap(part, limits[name], order_by) for name, part in parts.items()}
 
 
 def prepare_star(
-    spark: SparkSession, opts: PrepOptions, out: str, raw: Splits | None = None
+    spark: SparkSession,
+    opts: PrepOptions,
+    out: str,
+    raw: Splits | None = None,
+    source: str | None = None,
 ) -> Splits:
     """Path-finding examples of both splits, capped but not packed."""
-    raw = raw or load_raw(spark, validate_options(opts), opts.row_id)
+    validate_options(opts)
+    folder = _folder(opts, out, "star", raw, source)
+    if there := _there(spark, folder, opts):
+        return there
+    raw = _loaded(spark, opts, raw)
     longest = max_target_length(*raw.values())
     parts = {
         name: examples(part, opts.objective, opts, name, longest) for name, part in raw.items()
     }
-    return _written(_capped(parts, opts, opts.row_id), opts, out)
+    return _written(_capped(parts, opts, opts.row_id), folder)
 
 
 def prepare_lego(
-    spark: SparkSession, opts: PrepOptions, out: str, raw: Splits | None = None
+    spark: SparkSession,
+    opts: PrepOptions,
+    out: str,
+    raw: Splits | None = None,
+    source: str | None = None,
 ) -> Splits:
     """Signed-variable chain examples of both splits, capped but not packed."""
-    raw = raw or load_raw(spark, validate_options(opts), opts.row_id)
+    validate_options(opts)
+    folder = _folder(opts, out, "lego", raw, source)
+    if there := _there(spark, folder, opts):
+        return there
     parts = {
         name: lego_examples(part, opts.task, opts.objective, opts, name)
-        for name, part in raw.items()
+        for name, part in _loaded(spark, opts, raw).items()
     }
-    return _written(_capped(parts, opts, opts.row_id), opts, out)
+    return _written(_capped(parts, opts, opts.row_id), folder)
 
 
 def prepare_shortest(
@@ -70,22 +109,26 @@ def prepare_shortest(
     tokenizer_max: int,
     position_limit: int | None = None,
     raw: Splits | None = None,
+    source: str | None = None,
 ) -> Splits:
     """Shortest-path examples: train rows packed, validation rows as they are.
 
     The cap on training rows counts packed chunks, so it cannot be applied before packing.
     """
-    raw = raw or load_raw(spark, validate_options(opts), opts.row_id)
+    validate_options(opts)
+    block = block_size(opts.block_size, tokenizer_max, position_limit)
+    folder = _folder(opts, out, "shortest", raw, source, block=block)
+    if there := _there(spark, folder, opts):
+        return there
     made = {
         name: shortest_examples(part, opts.objective, opts, name, opts.aug)
-        for name, part in raw.items()
+        for name, part in _loaded(spark, opts, raw).items()
     }
-    block = block_size(opts.block_size, tokenizer_max, position_limit)
     chunks = pack(staged(made["train"]), opts.row_id, block)
     if opts.max_train_samples is not None:
         chunks = cap(staged(chunks), opts.max_train_samples, ["batch_id", "chunk"])
-    validation = cap(made["validation"], opts.max_eval_samples, opts.row_id, by_key=True)
-    return _written({"train": chunks, "validation": validation}, opts, out)
+    validation = cap(made["validation"], opts.max_eval_samples, opts.row_id)
+    return _written({"train": chunks, "validation": validation}, folder)
 
 
 def prepare(
@@ -95,12 +138,13 @@ def prepare(
     tokenizer_max: int = 2048,
     position_limit: int | None = None,
     raw: Splits | None = None,
+    source: str | None = None,
 ) -> Splits:
     """Choose the job by dataset name, as the vocabulary is chosen."""
     kind = vocab_kind_for(opts.dataset_name or opts.train_file or opts.validation_file)
     if kind == "lego":
-        return prepare_lego(spark, opts, out, raw)
-    return prepare_shortest(spark, opts, out, tokenizer_max, position_limit, raw)
+        return prepare_lego(spark, opts, out, raw, source)
+    return prepare_shortest(spark, opts, out, tokenizer_max, position_limit, raw, source)
 
 
 @dataclass(frozen=True)
@@ -115,14 +159,21 @@ def prepare_preference(
     out: str,
     raw: Splits | None = None,
     drop_equal: bool = False,
+    source: str | None = None,
 ) -> PreferenceData:
     """Preference rows of both splits and the length budget of a prompt with its answer."""
-    raw = raw or load_raw(spark, validate_options(opts), opts.row_id)
-    longest = max_target_length(*raw.values())
-    pairs = {
-        name: preference_pairs(part, opts.text_column, drop_equal) for name, part in raw.items()
-    }
-    pairs = _written(pairs, opts, out)
+    validate_options(opts)
+    folder = _folder(opts, out, "preference", raw, source, drop_equal=drop_equal)
+    pairs = _there(spark, folder, opts)
+    if pairs is None:
+        pairs = _written(
+            {
+                name: preference_pairs(part, opts.text_column, drop_equal)
+                for name, part in _loaded(spark, opts, raw).items()
+            },
+            folder,
+        )
+    longest = max_target_length(*pairs.values())
     return PreferenceData(pairs, preference_max_length(pairs["train"], opts.row_id, longest))
 
 
@@ -131,3 +182,29 @@ def score(predictions: DataFrame, kind: str, out: str, num_nodes: int = 50) -> D
     metrics = eval_metrics(predictions, vocab_of(kind, num_nodes).eos_id)
     save_metrics(metrics, out)
     return predictions.sparkSession.read.schema(metrics.schema).json(out)
+
+
+def score_generation(
+    outputs: DataFrame,
+    eos_id: int,
+    row_id: str = "id",
+    k: int = 3,
+) -> dict[str, DataFrame]:
+    """Score a table of generated sequences: ``row id, sequence, labels, first`` in one job.
+
+    ``sequence`` is prompt and answer, ``first`` the logits of the first answered position. Gives
+    "metrics" (``metric, value`` of the answers cut off the end), "tokens" (the ``k`` likeliest
+    first tokens per row) and "label" (the probability of the first label).
+    """
+    answers = outputs.select(
+        row_id, tail_slice(F.col("sequence"), F.size("labels")).alias("preds"), "labels", "first"
+    )
+    probs = answers.select(row_id, "labels", softmax(F.col("first")).alias("probs"))
+    best = probs.select(row_id, F.posexplode(topk_tokens(F.col("probs"), k)).alias("rank", "b"))
+    return {
+        "metrics": eval_metrics(answers.select("preds", "labels"), eos_id),
+        "tokens": best.select(row_id, "rank", F.col("b.token").alias("token"), F.col("b.value").alias("prob")),
+        "label": probs.select(
+            row_id, token_prob(F.col("probs"), F.try_element_at("labels", F.lit(1))).alias("prob")
+        ),
+    }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from seqprep.functions.tokens import Vocab
-from seqprep.operators.ordering import head_parts
+from seqprep.operators.ordering import head_parts, with_row_index
 from seqprep.options import PrepOptions, file_format, validate_options
 
 SPLITS = ("train", "validation")
@@ -21,14 +20,16 @@ SPLITS = ("train", "validation")
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the shared folder of the session (``spark.checkpoint.dir``).
 
-    Only a local session without one gets a folder of this machine.
+    A session without one, as in tests, uses its warehouse, which executors share as well. The
+    folder goes when the session's JVM ends: lazy results may read it until then.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="seqprep-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -74,6 +75,25 @@ def read_file(
     return reader.option("inferSchema", schema is None).csv(path, header=True, escape='"')
 
 
+def with_file_index(df: DataFrame, name: str = "id") -> DataFrame:
+    """Add each row's place in the files it was read from, in the order of file and line.
+
+    Rows of one block of a file are read by one task, one after the other, so file, block and a
+    running number order them. The rows are written to a scratch table first: the number must not
+    be drawn twice.
+    """
+    placed = staged(
+        df.select(
+            "*",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_line"),
+        )
+    )
+    keys = ["_file", "_block", "_line"]
+    return with_row_index(placed, keys, name).drop(*keys)
+
+
 def with_validation(
     parts: dict[str, DataFrame], order_by: str | Sequence[str] | None, pct: float
 ) -> dict[str, DataFrame]:
@@ -94,11 +114,16 @@ def load(
     schema: StructType | str | None = None,
     keep_linebreaks: bool = True,
 ) -> dict[str, DataFrame]:
-    """Load files as ``{"train": ..., "validation": ...}``."""
+    """Load files as ``{"train": ..., "validation": ...}``.
+
+    Where the column ``order_by`` is missing, it is made: the row's place in its files.
+    """
     given = {k: p for k, p in (("train", train), ("validation", validation)) if p is not None}
     if not given:
         raise ValueError("need a train or a validation file")
     parts = {k: read_file(spark, p, schema, keep_linebreaks) for k, p in given.items()}
+    if isinstance(order_by, str):
+        parts = {k: p if order_by in p.columns else with_file_index(p, order_by) for k, p in parts.items()}
     return with_validation(parts, order_by, pct)
 
 
@@ -173,13 +198,13 @@ def prepared(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     there once its ``_SUCCESS`` marker is, so a job that failed half-way is written again.
     """
     spark = df.sparkSession
-    if not overwrite and _finished(spark, path):
+    if not overwrite and finished(spark, path):
         return spark.read.parquet(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def _finished(spark: SparkSession, path: str) -> bool:
+def finished(spark: SparkSession, path: str) -> bool:
     marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 

@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from seqprep.operators.lego import lego_examples
 from seqprep.operators.objectives import train_examples
 from seqprep.operators.packing import BATCH_ROWS, pack
+from seqprep.operators.shortest import shortest_examples
 from seqprep.options import PrepOptions
+from seqprep.sources.files import staged
 
 FORMATS = ("parquet", "json", "csv", "text")
 
@@ -38,8 +41,24 @@ def load_stream(
     return reader.format(fmt).load(path)
 
 
-def stream_examples(df: DataFrame, objective: str, opts: PrepOptions) -> DataFrame:
-    """Training-form examples of every row, on any split."""
+def stream_table(spark: SparkSession, name: str, config: str | None = None) -> DataFrame:
+    """Read a catalogue table, ``name`` or ``name_config``, as a stream."""
+    return spark.readStream.table(f"{name}_{config}" if config else name)
+
+
+def stream_examples(
+    df: DataFrame, objective: str, opts: PrepOptions, kind: str = "star"
+) -> DataFrame:
+    """Training-form examples of every row, on any split: of star, lego or shortest-path rows.
+
+    A lego stream takes its task, a shortest-path stream its augmentation from the options.
+    """
+    if kind == "lego":
+        return lego_examples(df, opts.task, objective, opts, "train")
+    if kind == "shortest":
+        return shortest_examples(df, objective, opts, "train", opts.aug)
+    if kind != "star":
+        raise ValueError(f"unknown kind of rows: {kind}")
     return train_examples(df, objective, opts)
 
 
@@ -66,10 +85,9 @@ def pack_stream(
     """Pack each micro-batch on its own into ``path/epoch=<n>``."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.persist()  # packing reads it several times
-        chunks = pack(batch, order_by, block_size, columns, batch_rows)
+        # Packing reads its rows several times, so they are written once.
+        chunks = pack(staged(batch), order_by, block_size, columns, batch_rows)
         chunks.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        batch.unpersist()
 
     return (
         df.writeStream.foreachBatch(write)

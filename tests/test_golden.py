@@ -338,3 +338,39 @@ def test_fixture_sizes(spark):
     assert first.wrong_path == ["46,25,30,28,5", "46,5,28,30,25"]
     assert views.star(spark, sf).count() == 5509
     assert metrics.metric_flush(views.metric_log(spark, sf), keep_open=True).count() == 3971
+
+
+def test_bad_rows_are_listed_and_never_null(spark):
+    from seqprep.operators.lego import lego_examples, lego_rejected
+
+    opts = PrepOptions()
+    rows = [
+        (1, "1,2/1,2=1,2", ["1,2", "1,3"]), (2, "1,2/1,2=1,2", None), (3, "1,2/1,2=1,2", []),
+        (4, "1,2/1,2=1,2", [None, "1,3"]), (5, "1,2/1,2=", ["1,2"]), (6, "no parts", ["1"]), (7, None, ["1"]),
+    ]
+    df = spark.createDataFrame(rows, "id bigint, text string, wrong_path array<string>")
+    for split in ("train", "validation"):
+        for objective in ("step_eval", "mixtask", "error_detection", "teacherforcing"):
+            made = objectives.examples(df, objective, opts, split, 4).collect()
+            out = objectives.rejected(df, objective, opts, split).collect()
+            assert sorted([r.id for r in made] + [r.id for r in out]) == [1, 2, 3, 4, 5, 6, 7]
+            assert all(v is not None for r in made for v in r)
+    chains = [
+        (1, "a=+b/b=+1,a=?x", "s", "d", "p", "s?T"), (2, "a?b", None, None, None, None),
+        (3, "a", "s", "d", "p", "s?T"), (4, "a?b", "s", "d", "p", "no verdict"),
+    ]
+    names = "id bigint, symbol_text string, target_steps string, target_direct string, target_path string, target_verify string"
+    lego = spark.createDataFrame(chains, names)
+    for task in ("steps", "direct", "path", "verify_steps"):
+        made = lego_examples(lego, task, "teacherforcing", opts, "validation").collect()
+        out = lego_rejected(lego, task).collect()
+        assert sorted([r.id for r in made] + [r.id for r in out]) == [1, 2, 3, 4]
+        assert all(v is not None for r in made for v in r)
+
+
+def test_a_sequence_of_one_position_counts_as_right(spark):
+    from seqprep.operators.metrics import train_seq_acc
+
+    rows = [(1, 0, [1.0, 0.0], 1), (2, 0, [1.0, 0.0], -1), (2, 1, [0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "seq bigint, pos int, v array<double>, label int")
+    assert train_seq_acc(df).first().value == 0.5

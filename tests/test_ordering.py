@@ -1,6 +1,8 @@
 """Row order, splits and caps against plain Python."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seqprep.operators import ordering as o
@@ -105,17 +107,43 @@ def test_head_parts(table):
     assert empty.count() == 0
 
 
-def test_cap(table, monkeypatch):
+def test_cap(table):
     first = sorted(r.key for r in table.collect())[:30]
     assert sorted(r.key for r in o.cap(table, 30, "key").collect()) == first
-    monkeypatch.setattr(o, "TOP_ROWS", 10)
-    assert sorted(r.key for r in o.cap(table, 30, "key").collect()) == first
-    assert sorted(r.key for r in o.cap(table, 7, "key", by_key=True).collect()) == first[:7]
-    assert o.cap(table, 0, "key", by_key=True).count() == o.cap(table, 0, "key").count() == 0
+    assert sorted(r.key for r in o.cap(table, 7, "key").collect()) == first[:7]
+    assert o.cap(table, 0, "key").count() == 0
     assert o.cap(table, 5000, "key").count() == 1000
     assert o.cap(table, None, "key") is table
 
 
+@pytest.mark.parametrize("n", [100, 10_500])
+def test_cuts_within_a_repeated_key_fail_alike(spark, n):
+    df = spark.range(12_000).select(F.when(F.col("id") >= 50, F.col("id") * 0 + 50).otherwise(F.col("id")).alias("k"))
+    with pytest.raises(ValueError, match="must identify a row"):
+        o.cap(df, n, "k")
+    with pytest.raises(ValueError, match="must identify a row"):
+        o.head_split(df, "k", 100 * n / 12_000)
+    with pytest.raises(Exception, match="must identify a row"):
+        o.with_row_index(df, "k").collect()
+    assert o.cap(df, 50, "k").count() == 50  # the cut itself is clear
+    assert o.cap(df, 12_000, "k").count() == 12_000
+
+
+@settings(max_examples=25, deadline=None)
+@given(
+    st.lists(st.tuples(st.one_of(st.none(), st.integers(-5, 5)), st.sampled_from(["", "a", "b", None])), min_size=1, max_size=30),
+    st.lists(st.tuples(st.one_of(st.none(), st.integers(-5, 5)), st.sampled_from(["", "a", "b", None])), min_size=1, max_size=40),
+)
+def test_ranges_are_counts_of_bounds(spark, bounds, rows):
+    order = lambda t: tuple((v is not None, v if v is not None else 0) for v in t)
+    bounds = sorted(set(bounds), key=order)
+    df = spark.createDataFrame(rows, "a int, b string")
+    ranges = o.KeyRanges(spark, df.schema, bounds, len(rows))
+    found = [((r.a, r.b), r._range) for r in ranges.mark(df).collect()]
+    assert all(n == sum(order(b) <= order(k) for b in bounds) for k, n in found)
+    assert len(found) == len(rows)
+
+
 def test_sample_rows(table, spark):
     a = o.sample_rows(table, "id", 3, seed=1)
     assert a.count() == 3

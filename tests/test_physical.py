@@ -43,7 +43,7 @@ def test_head_split_reaches_the_scan(spark, star_table):
 
 def test_only_capped_rows_are_built(star_table):
     made = objectives.examples(star_table, "teacherforcing", PrepOptions(), "train")
-    text = plan(ordering.cap(made, 50, "id", by_key=True))
+    text = plan(ordering.cap(made, 50, "id"))
     assert "LessThanOrEqual(id" in text and "Exchange" not in text
 
 

@@ -38,12 +38,25 @@ def test_results_are_right(spark, skewed, name):
     assert difference(QUERIES[name](spark, skewed), database(skewed), sql()[name]) is None
 
 
-def test_hot_order_is_cut_before_it_is_collected(spark, skewed):
-    lines = views.table(spark, skewed, "lineitem")
-    assert lines.filter("l_orderkey = 7").count() > lines.count() / 4
-    assert views.star(spark, skewed).filter("id = 7").count() == 0
-    plan = views.star(spark, skewed)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2  # before and after the shuffle
+@pytest.mark.parametrize("name", ["plain", "skewed"])
+def test_every_line_is_in_some_row(spark, sf_dir, skewed, name):
+    source = sf_dir if name == "plain" else skewed
+    lines = views.table(spark, source, "lineitem")
+    rows = views.star(spark, source)
+    assert rows.agg(F.sum("len_target")).first()[0] == lines.count()
+    assert rows.agg(F.max("len_target")).first()[0] <= views.SEGMENT
+    if name == "skewed":
+        hot = lines.filter("l_orderkey = 7").count()
+        assert hot > lines.count() / 4
+        parts = rows.filter(F.col("id") % views.SEGMENT_ID == 7)
+        assert parts.agg(F.sum("len_target")).first()[0] == hot
+        assert parts.count() == -(-hot // views.SEGMENT)
+
+
+def test_every_entry_of_a_vector_is_used(spark, sf_dir):
+    vectors = views.table(spark, sf_dir, "embeddings")
+    assert views.logits(spark, sf_dir).filter(F.size("v") != 64).count() == 0
+    assert views.lego(spark, sf_dir).count() * views.CHAIN == vectors.count() * 64
 
 
 def test_hot_split_of_a_log_is_summed_in_parts(spark):

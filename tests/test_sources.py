@@ -205,6 +205,104 @@ def test_star_job(spark, star_table, tmp_path):
     assert rows(again["train"]) == rows(made["train"])
 
 
+@pytest.mark.parametrize("kind", ["json", "txt"])
+def test_star_job_without_ids(spark, star_table, tmp_path, kind):
+    """Files in exactly the schema the job is made for: no row has an id."""
+    path = str(tmp_path / f"star.{kind}")
+    rows_in = star_table.orderBy("id").drop("id").coalesce(1)
+    if kind == "json":
+        rows_in.write.json(path)
+        opts = PrepOptions(train_file=path, variant="v0")
+        made = workflows.prepare_star(spark, opts, str(tmp_path / "out"))
+        held = math.floor(star_table.count() * 0.05 + 0.5)
+        assert made["validation"].count() == held
+        assert sorted(r.id for r in made["validation"].collect()) == list(range(held))
+    else:
+        rows_in.select("text").write.text(path)
+        made = files.load(spark, path, order_by="id", keep_linebreaks=False)
+        texts = [r.text for r in star_table.orderBy("id").collect()]
+        found = sorted((r.id, r.text) for p in made.values() for r in p.collect())
+        assert found == list(enumerate(texts))
+
+
+def test_file_index_follows_files_and_lines(spark, tmp_path):
+    for name, n in (("b", 3), ("a", 5), ("c", 0)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(n)))
+    made = files.with_file_index(spark.read.text(str(tmp_path)), "n")
+    assert [r.value for r in made.orderBy("n").collect()] == [
+        *[f"a{i}" for i in range(5)], *[f"b{i}" for i in range(3)]
+    ]
+    assert sorted(r.n for r in made.collect()) == list(range(8))
+
+
+def test_reuse_depends_on_all_that_decides(spark, sf_dir, tmp_path, monkeypatch):
+    from checks import views
+
+    raw = files.staged(views.shortest(spark, sf_dir))
+    raw = {"train": raw, "validation": raw}
+    opts, out = PrepOptions(dataset_name="shortest", block_size=None), str(tmp_path / "out")
+
+    def chunks(tokens):
+        made = workflows.prepare_shortest(spark, opts, out, tokens, raw=raw, source="star")
+        return made["train"].agg(F.max("n_rows")).first()[0]
+
+    assert chunks(64) < chunks(1000)
+    star = files.staged(views.star(spark, sf_dir))
+    parts, options = {"train": star, "validation": star.limit(5)}, PrepOptions(dataset_name="star")
+    workflows.prepare_star(spark, options, out, parts, source="star")
+    pairs = workflows.prepare_preference(spark, options, out, parts, source="star")
+    assert "chosen" in pairs.pairs["train"].columns
+    fewer = workflows.prepare_preference(spark, options, out, parts, True, source="star")
+    equal = pairs.pairs["train"].filter("chosen = rejected").count()
+    assert fewer.pairs["train"].count() == pairs.pairs["train"].count() - equal
+    # A hit builds and stages nothing; tables without a name are built anew.
+    monkeypatch.setattr(workflows, "staged", lambda df: pytest.fail("staged"))
+    monkeypatch.setattr(workflows, "load_raw", lambda *a: pytest.fail("loaded"))
+    assert chunks(64) and workflows.prepare_star(spark, options, out, parts, source="star")
+    half = {"train": star.limit(3), "validation": star.limit(2)}
+    assert workflows.prepare_star(spark, options, out, half)["train"].count() == 3
+
+
+@pytest.mark.parametrize("kind", ["lego", "shortest"])
+def test_other_streams_equal_batches(spark, sf_dir, tmp_path, kind):
+    from checks import views
+    from seqprep.operators.lego import lego_examples
+    from seqprep.operators.shortest import shortest_examples
+
+    table = files.staged(getattr(views, kind)(spark, sf_dir))
+    opts = PrepOptions(task="path", aug="padding")
+    table.write.parquet(str(tmp_path / "in"))
+    stream = streams.load_stream(spark, str(tmp_path / "in"), "parquet", table.schema)
+    made = streams.stream_examples(stream, "teacherforcing", opts, kind)
+    streams.write_stream(made, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    batch = (
+        lego_examples(table, "path", "teacherforcing", opts, "train")
+        if kind == "lego"
+        else shortest_examples(table, "teacherforcing", opts, "train", "padding")
+    )
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(batch)
+    with pytest.raises(ValueError):
+        streams.stream_examples(table, "teacherforcing", opts, "other")
+
+
+def test_table_stream(spark, tmp_path):
+    spark.createDataFrame([("1=2",), ("3=4",)], "text string").write.mode("overwrite").saveAsTable("lines_v1")
+    stream = streams.stream_table(spark, "lines", "v1")
+    streams.write_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_generation_scoring(spark):
+    rows_in = [(1, [9, 9, 5, 6, 70], [5, 6, 70], [0.0] * 5 + [2.0, 1.0]), (2, [9, 7, 8], [7, 9], [1.0] * 7)]
+    df = spark.createDataFrame(rows_in, "id bigint, sequence array<int>, labels array<int>, first array<double>")
+    found = workflows.score_generation(df, 70)
+    assert {r.metric: r.value for r in found["metrics"].collect()}["seq_acc"] == 0.5
+    tokens = {(r.id, r.rank): r.token for r in found["tokens"].collect()}
+    assert tokens[1, 0] == 5 and tokens[1, 1] == 6 and tokens[2, 0] == 0
+    label = {r.id: r.prob for r in found["label"].collect()}
+    assert label[1] == pytest.approx(math.exp(2) / (5 + math.e + math.exp(2))) and label[2] is None
+
+
 def test_shortest_job(spark, sf_dir, tmp_path):
     from checks import views
 
