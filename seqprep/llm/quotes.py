@@ -67,26 +67,30 @@ def passages(messages: DataFrame) -> DataFrame:
 
 
 def _threads(replies: DataFrame) -> DataFrame:
-    """``conv_id, turn, thread, depth`` from ``conv_id, turn, reply_to``, by pointer doubling."""
+    """``conv_id, turn, thread, depth`` from ``conv_id, turn, reply_to``, by pointer doubling.
+
+    Each round every message that has not come to the first of its thread jumps as far as the
+    message it points to has come; only such messages are joined. A reply is later than what it
+    answers, so there are no circles, and a chain of n messages takes log2(n) rounds.
+    """
+    first = F.col("reply_to").isNull()
     now = staged(
         replies.select(
             "conv_id", "turn", F.coalesce("reply_to", "turn").alias("thread"),
-            F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
+            F.when(first, 0).otherwise(1).cast("bigint").alias("depth"), first.alias("done"),
         )
     )
-    while True:
+    while not now.filter("not done").isEmpty():
         up = now.select(
-            "conv_id", F.col("turn").alias("thread"), F.col("thread").alias("_up"), F.col("depth").alias("_more")
+            "conv_id", F.col("turn").alias("thread"), F.col("thread").alias("_up"),
+            F.col("depth").alias("_more"), F.col("done").alias("_done"),
         )
-        moved = staged(
-            now.join(up, ["conv_id", "thread"]).select(
-                "conv_id", "turn", F.col("_up").alias("thread"), (F.col("depth") + F.col("_more")).alias("depth"),
-                (F.col("_up") != F.col("thread")).alias("_moved"),
-            )
+        moved = now.filter("not done").join(up, ["conv_id", "thread"]).select(
+            "conv_id", "turn", F.col("_up").alias("thread"), (F.col("depth") + F.col("_more")).alias("depth"),
+            F.col("_done").alias("done"),
         )
-        now = moved.drop("_moved")
-        if moved.filter("_moved").isEmpty():  # a reply is later than what it answers: no circles
-            return now
+        now = staged(now.filter("done").unionByName(moved))
+    return now.drop("done")
 
 
 def _placed(df: DataFrame) -> DataFrame:
