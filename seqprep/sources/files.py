@@ -28,8 +28,10 @@ def scratch_dir(spark: SparkSession) -> str:
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)  # only what is there can be marked for deletion
+    store.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def staged(df: DataFrame) -> DataFrame:
