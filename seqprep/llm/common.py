@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from seqprep.sources.files import scratch_dir, staged
 
 __all__ = [
-    "arrow_rows", "lower_ascii", "needed", "pieces_of", "reachable", "scratch_dir", "small",
+    "arrow_rows", "cached", "lower_ascii", "needed", "only_cache", "pieces_of", "reachable", "scratch_dir", "small",
     "staged", "table", "unused", "UPPER", "LOWER",
 ]
 
@@ -41,6 +43,27 @@ def needed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
 
 
+_LIBC = ctypes.CDLL(None)
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def cached(name: str, drop: Callable[[], None]) -> None:
+    """Tell of a cache that an operator keeps in its Python worker, and how to drop it."""
+    _CACHES[name] = drop
+
+
+def only_cache(name: str) -> None:
+    """Drop the caches of other operators, and give freed memory back to the machine: a worker runs
+    one operator after the other, and should hold the memory of one."""
+    for other, drop in _CACHES.items():
+        if other != name:
+            drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, made longer until ``df`` has no such column."""
     while name.lower() in {c.lower() for c in df.columns}:

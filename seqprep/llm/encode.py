@@ -7,7 +7,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
-KEPT_WORDS = 600_000  # words of one generation of the cache; two are held at most, some 200 bytes a word
+from seqprep.llm.common import cached, only_cache
+
+KEPT_WORDS = 300_000  # words of one generation of the cache; two are held at most, some 200 bytes a word
 MARKED_WORDS = 50_000  # words with a mark behind them that are kept for a while
 _MARKS = (",", ".")
 # Byte-level vocabularies show the bytes 127 to 160 and 173 as characters from 289 and as 323.
@@ -99,10 +101,12 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+cached("encode", _ENCODERS.clear)
 
 
 def encoder(path: str) -> WordEncoder:
     """The encoder of this process; Spark's Python workers keep it from task to task."""
     if path not in _ENCODERS:
+        only_cache("encode")
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]

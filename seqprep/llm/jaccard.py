@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqprep.llm.common import arrow_rows, needed, small, staged, unused
+from seqprep.llm.common import arrow_rows, cached, needed, only_cache, small, staged, unused
 from seqprep.llm.components import components
 from seqprep.llm.positions import split_words
 
@@ -39,8 +39,8 @@ BANDS, ROWS = 32, 5
 STEP = 32  # MinHash values compared at a time
 BLOCK = 1024  # classes of a block: a task holds two blocks
 BROADCAST_ROWS = 500_000  # ids of documents, 4 MB
-DENSE = 20_000_000  # cells of a membership matrix: its columns are taken in such parts
-_KEPT_WORDS = 600_000
+DENSE = 8_000_000  # cells of a membership matrix: its columns are taken in such parts
+_KEPT_WORDS = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("d", pa.binary()), ("sig", pa.binary())])
@@ -58,6 +58,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+cached("jaccard", _HASHES.clear)
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
@@ -115,6 +116,7 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
+    only_cache("jaccard")
     for batch in batches:
         for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             found = shingles(text.as_py(), n)
@@ -122,6 +124,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
+    only_cache("jaccard")
     for batch in batches:
         for text in batch.column("text"):
             found = shingles(text.as_py(), n)
@@ -132,11 +135,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows with the same first column, which come one after the other."""
     held: list[tuple] = []
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if held and row[0] != held[0][0]:
-                yield held
-                held = []
-            held.append(row)
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            for row in zip(*[c.to_pylist() for c in part.columns]):
+                if held and row[0] != held[0][0]:
+                    yield held
+                    held = []
+                held.append(row)
     if held:
         yield held
 
