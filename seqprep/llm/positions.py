@@ -29,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqprep.llm.common import LOWER, UPPER, lower_ascii, needed, small, staged
+from seqprep.llm.common import LOWER, UPPER, lower_ascii, needed, only_cache, small, staged
 
-SEGMENT_WORDS = 4_000_000  # a segment is closed once it has so many; a longer document is one segment
+SEGMENT_WORDS = 2_000_000  # a segment is closed once it has so many; a longer document is one segment
 GAP = 64  # places between documents, so that no phrase reaches into the next one
 BROADCAST_ROWS = 200_000  # terms or phrases, at most some 30 MB
 DIRECTORY = ""  # the term of a segment's directory row; never a word
@@ -93,13 +93,15 @@ def _segment(
     if not terms:
         return
     ids = np.concatenate(runs)
-    places = np.concatenate(
-        [np.arange(s, s + n, dtype=np.int32) for s, n in zip(starts.tolist(), lengths.tolist())]
-    )
-    order = np.argsort(ids, kind="stable")
     counts = np.bincount(ids, minlength=len(terms))
+    order = np.argsort(ids, kind="stable").astype(np.int32)
+    del ids
+    # The place of the k-th word is k and the gaps of the documents before its own.
+    places = np.arange(len(order), dtype=np.int32)
+    places += np.repeat(GAP * np.arange(len(lengths), dtype=np.int32), lengths)
     firsts = np.cumsum(counts) - counts
     data = _deltas(places[order], firsts).astype("<i4")
+    del places, order
     step = 100_000  # rows of a batch
     for at in range(0, len(terms), step):
         n = counts[at : at + step]
@@ -121,6 +123,7 @@ def _segment(
 
 
 def _segments(batches: Iterator[pa.RecordBatch], segment_words: int) -> Iterator[pa.RecordBatch]:
+    only_cache("positions")
     part, nth, held = TaskContext.get().partitionId(), 0, 0
     terms: dict[bytes, int] = defaultdict()
     terms.default_factory = terms.__len__
@@ -263,7 +266,12 @@ def search(spark: SparkSession, path: str, phrases: DataFrame, slop: int = 0) ->
     active = staged(listed.select("segment", "term").join(rare, "term").drop("term"))
     wanted = active.select("segment", F.explode("terms.term").alias("term")).distinct()
     directories = active.select("segment").distinct().withColumn("term", F.lit(DIRECTORY))
-    postings = index.join(wanted.unionByName(directories), ["segment", "term"], "left_semi").select(
+    # Only rows of the phrases' terms move; most terms of a corpus are in no phrase.
+    asked_terms = terms.unionByName(spark.createDataFrame([(DIRECTORY,)], "term string"))
+    kept = index.join(
+        F.broadcast(asked_terms) if small(terms, BROADCAST_ROWS) else asked_terms, "term", "left_semi"
+    )
+    postings = kept.join(wanted.unionByName(directories), ["segment", "term"], "left_semi").select(
         "segment", "term", "places", "doc_words"
     )
     found = (
