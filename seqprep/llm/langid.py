@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqprep.llm.common import arrow_rows, needed, staged
+from seqprep.llm.common import arrow_rows, needed, only_cache, small, staged
 
 WIDTH = 4096  # columns that n-grams are hashed to
 SAMPLE = 2000  # labelled rows of a language that the classifier is fitted on, at most
 CENTROIDS = 4
+MOST_LANGUAGES = 10_000  # whose counts are broadcast; more of them are joined by a shuffle
 SHORT = 64
 SLACK = 0.2
 NEAR = 0.85  # a distance that is never beyond a radius, however alike the training texts are
@@ -123,7 +124,8 @@ def train(
     The rows are thinned before they are ranked, so no language meets whole in a task.
     """
     rows = needed(df, key=key, lang=lang, text=text).filter("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    sizes = F.broadcast(sizes) if small(sizes, MOST_LANGUAGES) else sizes
     draw = F.xxhash64("key", F.lit(7))
     thin = F.pmod(draw, F.lit(1 << 20)) < F.lit(1.5 * sample * (1 << 20)) / F.col("n")
     ranked = Window.partitionBy("lang").orderBy(draw, "key")
@@ -212,6 +214,7 @@ def accepted(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     """The rows of ``df`` whose text is not rejected, with all their columns."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("langid")
         for batch in batches:
             texts = pa.RecordBatch.from_arrays(
                 [pa.nulls(batch.num_rows, pa.int64()), batch.column(batch.schema.names.index(text))],
