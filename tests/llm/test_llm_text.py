@@ -142,6 +142,39 @@ def test_losses_against_plain_counting(spark, hostile):
         assert a == b and (x == y or np.allclose(x, y, atol=1e-4))
 
 
+SCRIPTS = [
+    (1, "山高水長 風月無邊 0123"), (2, "山高水長 花鳥風月 4567"), (3, "мороз и солнце день чудесный"),
+    (4, "ещё ты дремлешь друг прелестный"), (5, "".join(map(chr, range(0x4E00, 0x4E80)))), (6, None), (7, "12:30 'x' \0"),
+]
+
+
+@pytest.mark.parametrize("hot, numbered", [(1_000_000, 65_535), (20, 65_535), (1_000_000, 12), (0, 9)])
+def test_every_character_is_a_symbol_of_its_own(spark, monkeypatch, hot, numbered):
+    """Scripts of many characters; n-grams that are broadcast, joined, or both."""
+    monkeypatch.setattr(crossentropy, "HOT", hot)
+    monkeypatch.setattr(crossentropy, "NUMBERED", numbered)
+    docs = spark.createDataFrame([(k, t, k in (1, 3)) for k, t in SCRIPTS], "doc_id bigint, text string, target boolean")
+    found = {r["doc_id"]: r for r in crossentropy.score(docs, crossentropy.train(docs)).collect()}
+    for key, expected in plain_losses(SCRIPTS, {1, 3}):
+        seen = [found[key]["loss_target"], found[key]["loss_background"]]
+        assert seen == expected or np.allclose(seen, expected, rtol=0, atol=1e-6)
+    assert found[1]["score"] < 0 < found[2]["score"]
+
+
+def test_documents_that_the_models_have_not_seen(spark):
+    docs = spark.createDataFrame([(k, t, k in (1, 3)) for k, t in SCRIPTS], "doc_id bigint, text string, target boolean")
+    models = crossentropy.train(docs)
+    new = spark.createDataFrame([(1, "風月 水長 мороз ξ")], "doc_id bigint, text string")
+    row = crossentropy.score(new, models).first()
+    shown = spark.createDataFrame([(0, 0)], "ctx bigint, last int").limit(0)
+    assert crossentropy.unseen(shown, models).count() == 0
+    whole = crossentropy.unseen(models.grams[-1].select("ctx", "last"), models).join(
+        models.grams[-1].select("ctx", "last", F.col("p_target").alias("p")), ["ctx", "last"]
+    )
+    assert whole.filter("p != p_target").count() == 0 and whole.count() == models.grams[-1].count()
+    assert 0 < row["loss_target"] < math.log(crossentropy.SYMBOLS) + 3
+
+
 def test_op6_tells_good_from_other(spark, sf_dir, documents):
     rows = QUERIES["op6_crossentropy"](spark, sf_dir).collect()
     assert len(rows) == documents.count()
