@@ -13,8 +13,9 @@
    are the classes of near duplicates.
 
 Defined cases: a text without words (null, empty, marks only) links to nothing; one of fewer than
-five words is one shingle of them all; repeated rows are copies; an empty table gives no rows;
-other columns are not read.
+five words is one shingle of them all; repeated rows are copies; rows without a doc_id are compared
+like others, and a class has no id only if none of its rows has; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -38,12 +39,12 @@ WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 32, 5
 STEP = 32  # MinHash values compared at a time
 BLOCK = 1024  # classes of a block: a task holds two blocks
-BROADCAST_ROWS = 500_000  # ids of documents, 4 MB
+BROADCAST_ROWS = 500_000  # ids and text hashes of documents, 8 MB
 DENSE = 8_000_000  # cells of a membership matrix: its columns are taken in such parts
 _KEPT_WORDS = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("d", pa.binary()), ("sig", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("d", pa.binary()), ("sig", pa.binary())])
 SETS = pa.schema([("d", pa.binary()), ("shingles", pa.binary())])
 PAIRED = pa.schema(
     [("g", pa.binary()), ("place", pa.int32()), ("d", pa.binary()), ("others", pa.binary())]
@@ -118,9 +119,10 @@ def _digest(found: np.ndarray) -> bytes:
 def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
     only_cache("jaccard")
     for batch in batches:
-        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+        keys, hashes = (batch.column(c).to_pylist() for c in ("doc_id", "t"))
+        for key, t, text in zip(keys, hashes, batch.column("text")):
             found = shingles(text.as_py(), n)
-            yield (key, _digest(found), signature(found)) if len(found) else (key, None, None)
+            yield (key, t, _digest(found), signature(found)) if len(found) else (key, t, None, None)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
@@ -277,15 +279,20 @@ def near_classes(
     if threshold < THRESHOLD:
         raise ValueError(f"the bands find pairs of {THRESHOLD} or more")
     docs = needed(df, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    docs = docs.withColumn("t", F.xxhash64("text"))
     signed = staged(
         docs.mapInArrow(
-            lambda batches: arrow_rows(SIGNED, _sign(batches, words)), "doc_id bigint, d binary, sig binary"
+            lambda batches: arrow_rows(SIGNED, _sign(batches, words)),
+            "doc_id bigint, t bigint, d binary, sig binary",
         )
     )
+    # A class's sets are read again from the rows with the id and text of one of its members.
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("one")
     classes = staged(
-        signed.filter("d is not null").groupBy("d").agg(
-            F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig")
-        )
+        signed.filter("d is not null")
+        .groupBy("d")
+        .agg(one, F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig"))
+        .select("d", F.col("one.doc_id").alias("copy_id"), F.col("one.t").alias("t"), "copies", "sig")
     )
     keys = F.array(
         *[F.concat(F.substring("sig", 1 + ROWS * b, ROWS), F.lit(bytes([b]))) for b in range(BANDS)]
@@ -323,12 +330,13 @@ def near_classes(
             lambda batches: _prune(batches, keep),
         )
     )
-    asked = pruned.select("d").distinct().join(classes.select("d", "copy_id"), "d").select(
-        F.col("copy_id").alias("doc_id")
+    asked = pruned.select("d").distinct().join(classes.select("d", "copy_id", "t"), "d").select(
+        F.col("copy_id").alias("_id"), F.col("t").alias("_t")
     )
     asked = staged(asked.distinct())
-    texts = docs.join(F.broadcast(asked) if small(asked, BROADCAST_ROWS) else asked, "doc_id", "left_semi")
-    sets = texts.mapInArrow(
+    same = (F.col("t") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    texts = docs.join(F.broadcast(asked) if small(asked, BROADCAST_ROWS) else asked, same, "left_semi")
+    sets = texts.select("text").mapInArrow(
         lambda batches: arrow_rows(SETS, _sets(batches, words)), "d binary, shingles binary"
     ).dropDuplicates(["d"])
     verified = staged(
@@ -346,7 +354,7 @@ def near_classes(
     rooted = classes.select("d", "copy_id", "copies").join(
         found.select(F.col("node").alias("d"), "root"), "d", "left"
     ).withColumn("root", F.coalesce("root", "d"))
-    least = F.min(F.struct("copy_id", "d"))
+    least = F.min(F.struct(F.col("copy_id").isNull().alias("no_id"), "copy_id", "d"))
     firsts = rooted.groupBy("root").agg(least.alias("first"))
     told = rooted.join(firsts, "root").join(linked, "d", "left").select(
         "d",

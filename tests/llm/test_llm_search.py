@@ -145,6 +145,19 @@ def test_jaccard_of_hostile_documents(spark, hostile):
     assert jaccard.near_classes(hostile).count() == len(HOSTILE)
 
 
+def test_near_copies_without_an_id(spark):
+    family, others = list(edited(3, 2)), [t.replace("word", "term") for t in edited(4, 3)]
+    rows = [(None, family[0]), (None, family[1]), (None, family[1]), (None, others[0]), (5, others[1]), (4, others[2])]
+    df = spark.createDataFrame([*rows, (None, None), (None, "by itself")], "doc_id bigint, text string")
+    found = jaccard.near_classes(df).select("doc_id", "class_id", "n_links").collect()
+    seen = sorted(((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"]) for r in found))
+    links = [n for *_, n in plain_classes([(k or 0, t) for k, t in rows])]
+    told = [(0, 0, n) for n in links[:3]] + [(0, 4, links[3]), (5, 4, links[4]), (4, 4, links[5]), (0, 0, 0), (0, 0, 0)]
+    assert seen == sorted(told) and min(links) > 0
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(df).collect()]
+    assert len(kept) == 4 and (4, others[2]) in kept and (None, None) in kept and (None, "by itself") in kept
+
+
 def test_jaccard_of_a_family_in_many_blocks(spark, monkeypatch):
     rows = [(k, t) for k, t in enumerate([*edited(90, 4), *edited(30, 2), "alone in the world of words"])]
     expected = plain_classes(rows)
