@@ -31,12 +31,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold ten words in a row of a benchmark item, or all of a shorter one.
 
-    Documents that share a doc_id stand or fall together.
+    Each row is judged by its text, whose hash stands for it in the index: rows with the same doc_id,
+    or none, do not share a verdict.
     """
-    found = searched(spark, docs, table(spark, sf_dir, "benchmark"))
-    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("_id")).distinct()
+    key = F.xxhash64("text")
+    benchmark = table(spark, sf_dir, "benchmark")
+    found = searched(spark, docs.select(key.alias("doc_id"), "text"), benchmark)
+    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct()
     hit = F.broadcast(hit) if small(hit, positions.BROADCAST_ROWS) else hit
-    return docs.select(*COLUMNS).join(hit, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.select(*COLUMNS).join(hit, key == F.col("_key"), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

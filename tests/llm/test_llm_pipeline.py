@@ -3,7 +3,7 @@
 import corpus_pipeline as pipeline
 from seqprep.llm.common import staged
 
-from .conftest import HOSTILE
+from .conftest import HOSTILE, SCHEMA
 from .test_llm_search import plain_classes, plain_search
 from .test_llm_tokens import check_packing
 
@@ -40,3 +40,12 @@ def test_empty_documents(spark, sf_dir, hostile, tmp_path):
     hostile.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clean_documents_stay_whatever_their_id(spark, tmp_path):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, "clean"), (7, f"so {item}"), (7, "clean too"), (8, item), (None, None), (None, "clean")]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], SCHEMA)
+    kept = pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (0, "clean"), (0, "clean"), (7, "clean too")]
