@@ -13,7 +13,8 @@ With ``slop`` a term may stand up to so many words from its place (a proximity m
 Words are runs of digits, a-z and all characters beyond ASCII, after lower-casing A-Z.
 
 Defined cases: a null or empty text has no words and no match; a phrase with a term that the corpus
-lacks is in no document; repeated documents match each by itself; an empty index or an empty list
+lacks is in no document; repeated documents match each by itself; an item without an id is searched
+for like any other and counts in ``n_hit``, has no label, and is told by ``unnamed``; an empty index or an empty list
 of phrases gives documents without matches, or no rows; other columns are not read.
 """
 
@@ -51,7 +52,7 @@ INDEX_DDL = (
     "segment bigint, term string, n_occ bigint, places binary, doc_ids array<bigint>, "
     "doc_words array<int>"
 )
-FOUND_DDL = "segment bigint, nth bigint, n_hit bigint, labels array<string>, starts array<int>"
+FOUND_DDL = "segment bigint, nth bigint, n_hit bigint, labels array<string>, starts array<int>, unnamed boolean"
 
 # What stands between words becomes a space, A-Z becomes a-z.
 _SEPARATED = bytes(
@@ -157,19 +158,22 @@ def write_index(
 def windows(
     items: DataFrame, size: int = 10, item_id: str = "item_id", text: str = "text"
 ) -> DataFrame:
-    """``phrase, labels``: every run of ``size`` words of an item, with the items that have it.
+    """``phrase, labels, unnamed``: every run of ``size`` words of an item, with the items that have it.
 
-    An item of fewer words, but not none, is one phrase.
+    An item of fewer words, but not none, is one phrase. ``unnamed`` tells of items without an id.
     """
     found = needed(items, item_id=item_id, text=text).select(
         F.col("item_id").cast("string").alias("label"), words(F.col("text")).alias("w")
-    ).filter((F.size("w") > 0) & F.col("label").isNotNull())
+    ).filter(F.size("w") > 0)
     last = F.greatest(F.size("w") - size + 1, F.lit(1))
     runs = found.select("label", "w", F.explode(F.sequence(F.lit(1), last)).alias("at"))
     return (
         runs.select("label", F.slice("w", F.col("at"), size).alias("phrase"))
         .groupBy("phrase")
-        .agg(F.sort_array(F.collect_set("label")).alias("labels"))
+        .agg(
+            F.sort_array(F.collect_set("label")).alias("labels"),
+            F.bool_or(F.col("label").isNull()).alias("unnamed"),
+        )
     )
 
 
@@ -182,7 +186,7 @@ def _near(wanted: np.ndarray, places: np.ndarray, slop: int) -> np.ndarray:
 
 def _match(postings: pd.DataFrame, phrases: pd.DataFrame, slop: int) -> pd.DataFrame:
     """Documents of one segment with matches."""
-    empty = pd.DataFrame({"segment": [], "nth": [], "n_hit": [], "labels": [], "starts": []})
+    empty = pd.DataFrame({"segment": [], "nth": [], "n_hit": [], "labels": [], "starts": [], "unnamed": []})
     if postings.empty or phrases.empty:
         return empty
     lists = {
@@ -196,7 +200,8 @@ def _match(postings: pd.DataFrame, phrases: pd.DataFrame, slop: int) -> pd.DataF
     hit = np.zeros(int(starts[-1] + lengths[-1]) + GAP, dtype=bool)
     labels: dict[int, set[str]] = defaultdict(set)
     at: dict[int, list[int]] = defaultdict(list)
-    for terms, names in zip(phrases["terms"], phrases["labels"]):
+    nameless: set[int] = set()
+    for terms, names, unnamed in zip(phrases["terms"], phrases["labels"], phrases["unnamed"]):
         size, found = len(terms), None
         for t in terms:
             places = lists.get(t["term"])
@@ -216,6 +221,8 @@ def _match(postings: pd.DataFrame, phrases: pd.DataFrame, slop: int) -> pd.DataF
         keep = (inside >= 0) & (inside < lengths[nth])
         for doc, place in zip(nth[keep].tolist(), inside[keep].tolist()):
             labels[doc].update(names)
+            if unnamed:
+                nameless.add(doc)
             at[doc].append(place)
             low = int(starts[doc]) + place
             hit[low : min(low + size, int(starts[doc] + lengths[doc]))] = True
@@ -231,18 +238,22 @@ def _match(postings: pd.DataFrame, phrases: pd.DataFrame, slop: int) -> pd.DataF
             "n_hit": [int(total[starts[d] + lengths[d]] - total[starts[d]]) for d in docs],
             "labels": [sorted(labels[d]) for d in docs],
             "starts": [sorted(set(at[d])) for d in docs],
+            "unnamed": [d in nameless for d in docs],
         }
     )
 
 
 def search(spark: SparkSession, path: str, phrases: DataFrame, slop: int = 0) -> DataFrame:
-    """Every document of the index: ``doc_id, n_words, n_hit, labels, starts``.
+    """Every document of the index: ``doc_id, n_words, n_hit, labels, starts, unnamed``.
 
     ``n_hit`` counts words inside matches, ``labels`` are those of the phrases found, ``starts`` the
-    places (in words, from 0) where matches begin. ``phrases`` has ``phrase`` (array of words) and
-    ``labels``; it may have any number of rows: both it and the postings move by segment.
+    places (in words, from 0) where matches begin, ``unnamed`` whether a phrase found has an item
+    without an id. ``phrases`` has ``phrase`` (array of words), ``labels`` and, if any are, ``unnamed``;
+    it may have any number of rows: both it and the postings move by segment.
     """
     index = spark.read.parquet(path)
+    if "unnamed" not in phrases.columns:
+        phrases = phrases.withColumn("unnamed", F.lit(False))
     asked = staged(phrases.withColumn("id", F.xxhash64("phrase")))
     longest = asked.agg(F.max(F.size("phrase"))).first()[0] or 0
     if longest + slop > GAP:
@@ -259,7 +270,7 @@ def search(spark: SparkSession, path: str, phrases: DataFrame, slop: int = 0) ->
         .agg(F.sort_array(F.collect_list(F.struct("n", "place", "term"))).alias("terms"))
         .join(asked, "id")
         .filter(F.size("terms") == F.size("phrase"))
-        .select(F.col("terms")[0]["term"].alias("term"), "id", "terms", "labels")
+        .select(F.col("terms")[0]["term"].alias("term"), "id", "terms", "labels", "unnamed")
     )
     ordered = staged(ordered)
     rare = F.broadcast(ordered) if small(ordered, BROADCAST_ROWS) else ordered
@@ -276,7 +287,7 @@ def search(spark: SparkSession, path: str, phrases: DataFrame, slop: int = 0) ->
     )
     found = (
         postings.groupBy("segment")
-        .cogroup(active.select("segment", "terms", "labels").groupBy("segment"))
+        .cogroup(active.select("segment", "terms", "labels", "unnamed").groupBy("segment"))
         .applyInPandas(lambda a, b: _match(a, b, slop), FOUND_DDL)
     )
     docs = index.filter(F.col("term") == DIRECTORY).select(
@@ -289,4 +300,5 @@ def search(spark: SparkSession, path: str, phrases: DataFrame, slop: int = 0) ->
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("labels", none).alias("labels"),
         F.coalesce("starts", F.array().cast("array<int>")).alias("starts"),
+        F.coalesce("unnamed", F.lit(False)).alias("unnamed"),
     )

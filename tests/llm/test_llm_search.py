@@ -104,6 +104,22 @@ def test_op8_matches_sql(spark, sf_dir):
     assert clean["items_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_items_without_an_id_are_searched_for(spark, tmp_path):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = [(1, f"x {item} y"), (2, "alpha beta gamma"), (3, f"{item} and one two three")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(None, item), (None, "one two"), (8, item + " lambda"), (9, "two three")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = con.execute(SQL["op8_positions"])
+    names = [d[0] for d in found.description]
+    rows = QUERIES["op8_positions"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, rows)) == sorted(found.fetchall())
+    assert {r["doc_id"]: r["n_hit"] for r in rows} == {1: 10, 2: 0, 3: 13}
+
+
 def plain_classes(documents, threshold=0.8):
     """Class and number of links per row, comparing all pairs."""
     sets = [set(jaccard.shingles(t).tolist()) for _, t in documents]
