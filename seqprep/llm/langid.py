@@ -7,10 +7,12 @@ few centroids by cosine, one task a language, on a bounded sample of its labelle
 driver gathers is the model only: centroids of a fixed width per language.
 
 A prediction is the language of the centroid with the largest cosine. It is rejected when its
-distance (1 - cosine) is beyond the language's radius for texts of that length: the largest distance
-among its training texts at least as long, and some slack; ``NEAR`` at least, so that only texts
-unlike anything learnt go. Texts shorter than ``SHORT`` bytes say
-too little and are rejected only when they share nothing with any centroid.
+distance (1 - cosine) is beyond the language's radius for texts of that length: a high quantile of the
+distances of sampled texts that its centroids have not seen, and a small slack. A part of the sample is
+kept out of clustering for this; of a language with few rows, each part in turn. Beginnings of these
+texts give the radii of shorter lengths, the longest length known that of longer ones; a language of a
+single row has the widest radius of the others. Texts shorter
+than ``SHORT`` bytes say too little and are rejected only when they share nothing with any centroid.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; without
 training rows so is every text; ties go to the alphabetically first language; rows without a label
@@ -36,8 +38,9 @@ SAMPLE = 2000  # labelled rows of a language that the classifier is fitted on, a
 CENTROIDS = 4
 MOST_LANGUAGES = 10_000  # whose counts are broadcast; more of them are joined by a shuffle
 SHORT = 64
-SLACK = 0.2
-NEAR = 0.85  # a distance that is never beyond a radius, however alike the training texts are
+FOLDS = 4  # one of them is kept out of clustering and gives the radii
+FEW = 80  # rows of a language below which each fold is kept out in turn
+QUANTILE, SLACK = 0.995, 0.05  # of the distances of texts kept out; what is added to it
 UNKNOWN = "und"
 
 PREDICTED = pa.schema(
@@ -78,6 +81,31 @@ def _bucket(n_bytes: int) -> int:
     return min(int(n_bytes).bit_length(), _BUCKETS - 1)
 
 
+def _beginnings(text: str) -> Iterator[tuple[str, int]]:
+    """Beginnings of a text of 64, 128 ... bytes, each the shortest of its length bucket."""
+    data = text.encode()
+    n = SHORT
+    while 2 * n <= len(data):
+        yield data[:n].decode(errors="ignore"), _bucket(n)
+        n *= 2
+
+
+def _distances(rows: np.ndarray, idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    parts = [1 - (_unit(rows[at : at + 256], idf) @ centroids.T).max(axis=1) for at in range(0, len(rows), 256)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def radii(buckets: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """The radius of each length from distances of texts kept out; lengths without any take that of
+    the next shorter length, or of the shortest."""
+    found = np.zeros(_BUCKETS)
+    known = sorted(set(buckets.tolist()))
+    for b in range(_BUCKETS):
+        own = max((k for k in known if k <= b), default=known[0])
+        found[b] = np.quantile(far[buckets == own], QUANTILE) + SLACK
+    return found
+
+
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
@@ -132,21 +160,27 @@ def train(
     picked = rows.join(sizes, "lang").filter(thin | (F.col("n") <= sample)).withColumn(
         "nth", F.row_number().over(ranked)
     )
-    picked = picked.filter(F.col("nth") <= sample).select("lang", "text")
+    few = F.least("n", F.lit(sample)) < FEW
+    picked = picked.filter(F.col("nth") <= sample).select(
+        "lang", "text", F.pmod("nth", F.lit(FOLDS)).alias("fold"), few.alias("few")
+    )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[[has_letter(t) for t in batch["text"]]]
-            made = [counts(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "lang": batch["lang"],
-                    "counts": [c.astype("<u4").tobytes() for c, _ in made],
-                    "size": [n for _, n in made],
-                }
-            )
-
-    counted = staged(picked.mapInPandas(count, "lang string, counts binary, size int"))
+            made = []
+            for lang, text, fold, few in zip(batch["lang"], batch["text"], batch["fold"], batch["few"]):
+                if not has_letter(text):
+                    continue
+                found, n = counts(text)
+                made.append((lang, fold, few, True, _bucket(n), found.astype("<u4").tobytes()))
+                for part, bucket in _beginnings(text) if few or not fold else ():
+                    if has_letter(part):
+                        made.append((lang, fold, few, False, bucket, counts(part)[0].astype("<u4").tobytes()))
+            yield pd.DataFrame(made, columns=["lang", "fold", "few", "whole", "bucket", "counts"])
+
+    counted = staged(
+        picked.mapInPandas(count, "lang string, fold int, few boolean, whole boolean, bucket int, counts binary")
+    )
 
     def matrix(group: pd.DataFrame) -> np.ndarray:
         return np.frombuffer(b"".join(group["counts"]), "<u4").reshape(len(group), WIDTH)
@@ -155,7 +189,7 @@ def train(
         held = (matrix(group) > 0).sum(axis=0).astype("<i8")
         return pd.DataFrame({"n": [len(group)], "held": [held.tobytes()]})
 
-    held = counted.groupBy("lang").applyInPandas(seen, "n bigint, held binary").collect()
+    held = counted.filter("whole").groupBy("lang").applyInPandas(seen, "n bigint, held binary").collect()
     if not held:
         return None
     total = sum(r["n"] for r in held)
@@ -163,16 +197,23 @@ def train(
     idf = np.log((1 + total) / (1 + within)) + 1
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        vectors = _unit(matrix(group), idf)
-        found = cluster(vectors, k)
-        far = 1 - (vectors @ found.T).max(axis=1)
-        radius = np.zeros(_BUCKETS)
-        np.maximum.at(radius, [_bucket(n) for n in group["size"]], far)
-        # Longer texts are no farther off: a text may be as far as any one at least as long.
-        radius = np.maximum.accumulate(radius[::-1])[::-1] + SLACK
-        longest = max(_bucket(n) for n in group["size"])
-        radius[longest:] = radius[longest]
-        radius = np.maximum(radius, NEAR)
+        fold = group["fold"].to_numpy()
+        few = bool(group["few"].iloc[0]) or not (fold == 0).any()
+        whole = group["whole"].to_numpy(bool)
+        vectors, own = _unit(matrix(group[whole]), idf), fold[whole]
+        buckets, far = [], []
+        for out in range(FOLDS) if few else (0,):
+            learnt = vectors[own != out]
+            found = cluster(learnt if len(learnt) else vectors, k)
+            part = group[fold == out]
+            buckets.append(part["bucket"].to_numpy())
+            far.append(_distances(matrix(part), idf, found))
+        if few:
+            found = cluster(vectors, k)
+        # A single row tells nothing of the distances of others.
+        radius = np.full(_BUCKETS, np.nan)
+        if len(vectors) > 1:
+            radius = radii(np.concatenate(buckets), np.concatenate(far))
         return pd.DataFrame(
             {
                 "lang": group["lang"].iloc[0],
@@ -184,13 +225,16 @@ def train(
     fitted = counted.groupBy("lang").applyInPandas(fit, "lang string, centroid binary, radius binary")
     rows = sorted((r["lang"], r["centroid"], r["radius"]) for r in fitted.collect())
     languages = sorted({r[0] for r in rows})
-    radii = {r[0]: np.frombuffer(r[2], "<f8") for r in rows}
+    reach = {r[0]: np.frombuffer(r[2], "<f8") for r in rows}
+    radius = np.stack([reach[name] for name in languages])
+    widest = np.fmax.reduce(radius, axis=0)
+    radius = np.where(np.isnan(radius), np.where(np.isnan(widest), 1.0, widest), radius)
     return Model(
         languages,
         idf,
         np.stack([np.frombuffer(r[1], "<f4") for r in rows]),
         np.array([languages.index(r[0]) for r in rows]),
-        np.stack([radii[name] for name in languages]),
+        radius,
     )
 
 

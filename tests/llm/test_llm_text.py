@@ -1,5 +1,6 @@
 """Language, cross-entropy, quotes, URLs and shards."""
 
+import base64
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -17,6 +18,13 @@ from seqprep.llm.queries import QUERIES, RULES, SQL
 from .conftest import HOSTILE
 
 
+FINNISH = (
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki "
+    "ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokaisella on oikeus elämään, "
+    "vapauteen ja henkilökohtaiseen turvallisuuteen. Ketään ei saa pitää orjana tai orjuutettuna. "
+)
+
+
 def sql_rows(sf_dir, name, *tables):
     con = duckdb.connect()
     for t in tables:
@@ -76,6 +84,25 @@ def test_far_texts_are_rejected(documents):
     assert far[0] and score[0] < 0.5
 
 
+def test_texts_of_no_language_are_rejected(spark, sf_dir):
+    """Gibberish, base64 and a language not learnt, against clean rows that were held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang is not null and text is not null")
+    rows = docs.select("doc_id", "lang", "text").collect()
+    learnt = [r for r in rows if r["doc_id"] % 4]
+    clean = [r["text"] for r in rows if not r["doc_id"] % 4 and len(r["text"]) >= 256]
+    draw = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    bad = ["".join(draw.choice(letters, 1000)), base64.b64encode(draw.bytes(900)).decode(), FINNISH * 3]
+    model = langid.train(spark.createDataFrame(learnt, "doc_id bigint, lang string, text string"))
+
+    def rejected(texts):
+        made = [langid.counts(t) for t in texts]
+        return model.predict(np.stack([c for c, _ in made]), [n for _, n in made])[2]
+
+    assert rejected(bad).all()
+    assert rejected(clean).mean() <= 0.05 and len(clean) > 20
+
+
 def test_clusters_find_groups():
     draw = np.random.default_rng(2)
     centres = np.eye(3, 20)
