@@ -490,8 +490,10 @@ FROM documents""",
     "cap_rows": "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100",
     "sample_rows": f"""WITH {STAR} SELECT id, text FROM star
 ORDER BY md5(concat('{SEED}|', id)), id LIMIT 3""",
-    "sample_decoded": f"""WITH {STAR} SELECT id, split_part(text, '=', 1) || '=' AS prompt,
-  split_part(text, '=', 2) AS target FROM star ORDER BY md5(concat('{SEED}|', id)), id LIMIT 3""",
+    "sample_decoded": f"""WITH {STAR}
+SELECT id, {numeral_text(toks("split_part(text, '=', 1) || '='"))} AS prompt,
+  {numeral_text(toks("split_part(text, '=', 2)"))} AS target
+FROM star ORDER BY md5(concat('{SEED}|', id)), id LIMIT 3""",
     "split_counts": f"""SELECT split, count(*) AS n_rows,
   CASE WHEN split = 'train' THEN least(500, count(*)) ELSE count(*) END AS n_kept
 FROM ({DOC_SPLIT}) GROUP BY split""",
@@ -708,6 +710,10 @@ FROM made JOIN ranked USING (id)""",
     "load_csv_plain": f"""WITH {STAR}
 SELECT row_number() OVER (ORDER BY id) - 1 AS id, text, len_target, split
 FROM ({STAR_SPLIT.format(pct=5)})""",
+    "rejects_error_detection": f"""WITH {encoded()}
+SELECT id, CASE WHEN id % 7 < 2 THEN 'parts' ELSE 'target' END AS reason FROM e
+WHERE id % 7 < 2 OR NOT (len(t) >= 3 AND (len(n) > 1 OR (len(n) = 1 AND NOT list_contains(t, n[1]))))""",
+    "ex_malformed": f"SELECT * FROM ({validation(ERROR_VAL)}) WHERE id % 7 >= 2",
     "rejects_step_eval": f"""WITH {STAR}
 SELECT id, 'wrong_path' AS reason FROM star WHERE len_target % 2 = 0""",
 }

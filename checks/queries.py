@@ -88,7 +88,7 @@ def load_text_split(spark, sf_dir):
     """A text file without ids: rows get their place, and are split and built."""
     path = files.scratch_dir(spark) + "/star.txt"
     rows = views.star(spark, sf_dir).select("id", "text").orderBy("id")
-    rows.select("text").coalesce(1).write.text(path)
+    rows.select("text").write.text(path)  # sorted parts have ascending names
     parts = files.load(spark, path, order_by="id")
     made = [
         objectives.examples(p, "teacherforcing", OPTS, "train").withColumn("split", F.lit(s))
@@ -102,7 +102,7 @@ def load_csv_plain(spark, sf_dir):
     """A csv file without ids."""
     path = files.scratch_dir(spark) + "/star.csv"
     rows = views.star(spark, sf_dir).select("id", "text", "len_target").orderBy("id")
-    rows.drop("id").coalesce(1).write.csv(path, header=True, escape='"')
+    rows.drop("id").write.csv(path, header=True, escape='"')
     parts = files.load(spark, path, order_by="id", schema="text string, len_target int")
     return flat(_scored_parts(parts))
 
@@ -389,6 +389,29 @@ def rejects_step_eval(spark, sf_dir):
     return objectives.rejected(rows, "step_eval", OPTS, "train")
 
 
+def malformed(rows):
+    """The lines of two ids in seven spoilt: without a separator, or with one too many."""
+    spoilt = F.when(F.col("id") % 7 == 0, F.replace("text", F.lit("="), F.lit(""))).when(
+        F.col("id") % 7 == 1, F.concat("text", F.lit("=1"))
+    )
+    return rows.withColumn("text", F.coalesce(spoilt, "text"))
+
+
+@query
+def rejects_error_detection(spark, sf_dir):
+    """Lines left out of error detection: malformed, or without a place or a node to alter."""
+    rows = malformed(views.star(spark, sf_dir))
+    return objectives.rejected(rows, "error_detection", OPTS, "validation")
+
+
+@query
+def ex_malformed(spark, sf_dir):
+    """Error-detection rows of a table with malformed lines."""
+    rows = malformed(views.star(spark, sf_dir))
+    longest = objectives.max_target_length(rows)
+    return flat(objectives.examples(rows, "error_detection", OPTS, "validation", longest))
+
+
 @query
 def preference_pairs(spark, sf_dir):
     return preference.preference_pairs(views.star(spark, sf_dir)).select(

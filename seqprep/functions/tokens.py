@@ -107,15 +107,16 @@ def split_prompt_target(df: DataFrame, text: str, sep: str = "=") -> tuple[DataF
     have exactly two parts.
     """
     # Two parts means one separator. Counting it is cheap enough to be done again where the
-    # optimiser pushes this filter towards the scan; splitting there would not be.
+    # optimiser pushes this filter towards the scan; splitting there would not be. Later filters
+    # may be evaluated before this one, so the parts are read in a way that allows for any number.
     bare = F.octet_length(F.replace(F.col(text), F.lit(sep), F.lit("")))
     separators = F.octet_length(F.col(text)) - bare
     parts = split_parts(F.col(text), sep)
     accepted = (
         df.filter(separators == 1)
         .withColumn("_parts", parts)
-        .withColumn("prompt", F.concat(F.col("_parts")[0], F.lit(sep)))
-        .withColumn("target", F.col("_parts")[1])
+        .withColumn("prompt", F.concat(F.get("_parts", 0), F.lit(sep)))
+        .withColumn("target", F.get("_parts", 1))
         .drop("_parts")
     )
     rejects = df.filter(~separators.eqNullSafe(1)).withColumn("n_parts", F.size(parts))

@@ -37,8 +37,8 @@ def lego_task(df: DataFrame, task: str, text: str = LEGO_TEXT) -> DataFrame:
     checked = accepted.withColumn("_v", F.split("target_verify", "[?]", -1))
     return (
         checked.filter(F.size("_v") == 2)
-        .withColumn("prompt", F.concat(F.col("prompt"), F.col("_v")[0], F.lit("?")))
-        .withColumn("target", F.col("_v")[1])
+        .withColumn("prompt", F.concat(F.col("prompt"), F.get("_v", 0), F.lit("?")))
+        .withColumn("target", F.get("_v", 1))
         .drop("_v")
     )
 
@@ -117,8 +117,8 @@ def lego_extract(
     """
     vocab = vocab_of("lego")
     parts = split_parts(F.col(text), "?")
-    steps = F.split(F.col("_parts")[1], ":", -1)
-    start = F.substring(F.try_element_at(F.split(F.col("_parts")[0], "/", -1), F.lit(2)), 3, 1)
+    steps = F.split(F.get("_parts", 1), ":", -1)
+    start = F.substring(F.try_element_at(F.split(F.get("_parts", 0), "/", -1), F.lit(2)), 3, 1)
     signs = F.transform(steps, lambda s: F.substring(s, F.length(s) - 1, F.lit(1)))
     rows = (
         df.withColumn("_parts", parts)
@@ -127,7 +127,7 @@ def lego_extract(
     )
     encoded = rows.select(
         F.col(opts.row_id),
-        encode(F.concat(F.col("_parts")[0], F.lit("?")), vocab).alias("_p"),
+        encode(F.concat(F.get("_parts", 0), F.lit("?")), vocab).alias("_p"),
         encode_tokens(F.concat(F.array(start), signs), vocab).alias("_t"),
     )
     given = F.col("_t")

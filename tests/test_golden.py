@@ -336,7 +336,7 @@ def test_fixture_sizes(spark):
     first = views.star(spark, sf).filter("id = 2").first()
     assert first.text == "46,25|30,28|46,14|25,30|14,38|38,6|6,2|28,5/46,2=46,14,38,6,2"
     assert first.wrong_path == ["46,25,30,28,5", "46,5,28,30,25"]
-    assert views.star(spark, sf).count() == 5509
+    assert views.star(spark, sf).count() == 14749
     assert metrics.metric_flush(views.metric_log(spark, sf), keep_open=True).count() == 3971
 
 
