@@ -13,7 +13,7 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import DataFrame, SparkSession
 
-TYPES = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double"}
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
 
 
 def session(cores: int = 8) -> SparkSession:
