@@ -5,16 +5,16 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqprep.sources.files import scratch_dir, staged
 
 __all__ = [
-    "arrow_rows", "cached", "lower_ascii", "needed", "only_cache", "pieces_of", "reachable", "scratch_dir", "small",
+    "arrow_rows", "cached", "lower_ascii", "needed", "numbered", "only_cache", "pieces_of", "reachable", "scratch_dir", "small",
     "staged", "table", "unused", "UPPER", "LOWER",
 ]
 
@@ -83,6 +83,42 @@ def small(df: DataFrame, most_rows: int) -> bool:
     return df.limit(most_rows + 1).count() <= most_rows
 
 
+BROADCAST_PARTS = 100_000
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``place``, the row's place (from 0) in its group, and ``group_rows``, the group's size.
+
+    The rows are sorted by ranges of ``by`` and ``order`` and written; a place is then that in the
+    range plus the rows of the group in ranges before, so groups of any size meet in no single task.
+    Equal rows stand in any order, and may lie in several ranges.
+    """
+    order = [*by, *order, "_row"]
+    cut = staged(
+        df.withColumn("_row", F.monotonically_increasing_id())
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .drop("_row")
+        .withColumn("_at", F.monotonically_increasing_id())
+    ).withColumn("_part", F.shiftright("_at", 33))
+    runs = cut.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = staged(
+        runs.select(
+            *[F.col(c).alias(f"_by_{c}") for c in by],
+            F.col("_part").alias("_of"),
+            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+            F.sum("_n").over(group).alias("group_rows"),
+        )
+    )
+    same = F.col("_part") == F.col("_of")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    runs = F.broadcast(runs) if small(runs, BROADCAST_PARTS) else runs
+    return cut.join(runs, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias("place"), "group_rows")
+
+
 def pieces_of(rows: int, each: int) -> int:
     """How many pieces of about ``each`` rows; at least one."""
     return max(1, -(-rows // each))

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqprep.llm import (
-    bestfit, crossentropy, forest, jaccard, langid, planes, positions, quotes, shards, urls,
+    bestfit, crossentropy, forest, jaccard, langid, merkle, planes, positions, quotes, shards, urls,
 )
-from seqprep.llm.common import scratch_dir, staged, table
+from seqprep.llm.common import lower_ascii, scratch_dir, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,3 +267,96 @@ SELECT conv_id, turn, role, thread, depth, coalesce(reply_to, -1) AS reply_to, n
   n_linked::BIGINT AS n_linked, coalesce(own.text, '') AS text,
   row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn) - 1 AS position
 FROM told JOIN tree USING (conv_id, turn) LEFT JOIN own USING (conv_id, turn)"""
+
+
+CRC_TABLE = """crc_table AS (SELECT list(v ORDER BY i) AS crc_t FROM (
+  SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS v
+  FROM range(256) r(i)))"""
+
+
+def crc32_sql(number: str) -> str:
+    """Unsigned crc32 of a decimal number, where ``crc_table`` is joined."""
+    codes = f"list_transform(string_split({number}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)"
+    step = "lambda c, b: xor(c // 256, crc_t[xor(c, b) % 256 + 1])"
+    return f"xor(list_reduce({codes}, {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def leaf_of(text: Column) -> Column:
+    return merkle.leaf([F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [text])
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and recomputed root of every document; one in five is tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = docs.select(
+        "source", "doc_id", leaf_of(F.col("text")).alias("leaf"),
+        F.when(tampered, leaf_of(lower_ascii(F.col("text")))).alias("claim"),
+    )
+    path = scratch_dir(spark)
+    merkle.write_manifest(rows, path, ["claim"])
+    root = F.lit(merkle.root(spark, path))
+    found = merkle.proofs(spark, path, ["claim"]).withColumn(
+        "folded_root", merkle.folded(F.coalesce("claim", "leaf"), F.col("path"))
+    )
+    return found.select(
+        "doc_id", "leaf", "subroot", root.alias("root"),
+        merkle.digest(merkle.proof_text(F.col("path"))).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == root).alias("verified"),
+    )
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        CRC_TABLE,
+        f"""d AS (SELECT doc_id, source, {leaf("text")} AS leaf,
+  CASE WHEN {crc32_sql("doc_id")} % 5 = 0 THEN {leaf(lower)} END AS claim FROM documents, crc_table)""",
+        """t AS (SELECT doc_id, leaf, claim, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)""",
+        "a0 AS (SELECT tree, i, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM t)",
+    ]
+    for name in "ab":  # the trees of the sources, then the top tree
+        for k in range(levels):
+            parts.append(
+                f"""{name}{k + 1} AS (SELECT tree, i // 16 AS i, (max(n) + 15) // 16 AS n,
+  CASE WHEN max(n) > 1 THEN sha256(string_agg(node, '' ORDER BY i)) ELSE max(node) END AS node
+  FROM {name}{k} GROUP BY tree, i // 16)"""
+            )
+            parts.append(
+                f"""{name}s{k} AS (SELECT x.tree, x.i, max(x.n) > 1 AS real,
+  coalesce(string_agg(y.node, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS l,
+  coalesce(string_agg(y.node, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS r
+  FROM {name}{k} x JOIN {name}{k} y ON x.tree = y.tree AND x.i // 16 = y.i // 16 GROUP BY x.tree, x.i)"""
+            )
+        if name == "a":
+            parts.append(
+                f"b0 AS (SELECT 0 AS tree, tree AS i, node, count(*) OVER () AS n FROM a{levels})"
+            )
+    parts.append("f0 AS (SELECT *, coalesce(claim, leaf) AS f, '' AS proof FROM t)")
+    at = 0
+    for name in "ab":
+        for k in range(levels):
+            key = f"s.tree = f{at}.tree AND s.i = f{at}.i // {16 ** k}" if name == "a" else f"s.i = f{at}.tree // {16 ** k}"
+            parts.append(
+                f"""f{at + 1} AS (SELECT f{at}.* REPLACE (CASE WHEN real THEN sha256(s.l || f || s.r) ELSE f END AS f,
+  CASE WHEN real THEN proof || s.l || s.r ELSE proof END AS proof) FROM f{at} JOIN {name}s{k} s ON {key})"""
+            )
+            at += 1
+    return (
+        "WITH " + ",\n".join(parts)
+        + f"""
+SELECT doc_id, leaf, a{levels}.node AS subroot, b{levels}.node AS root, sha256(proof) AS proof_sha256,
+  f AS folded_root, f = b{levels}.node AS verified
+FROM f{at} JOIN a{levels} USING (tree), b{levels}"""
+    )
+
+
+SQL["op11_merkle"] = _merkle_sql()
