@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqprep.llm import (
-    bestfit, crossentropy, forest, jaccard, langid, merkle, planes, positions, quotes, shards, urls,
+    bestfit, crossentropy, forest, jaccard, langid, merkle, planes, positions, quotes, shards, trie, urls,
 )
 from seqprep.llm.common import lower_ascii, scratch_dir, staged, table
 
@@ -360,3 +360,37 @@ FROM f{at} JOIN a{levels} USING (tree), b{levels}"""
 
 
 SQL["op11_merkle"] = _merkle_sql()
+
+
+@query
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations that borrow the first turns of others."""
+    turns = staged(trie.turns_of(table(spark, sf_dir, "conversations")))
+    conv = F.col("conv_id")
+    head = F.crc32(conv.cast("string")) % 6
+    return trie.trie(*trie.regrafted(turns, conv - conv % 100, head))
+
+
+SQL["op12_trie"] = f"""
+WITH {CRC_TABLE},
+m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, unhex(md5(
+          length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')))) AS p,
+        {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS u
+      FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(u ORDER BY p) AS us FROM m GROUP BY conv_id),
+h AS (SELECT conv_id, us, {crc32_sql("conv_id")} % 6 AS h FROM own, crc_table),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.us, [])[1 : h.h], h.us[h.h + 1 :]) AS us
+      FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+pre AS (SELECT conv_id, us, unnest(range(0, len(us) + 1)) AS depth FROM r),
+node AS (SELECT depth, us[1 : depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(us) = depth), '') AS ends
+  FROM pre GROUP BY depth, us[1 : depth]),
+up AS (SELECT node.*, path[1 : depth - 1] AS parent,
+    (n_convs - 1) * CASE WHEN depth > 0 THEN length(path[depth].t) ELSE 0 END AS own_saved FROM node),
+child AS (SELECT parent AS path, depth - 1 AS depth, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN child USING (path, depth)),
+under AS (SELECT path[1 : d] AS path, d AS depth, sum((n_children = 0)::BIGINT) AS n_leaves, sum(own_saved) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM f) GROUP BY ALL)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN under USING (path, depth) LEFT JOIN f p ON p.depth = f.depth - 1 AND p.path = f.parent AND f.depth > 0"""
