@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqprep.llm import (
-    bestfit, crossentropy, forest, jaccard, langid, merkle, planes, positions, quotes, shards, trie, urls,
+    bestfit, crossentropy, forest, jaccard, langid, merkle, planes, positions, quotes, shards, subwords, trie,
+    urls,
 )
 from seqprep.llm.common import lower_ascii, scratch_dir, staged, table
 
@@ -394,3 +395,15 @@ under AS (SELECT path[1 : d] AS path, d AS depth, sum((n_children = 0)::BIGINT)
 SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves::BIGINT AS n_leaves,
   saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
 FROM f JOIN under USING (path, depth) LEFT JOIN f p ON p.depth = f.depth - 1 AND p.path = f.parent AND f.depth > 0"""
+
+
+@query
+def op13_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a fifth of them is held out from training."""
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter("doc_id is not null").filter(~out)
+    found = subwords.score(docs, subwords.train(docs, labels))
+    return found.select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
