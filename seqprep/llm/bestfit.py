@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqprep.llm.common import arrow_rows, needed, pieces_of
+from seqprep.llm.common import arrow_rows, needed, pieces_of, sliced
 from seqprep.llm.encode import encoder
 
 CELL_PIECES = 16_384
@@ -101,7 +101,7 @@ def _cut(
     batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, tokens: int
 ) -> Iterator[tuple]:
     end = int(end_id).to_bytes(4, "little")
-    for batch in batches:
+    for batch in (part for whole in batches for part in sliced(whole)):
         keys, copies = batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist()
         texts = batch.column("text").to_pylist()
         for key, copy, ids in zip(keys, copies, encoder(tokenizer).encode(texts)):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seqprep.sources.files import scratch_dir, staged
 
 __all__ = [
-    "arrow_rows", "cached", "lower_ascii", "needed", "numbered", "only_cache", "pieces_of", "reachable", "scratch_dir", "small",
+    "arrow_rows", "cached", "lower_ascii", "needed", "numbered", "only_cache", "pieces_of", "reachable", "sliced", "scratch_dir", "small",
     "staged", "table", "unused", "UPPER", "LOWER",
 ]
 
@@ -22,11 +22,18 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers that run on this machine import this package.
+    """Let Python workers that run on this machine import this package, and bound what they are sent.
 
-    A cluster gets the package by its own means (``--py-files``, an image).
+    A cluster gets the package by its own means (``--py-files``, an image). Texts go to the workers in
+    batches, held on both sides; Spark's bound of 64 MB is lowered unless the session has set one.
     """
+    if _BATCHES not in spark.conf.getAll:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
@@ -124,15 +131,21 @@ def pieces_of(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 
 
+def sliced(batch: pa.RecordBatch, most: int = 256) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that only a few of its texts are Python strings at a time."""
+    for at in range(0, batch.num_rows, most):
+        yield batch.slice(at, most)
+
+
 def arrow_rows(
-    schema: pa.Schema, rows: Iterator[tuple], most: int = 4096, most_bytes: int = 16 << 20
+    schema: pa.Schema, rows: Iterator[tuple], most: int = 4096, most_bytes: int = BATCH_BYTES
 ) -> Iterator[pa.RecordBatch]:
     """Rows as record batches of bounded length and size."""
     held: list[tuple] = []
     size = 0
     for row in rows:
         held.append(row)
-        size += sum(len(v) for v in row if isinstance(v, (bytes, list, str)))
+        size += sum(len(v) for v in row if hasattr(v, "__len__"))
         if len(held) >= most or size >= most_bytes:
             yield _batch(held, schema)
             held, size = [], 0

@@ -6,14 +6,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from seqprep.llm.common import cached, only_cache
 
-KEPT_WORDS = 300_000  # words of one generation of the cache; two are held at most, some 200 bytes a word
+KEPT_BYTES = 20 << 20  # of one generation of the cache; two are held at most
+LONGEST = 64  # characters of a word that is kept; longer ones are merged each time
+ENTRY = 190  # bytes of an entry besides its characters and ids
 MARKED_WORDS = 50_000  # words with a mark behind them that are kept for a while
 _MARKS = (",", ".")
-# Byte-level vocabularies show the bytes 127 to 160 and 173 as characters from 289 and as 323.
-_SHOWN = {b: 162 + b for b in range(127, 161)} | {173: 323}
+_BYTES = ByteLevel(add_prefix_space=False, use_regex=False)
+_SHOWN = {c: _BYTES.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}  # as the vocabulary shows them
+_PROBE = "The quick, ÀÉßñ über 1234 naïve. fjörð don't ÿþý"
 
 
 def _plain(body: str) -> bool:
@@ -28,6 +32,7 @@ class _Words(dict):
         super().__init__()
         self._tokenizer, self._old = tokenizer, old
         self.marked: list[str] = []
+        self.held = 0  # bytes of the words learnt
 
     def forget(self) -> None:
         """Let go of the generation before, when this one becomes the old one."""
@@ -39,18 +44,20 @@ class _Words(dict):
             if _plain(word):
                 shown = word.lower()
                 if not shown.isascii():
-                    shown = shown.encode().decode("latin-1").translate(_SHOWN)
+                    shown = shown.translate(_SHOWN)
                 merged = self._tokenizer.model.tokenize(shown)
                 ids = b"".join([t.id.to_bytes(4, "little") for t in merged])
             else:
                 whole = self._tokenizer.encode(word, add_special_tokens=False).ids
                 ids = np.array(whole, dtype="<u4").tobytes()
-        self[word] = ids
+        if len(word) <= LONGEST:
+            self.held += ENTRY + len(ids) + (len(word) if word.isascii() else 4 * len(word))
+            self[word] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
         body, mark = word[:-1], word[-1:]
-        if mark in _MARKS and _plain(body):  # kept for the texts at hand only: too many of them
+        if mark in _MARKS and len(body) < LONGEST and _plain(body):  # kept for the texts at hand only: too many of them
             ids = (self.get(body) or self._learn(body)) + (self.get(mark) or self._learn(mark))
             self[word] = ids
             self.marked.append(word)
@@ -64,13 +71,16 @@ class WordEncoder:
     Made for a tokenizer that drops white space, lower-cases letters, composes accents and never
     joins characters across white space or letters with marks: a text's ids are then those of its
     parts between spaces and line feeds. Tests compare both ways. Most words of a text have been met
-    before, so only new ones are merged. The words kept are bounded: when one generation is full, it
-    becomes the old one, and only words met again are carried over.
+    before, so only new ones are merged. The bytes kept are bounded: when one generation is full, it
+    becomes the old one, and only words met again are carried over. A long run without white space (a
+    paragraph of a script without spaces, encoded data) is merged anew each time.
     """
 
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
         self._words = _Words(self._tokenizer, {})
+        if np.frombuffer(self._one(_PROBE), "<u4").tolist() != self.whole(_PROBE):
+            raise ValueError(f"the tokenizer at {path} cannot be applied word by word")
 
     def whole(self, text: str | None) -> list[int]:
         """The tokenizer's own ids of the text."""
@@ -94,7 +104,7 @@ class WordEncoder:
                 for word in words.marked:
                     del words[word]
                 words.marked.clear()
-            if len(words) > KEPT_WORDS:
+            if words.held > KEPT_BYTES:
                 words.forget()
                 self._words = _Words(self._tokenizer, words)
             yield self._one(text)

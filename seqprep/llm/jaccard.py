@@ -41,7 +41,7 @@ STEP = 32  # MinHash values compared at a time
 BLOCK = 1024  # classes of a block: a task holds two blocks
 BROADCAST_ROWS = 500_000  # ids and text hashes of documents, 8 MB
 DENSE = 8_000_000  # cells of a membership matrix: its columns are taken in such parts
-_KEPT_WORDS = 150_000
+_KEPT_WORDS, _LONGEST = 150_000, 64  # words whose hashes are kept, and bytes of such a word
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("d", pa.binary()), ("sig", pa.binary())])
@@ -54,7 +54,9 @@ LINKED = pa.schema([("d", pa.binary()), ("links", pa.int64()), ("root", pa.binar
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word) >> 1
+        value = xxhash.xxh64_intdigest(word) >> 1
+        if len(word) <= _LONGEST:
+            self[word] = value
         return value
 
 
@@ -248,6 +250,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tup
                 parent[b] = a
         for k in np.flatnonzero(links).tolist():
             yield rows[k][2], int(links[k]), rows[root(k)][2]
+        del rows, sets, pairs  # before the next group is read
 
 
 def _streamed(df: DataFrame, schema: pa.Schema, ddl: str, rows: Callable) -> DataFrame:

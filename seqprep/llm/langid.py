@@ -3,8 +3,8 @@
 A text becomes counts of its 1- to 3-byte n-grams (lower-cased UTF-8, everything in ASCII but
 letters being a space), hashed to a fixed number of columns; log counts times inverse document
 frequency, scaled to length 1, are its vector. Training clusters the vectors of each language into a
-few centroids by cosine, one task a language, on a bounded sample of its labelled rows; what the
-driver gathers is the model only: centroids of a fixed width per language.
+few centroids by cosine, one task a language, on a bounded sample of its labelled rows, for a bounded
+number of languages; what the driver gathers is the model only: centroids of a fixed width per language.
 
 A prediction is the language of the centroid with the largest cosine. It is rejected when its
 distance (1 - cosine) is beyond the language's radius for texts of that length: a high quantile of the
@@ -16,7 +16,8 @@ than ``SHORT`` bytes say too little and are rejected only when they share nothin
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; without
 training rows so is every text; ties go to the alphabetically first language; rows without a label
-or an id are not learnt from; repeated rows count as often as they stand; other columns are not read.
+or an id are not learnt from; repeated rows are learnt from once, and count as often as they stand
+where languages are ranked by rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqprep.llm.common import arrow_rows, needed, only_cache, small, staged
+from seqprep.llm.common import arrow_rows, needed, only_cache, pieces_of, sliced, staged
 
 WIDTH = 4096  # columns that n-grams are hashed to
 SAMPLE = 2000  # labelled rows of a language that the classifier is fitted on, at most
 CENTROIDS = 4
-MOST_LANGUAGES = 10_000  # whose counts are broadcast; more of them are joined by a shuffle
+LANGUAGES = 1000  # languages that are learnt, those with most rows: a model of 64 MB
 SHORT = 64
 FOLDS = 4  # one of them is kept out of clustering and gives the radii
 FEW = 80  # rows of a language below which each fold is kept out in turn
@@ -51,6 +52,21 @@ PREDICTED = pa.schema(
         ("rejected", pa.bool_()),
     ]
 )
+COUNTED = pa.schema(
+    [
+        ("lang", pa.string()),
+        ("draw", pa.int64()),
+        ("fold", pa.int32()),
+        ("few", pa.bool_()),
+        ("whole", pa.bool_()),
+        ("bucket", pa.int32()),
+        ("columns", pa.list_(pa.int32())),
+        ("n", pa.list_(pa.int32())),
+    ]
+)
+COUNTED_DDL = (
+    "lang string, draw bigint, fold int, few boolean, whole boolean, bucket int, columns array<int>, n array<int>"
+)
 _BUCKETS = 40  # of lengths, by powers of two
 _LETTER = re.compile("[A-Za-z]")
 _SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -71,6 +87,11 @@ def counts(text: str) -> tuple[np.ndarray, int]:
     return np.bincount(columns, minlength=WIDTH), len(data)
 
 
+def _sparse(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    columns = np.flatnonzero(found)
+    return columns, found[columns]
+
+
 def _unit(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
     weighted = np.log1p(rows) * idf
     norms = np.linalg.norm(weighted, axis=1, keepdims=True)
@@ -90,11 +111,6 @@ def _beginnings(text: str) -> Iterator[tuple[str, int]]:
         n *= 2
 
 
-def _distances(rows: np.ndarray, idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    parts = [1 - (_unit(rows[at : at + 256], idf) @ centroids.T).max(axis=1) for at in range(0, len(rows), 256)]
-    return np.concatenate(parts) if parts else np.zeros(0)
-
-
 def radii(buckets: np.ndarray, far: np.ndarray) -> np.ndarray:
     """The radius of each length from distances of texts kept out; lengths without any take that of
     the next shorter length, or of the shortest."""
@@ -145,69 +161,77 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def train(
     df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id",
-    sample: int = SAMPLE, k: int = CENTROIDS,
+    sample: int = SAMPLE, k: int = CENTROIDS, most: int = LANGUAGES,
 ) -> Model | None:
-    """Fit the classifier on ``sample`` rows a language at most, picked by a hash of the key.
+    """Fit the classifier on ``sample`` rows at most of each of the ``most`` languages with most rows.
 
-    The rows are thinned before they are ranked, so no language meets whole in a task.
+    Rows are picked by a hash of key and text. They are thinned before they are ranked, equal ones
+    before they are moved, so no language meets whole in a task.
     """
     rows = needed(df, key=key, lang=lang, text=text).filter("lang is not null and text is not null")
-    sizes = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    sizes = F.broadcast(sizes) if small(sizes, MOST_LANGUAGES) else sizes
-    draw = F.xxhash64("key", F.lit(7))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    draw = F.xxhash64("key", "text", F.lit(7))
     thin = F.pmod(draw, F.lit(1 << 20)) < F.lit(1.5 * sample * (1 << 20)) / F.col("n")
-    ranked = Window.partitionBy("lang").orderBy(draw, "key")
-    picked = rows.join(sizes, "lang").filter(thin | (F.col("n") <= sample)).withColumn(
-        "nth", F.row_number().over(ranked)
+    distinct = (
+        rows.join(F.broadcast(staged(sizes)), "lang")
+        .filter(thin | (F.col("n") <= sample))
+        .groupBy("lang", draw.alias("draw"))
+        .agg(F.min("text").alias("text"), F.first("n").alias("n"))
     )
+    picked = distinct.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
     few = F.least("n", F.lit(sample)) < FEW
     picked = picked.filter(F.col("nth") <= sample).select(
-        "lang", "text", F.pmod("nth", F.lit(FOLDS)).alias("fold"), few.alias("few")
+        "lang", "text", "draw", F.pmod("nth", F.lit(FOLDS)).alias("fold"), few.alias("few")
     )
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = []
-            for lang, text, fold, few in zip(batch["lang"], batch["text"], batch["fold"], batch["few"]):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in (part for whole in batches for part in sliced(whole, 64)):
+            for lang, text, draw, fold, few in zip(*[batch.column(c).to_pylist() for c in batch.schema.names]):
                 if not has_letter(text):
                     continue
                 found, n = counts(text)
-                made.append((lang, fold, few, True, _bucket(n), found.astype("<u4").tobytes()))
+                yield lang, draw, fold, few, True, _bucket(n), *_sparse(found)
                 for part, bucket in _beginnings(text) if few or not fold else ():
                     if has_letter(part):
-                        made.append((lang, fold, few, False, bucket, counts(part)[0].astype("<u4").tobytes()))
-            yield pd.DataFrame(made, columns=["lang", "fold", "few", "whole", "bucket", "counts"])
+                        yield lang, draw, fold, few, False, bucket, *_sparse(counts(part)[0])
 
-    counted = staged(
-        picked.mapInPandas(count, "lang string, fold int, few boolean, whole boolean, bucket int, counts binary")
-    )
-
-    def matrix(group: pd.DataFrame) -> np.ndarray:
-        return np.frombuffer(b"".join(group["counts"]), "<u4").reshape(len(group), WIDTH)
-
-    def seen(group: pd.DataFrame) -> pd.DataFrame:
-        held = (matrix(group) > 0).sum(axis=0).astype("<i8")
-        return pd.DataFrame({"n": [len(group)], "held": [held.tobytes()]})
-
-    held = counted.filter("whole").groupBy("lang").applyInPandas(seen, "n bigint, held binary").collect()
-    if not held:
+    counted = staged(picked.mapInArrow(lambda batches: arrow_rows(COUNTED, count(batches)), COUNTED_DDL))
+    whole = counted.filter("whole")
+    total = whole.count()
+    if not total:
         return None
-    total = sum(r["n"] for r in held)
-    within = sum(np.frombuffer(r["held"], "<i8") for r in held)
+    within = np.zeros(WIDTH)
+    for row in whole.select(F.explode("columns").alias("c")).groupBy("c").count().collect():  # WIDTH rows at most
+        within[row["c"]] = row["count"]
     idf = np.log((1 + total) / (1 + within)) + 1
 
+    def dense(group: pd.DataFrame) -> np.ndarray:
+        made = np.zeros((len(group), WIDTH), np.float32)
+        for row, columns, n in zip(made, group["columns"], group["n"]):
+            row[columns] = n
+        return made
+
+    def distances(group: pd.DataFrame, centroids: np.ndarray) -> np.ndarray:
+        parts = (group.iloc[at : at + 256] for at in range(0, len(group), 256))
+        found = [1 - (_unit(dense(part), idf) @ centroids.T).max(axis=1) for part in parts]
+        return np.concatenate(found) if found else np.zeros(0)
+
     def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["draw", "bucket"])  # the same order under any partitioning
         fold = group["fold"].to_numpy()
         few = bool(group["few"].iloc[0]) or not (fold == 0).any()
-        whole = group["whole"].to_numpy(bool)
-        vectors, own = _unit(matrix(group[whole]), idf), fold[whole]
+        held = group["whole"].to_numpy(bool)
+        own = fold[held]
+        vectors = np.concatenate(
+            [_unit(dense(part), idf) for part in np.array_split(group[held], pieces_of(held.sum(), 256))]
+        )
         buckets, far = [], []
         for out in range(FOLDS) if few else (0,):
             learnt = vectors[own != out]
             found = cluster(learnt if len(learnt) else vectors, k)
             part = group[fold == out]
             buckets.append(part["bucket"].to_numpy())
-            far.append(_distances(matrix(part), idf, found))
+            far.append(distances(part, found))
         if few:
             found = cluster(vectors, k)
         # A single row tells nothing of the distances of others.
@@ -255,20 +279,18 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterat
 
 
 def accepted(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text is not rejected, with all their columns."""
+    """The rows of ``df`` whose text is not rejected, with all their columns. Only the text is sent to
+    Python, and only a truth value comes back."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         only_cache("langid")
-        for batch in batches:
-            texts = pa.RecordBatch.from_arrays(
-                [pa.nulls(batch.num_rows, pa.int64()), batch.column(batch.schema.names.index(text))],
-                names=["doc_id", "text"],
-            )
-            good = [not row[3] for row in _predicted(iter([texts]), sent.value)]
-            yield batch.filter(pa.array(good, pa.bool_()))
+        for texts in columns:
+            batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], names=["doc_id", "text"])
+            yield pa.array([not row[3] for row in _predicted(iter([batch]), sent.value)], pa.bool_())
 
     sent = df.sparkSession.sparkContext.broadcast(model)
-    return df.mapInArrow(keep, df.schema)
+    kept = F.arrow_udf(keep, "boolean")
+    return df.filter(kept(F.col(f"`{text}`")))
 
 
 def predict(df: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqprep.llm.common import arrow_rows, needed
+from seqprep.llm.common import arrow_rows, needed, sliced
 from seqprep.llm.encode import encoder
 
 BLOCK_IDS = 65_536
@@ -138,7 +138,7 @@ def _encoded_files(
         )
 
     held = 0
-    for batch in batches:
+    for batch in (part for whole in batches for part in sliced(whole)):
         keys = batch.column("doc_id").to_pylist()
         for key, ids in zip(keys, encoder(tokenizer).encode(batch.column("text").to_pylist())):
             doc_ids.append(key)

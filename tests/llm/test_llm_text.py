@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seqprep.llm import crossentropy, langid, quotes, shards, urls
-from seqprep.llm.queries import QUERIES, RULES, SQL
+from seqprep.llm.queries import QUERIES, RULES, SQL, held_out
 
 from .conftest import HOSTILE
 
@@ -367,3 +367,58 @@ def test_op9(spark, sf_dir, texts):
     total = sum(len(t.encode()) + 1 for t in texts.values())
     check_shards(rows, list(texts.items()), 16, 0.05 * total / 16)
     assert {(r["law"], r["grown_shard"]) for r in rows} == {("bytes", None)}
+
+
+def plain_columns(text):
+    """Hashed 1- to 3-byte n-grams of a text, by loops."""
+    data = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode())
+    marked, low = b" " + data + b" ", (1 << 32) - 1
+    found = {}
+    for n, base in ((1, 0), (2, 1 << 20), (3, 1 << 28)):
+        for i in range(len(marked) - n + 1):
+            gram = 0
+            for b in marked[i : i + n]:
+                gram = (gram * 257 + b) & low
+            column = ((gram + base) * 2654435761 & low) >> 20
+            found[column] = found.get(column, 0) + 1
+    return found
+
+
+def test_language_equals_plain_nearest_centroid(spark, sf_dir, documents, texts):
+    """Document frequencies from plain counts of the training rows; predictions by plain cosines."""
+    from math import log, log1p, sqrt
+
+    learnt = documents.filter("doc_id is not null").filter(~held_out())
+    model = langid.train(learnt)
+    counted = {k: plain_columns(t) for k, t in texts.items() if t}
+    trained = {r["doc_id"] for r in learnt.filter("lang is not null").select("doc_id").collect()}
+    trained = [k for k in trained if k in counted and langid.has_letter(texts[k])]
+    within = {}
+    for k in trained:
+        for c in counted[k]:
+            within[c] = within.get(c, 0) + 1
+    idf = [log((1 + len(trained)) / (1 + within.get(c, 0))) + 1 for c in range(langid.WIDTH)]
+    assert np.allclose(model.idf, idf)
+    centroids = [[(c, float(v)) for c, v in enumerate(row) if v] for row in model.centroids]
+    assert all(abs(sum(v * v for _, v in row) - 1) < 1e-5 for row in centroids)
+    for r in QUERIES["op7_langid"](spark, sf_dir).collect():
+        text = texts[r["doc_id"]]
+        if not langid.has_letter(text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        vector = {c: log1p(n) * idf[c] for c, n in counted[r["doc_id"]].items()}
+        norm = sqrt(sum(v * v for v in vector.values()))
+        near = [sum(v * vector.get(c, 0.0) for c, v in row) / norm for row in centroids]
+        best = max(range(len(near)), key=near.__getitem__)
+        assert r["score"] == pytest.approx(near[best], abs=1e-5)
+        assert r["lang_pred"] == model.languages[model.owner[best]]
+
+
+def test_language_training_is_bounded(spark):
+    """Only the languages with most rows are learnt; copies and rows of one id meet once."""
+    rows = [(n % 3 or None, f"l{n % 40}" if n % 2 else "big", f"some words number {n % 60}") for n in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    model = langid.train(df, most=5, sample=10, k=2)
+    assert len(model.languages) == 5 and "big" in model.languages
+    again = langid.train(df.repartition(5), most=5, sample=10, k=2)
+    assert np.array_equal(model.centroids, again.centroids) and np.array_equal(model.radius, again.radius)

@@ -34,6 +34,37 @@ def test_words_have_the_ids_of_whole_texts(text):
     assert np.frombuffer(found, "<u4").tolist() == plain(text)
 
 
+def test_encoder_keeps_few_bytes():
+    """100,000 different paragraphs without a space: the ids are right, the cache stays small."""
+    import sys
+
+    from seqprep.llm.encode import KEPT_BYTES, WordEncoder
+
+    draw = np.random.default_rng(3)
+    made = WordEncoder(PATH)
+    signs = [chr(0x4E00 + k) for k in range(2000)]
+    for at in range(0, 100_000, 1000):
+        texts = ["".join(draw.choice(signs, 40 + 60 * (k % 2))) for k in range(1000)]
+        found = list(made.encode(texts))
+        if at % 20_000 == 0:
+            assert np.frombuffer(found[0], "<u4").tolist() == plain(texts[0])
+    held = [made._words, made._words._old]
+    size = sum(sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items()) for d in held)
+    assert all(d.held <= KEPT_BYTES + 10_000 for d in held if d) and size < 150 << 20
+
+
+def test_tokenizer_that_does_not_work_by_words_is_refused(tmp_path):
+    from tokenizers import Tokenizer
+
+    from seqprep.llm.encode import WordEncoder
+
+    other = Tokenizer.from_file(PATH)
+    other.normalizer = None
+    other.save(f"{tmp_path}/other.json")
+    with pytest.raises(ValueError):
+        WordEncoder(f"{tmp_path}/other.json")
+
+
 def test_encoder_over_documents(texts):
     some = list(texts.values())
     for text, found in zip(some, encoder(PATH).encode(some)):
