@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.functions.basics import IGNORE, ones, repeat
-from seqprep.operators.ordering import ROWS_PER_RANGE, with_batches
+from seqprep.operators.ordering import ROWS_PER_RANGE, batched, in_runs, with_batches
 
 STRATEGIES = ("longest", "max_length", "none")
 
@@ -81,13 +81,21 @@ def batch_pad(
 ) -> DataFrame:
     """Pad every row to the longest of its batch; adds ``batch_id``.
 
-    A batch never holds more than ``batch_rows`` rows.
+    A batch never holds more than ``batch_rows`` rows. Batches and their longest row are found from
+    keys and lengths alone; the rows themselves move once at most.
     """
-    whole_batch = Window.partitionBy("_range", "batch_id")
-    sized = with_batches(df, order_by, batch_rows, "_idx", rows_per_range).withColumn(
-        "_longest", F.max(F.size("input_ids")).over(whole_batch)
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    narrow = df.select(*keys, F.size("input_ids").alias("_len"))
+    numbered, ranges = batched(narrow, keys, batch_rows, "_idx", rows_per_range)
+    runs = numbered.groupBy("_range", "batch_id").agg(
+        F.min(F.struct(*keys)).alias("_key"), F.max("_len").alias("_longest")
     )
-    return pad(sized, F.col("_longest"), side, pad_id, multiple).drop("_range", "_idx", "_longest")
+    sized = in_runs(df, ranges, runs)
+    return pad(sized, F.col("_longest"), side, pad_id, multiple).select(*_with_mask(df), "batch_id")
+
+
+def _with_mask(df: DataFrame) -> list[str]:
+    return df.columns if "attention_mask" in df.columns else [*df.columns, "attention_mask"]
 
 
 def ragged_batches(

@@ -40,6 +40,17 @@ def _order(columns: Sequence[str]) -> list[Column]:
     return [F.col(c).asc() for c in columns]
 
 
+def at_or_below(bounds: Column, key: Column, most: int) -> Column:
+    """How many of the sorted ``bounds``, ``most`` at most, are not beyond ``key``: a binary search."""
+    powers = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+
+    def step(at: Column, power: Column) -> Column:
+        fits = (at + power <= F.size(bounds)) & (F.get(bounds, at + power - 1) <= key)
+        return F.when(fits, at + power).otherwise(at)
+
+    return F.aggregate(powers, F.lit(0), step)
+
+
 @dataclass(frozen=True)
 class KeyRanges:
     """Ranges of the order key: ``len(bounds) + 1`` of them, each bound opening one."""
@@ -75,18 +86,9 @@ class KeyRanges:
             return df.withColumn("_range", F.lit(0))
         schema = StructType([StructField("bounds", ArrayType(self.key_type))])
         table = self.spark.createDataFrame([(self.bounds,)], schema)
-        powers = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
-        key = self.key()
-
-        def search(bounds: Column) -> Column:
-            def step(at: Column, power: Column) -> Column:
-                fits = (at + power <= n) & (F.get(bounds, at + power - 1) <= key)
-                return F.when(fits, at + power).otherwise(at)
-
-            return F.aggregate(powers, F.lit(0), step)
-
         marked = df.withColumn("_bounds", table.scalar())
-        return marked.withColumn("_range", let(F.col("_bounds"), search)).drop("_bounds")
+        found = let(F.col("_bounds"), lambda bounds: at_or_below(bounds, self.key(), n))
+        return marked.withColumn("_range", found).drop("_bounds")
 
 
 def key_ranges(
@@ -155,15 +157,29 @@ def with_batches(
 ) -> DataFrame:
     """Add ``_range``, the row position and ``batch_id`` for batches of consecutive rows.
 
-    The key columns alone are numbered first, to find the keys at which ranges of a whole number
-    of batches begin. The rows then move once, by range: grouping them by ``_range, batch_id``
-    afterwards needs no further shuffle.
+    The rows move once, by range: grouping them by ``_range, batch_id`` afterwards needs no further
+    shuffle. A window numbers them, which holds the rows of a range: give it narrow ones, and lead
+    what is found back to wide rows by :func:`in_runs`.
+    """
+    return batched(df, order_by, batch_rows, name, rows_per_range)[0]
+
+
+def batched(
+    df: DataFrame,
+    order_by: str | Sequence[str],
+    batch_rows: int,
+    name: str = "row_idx",
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> tuple[DataFrame, KeyRanges]:
+    """:func:`with_batches`, and its ranges, each of a whole number of batches.
+
+    The key columns alone are numbered first, to find the keys at which such ranges begin.
     """
     columns = _columns(order_by)
     ranges = key_ranges(df, columns, rows_per_range)
     batch = F.floor(F.col(name) / batch_rows).cast("bigint")
     if not ranges.bounds:
-        return _numbered(df, ranges, name).withColumn("batch_id", batch)
+        return _numbered(df, ranges, name).withColumn("batch_id", batch), ranges
     step = -(-ranges.rows // (ranges.count * batch_rows)) * batch_rows
     opening = F.when((F.col("_idx") % step == 0) & (F.col("_idx") > 0), ranges.key())
     found = (
@@ -173,7 +189,33 @@ def with_batches(
     )
     exact = KeyRanges(ranges.spark, ranges.key_type, [tuple(b) for b in found], ranges.rows)
     position = F.col("_range").cast("bigint") * step + _place(exact)
-    return exact.mark(df).withColumn(name, position).withColumn("batch_id", batch)
+    return exact.mark(df).withColumn(name, position).withColumn("batch_id", batch), exact
+
+
+def in_runs(df: DataFrame, ranges: KeyRanges, runs: DataFrame) -> DataFrame:
+    """Add ``_range`` and the columns of the run that a row lies in.
+
+    ``runs`` has one row for each run of consecutive rows: ``_range``, ``_key`` (that of its first row,
+    a struct of the key columns) and any columns; of runs with the same key the last one counts. Those
+    of a range become one array, in which a row finds its own by binary search.
+    The rows of ``df``, which may be wide, move by ``_range`` at most, or not at all when the runs are
+    few; no window holds them.
+    """
+    told = [c for c in runs.columns if c not in ("_range", "_key")]
+    # All ranges but the last have the same number of rows; a batch has one run more than rows at most.
+    rows = ranges.rows if ranges.count == 1 else (ranges.rows - 1) // (ranges.count - 1)
+    lists = (
+        runs.groupBy("_range")
+        .agg(F.sort_array(F.collect_list(F.struct("_key", *told))).alias("_runs"))
+        .select("_range", F.col("_runs._key").alias("_keys"), F.transform("_runs", lambda r: r.dropFields("_key")).alias("_runs"))
+    )
+    if ranges.bounds:
+        joined = ranges.mark(df).join(lists, "_range")
+    else:  # one range: its lists are one value
+        joined = ranges.mark(df).withColumn("_told", lists.select(F.struct("_keys", "_runs")).scalar())
+        joined = joined.select("*", "_told.*").drop("_told")
+    run = F.get("_runs", at_or_below(F.col("_keys"), ranges.key(), 2 * rows + 1) - 1)
+    return joined.withColumn("_run", run).select("_range", *df.columns, *[F.col(f"_run.{c}").alias(c) for c in told])
 
 
 def key_at(

@@ -1,8 +1,8 @@
 """Greedy in-order packing of examples into chunks.
 
-Packing starts afresh every ``batch_rows`` rows, so a batch is the unit of parallel work: its
-size is fixed, no key of the data decides it, and at most ``batch_rows`` rows meet in one task. That
-is also the memory a task needs: ``batch_rows`` rows with their arrays.
+Packing starts afresh every ``batch_rows`` rows, so a batch is the unit of the fold: its size is
+fixed and no key of the data decides it. The fold sees keys and lengths only; rows with their arrays
+are gathered chunk by chunk.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.functions.basics import let, repeat
-from seqprep.operators.ordering import ROWS_PER_RANGE, with_batches
+from seqprep.operators.ordering import ROWS_PER_RANGE, batched, in_runs, with_batches
 
 BATCH_ROWS = 1000
+ROWS_PER_WIDE_RANGE = 10_000  # a row looks for its run among those of a range
 
 
 def chunk_starts(lengths: Column, block_size: int) -> Column:
@@ -103,26 +104,40 @@ def pack(
     block_size: int,
     columns: Sequence[str] = ("input_ids", "attention_mask", "labels"),
     batch_rows: int = BATCH_ROWS,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int = ROWS_PER_WIDE_RANGE,
 ) -> DataFrame:
     """Packed chunks: ``batch_id, chunk, n_rows`` and the joined arrays.
 
     The first of ``columns`` decides the length. Nothing is cut or dropped. An attention mask is
-    all ones, so it is made again instead of being moved.
+    all ones, so it is made again instead of being moved. Chunks are found from keys and lengths
+    alone; the rows move once and are grouped by chunk, so that a task gathers one chunk at a time.
     """
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
     moved = [c for c in columns if c != "attention_mask" or c == columns[0]]
-    chunks = _chunks(
-        df.select(*_keys(order_by, moved), *moved),
-        order_by, F.size(columns[0]), moved, block_size, batch_rows, rows_per_range,
+    narrow = df.select(*keys, F.size(columns[0]).alias("_len"))
+    numbered, ranges = batched(narrow, keys, batch_rows, "_idx", rows_per_range)
+    entry = F.struct("_idx", F.struct(*keys).alias("_key"), "_len")
+    batches = numbered.groupBy("_range", "batch_id").agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+    starts = chunk_starts(F.col("_rows._len"), block_size)
+    opened = batches.select(
+        "_range", "batch_id", F.col("_rows._key").alias("_keys"), F.posexplode(starts).alias("chunk", "_start")
     )
-    joined = {c: F.flatten(F.col(f"rows.{c}")) for c in moved}
-    joined.setdefault("attention_mask", repeat(1, F.aggregate("rows._len", F.lit(0), lambda a, n: a + n)))
-    return chunks.select(
-        "batch_id",
-        "chunk",
-        F.size("rows").alias("n_rows"),
-        *[joined[c].alias(c) for c in columns],
+    runs = opened.select("_range", F.get("_keys", F.col("_start")).alias("_key"), "chunk", "batch_id")
+    placed = in_runs(df.select(*_keys(order_by, moved), *moved), ranges, runs)
+    row = F.struct(F.struct(*keys).alias("_key"), *moved)
+    chunks = placed.groupBy("_range", "batch_id", "chunk").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    joined = {c: F.flatten(F.col(f"_rows.{c}")) for c in moved}
+    ids = F.aggregate(F.col(f"_rows.{moved[0]}"), F.lit(0), lambda n, a: n + F.size(a))
+    joined.setdefault("attention_mask", repeat(1, ids))
+    made = chunks.select("batch_id", "chunk", F.size("_rows").alias("n_rows"), *[joined[c].alias(c) for c in columns])
+    # A first row longer than the block leaves an empty chunk before its own.
+    types = {c: df.schema[c].dataType for c in moved}
+    empty = runs.groupBy("batch_id", "_key").agg(F.min("chunk").alias("chunk"), F.max("chunk").alias("_last"))
+    empty = empty.filter(F.col("chunk") < F.col("_last")).select(
+        "batch_id", "chunk", F.lit(0).alias("n_rows"),
+        *[F.array().cast(types.get(c, "array<int>")).alias(c) for c in columns],
     )
+    return made.unionByName(empty)
 
 
 def _keys(order_by: str | Sequence[str], other: Sequence[str]) -> list[str]:
