@@ -710,6 +710,11 @@ FROM made JOIN ranked USING (id)""",
     "load_csv_plain": f"""WITH {STAR}
 SELECT row_number() OVER (ORDER BY id) - 1 AS id, text, len_target, split
 FROM ({STAR_SPLIT.format(pct=5)})""",
+    "stream_job": f"""SELECT * FROM ({train(PLAIN)}) WHERE id IN (
+  SELECT id FROM (WITH {STAR} SELECT id FROM ({STAR_SPLIT.format(pct=5)}) WHERE split = 'train'))""",
+    "job_counts": f"""WITH {STAR} SELECT split, count(*) AS n_rows,
+  CASE WHEN split = 'train' THEN least(1000, count(*)) ELSE count(*) END AS n_kept
+FROM ({STAR_SPLIT.format(pct=10)}) GROUP BY split""",
     "rejects_error_detection": f"""WITH {encoded()}
 SELECT id, CASE WHEN id % 7 < 2 THEN 'parts' ELSE 'target' END AS reason FROM e
 WHERE id % 7 < 2 OR NOT (len(t) >= 3 AND (len(n) > 1 OR (len(n) = 1 AND NOT list_contains(t, n[1]))))""",

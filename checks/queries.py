@@ -13,6 +13,7 @@ from seqprep.functions import vectors as vec
 from seqprep.operators import collate, lego, metrics, objectives, ordering, packing
 from seqprep.operators import preference, shortest
 from seqprep.options import PrepOptions
+from seqprep.plans import workflows
 from seqprep.sources import files
 from seqprep.streaming import streams
 
@@ -761,3 +762,26 @@ def stream_pack(spark, sf_dir):
     made = streams.stream_examples(rows, "teacherforcing", OPTS)
     streams.pack_stream(made, "id", STAR_BLOCK, f"{base}/out", f"{base}/state").awaitTermination()
     return flat(spark.read.parquet(f"{base}/out").drop("epoch"))
+
+
+# ---- whole jobs ---------------------------------------------------------------------------
+
+
+def _job(spark: SparkSession, sf_dir: str, **options):
+    """The path-finding job on a JSON table of the star view."""
+    base = files.scratch_dir(spark)
+    views.star(spark, sf_dir).write.json(f"{base}/star.json")
+    opts = PrepOptions(train_file=f"{base}/star.json", seed=views.SEED, **options)
+    return workflows.prepare_star(spark, opts, f"{base}/out")
+
+
+@query
+def stream_job(spark, sf_dir):
+    """Training rows of the job that reads its source as a stream, split by head."""
+    return flat(_job(spark, sf_dir, streaming=True)["train"])
+
+
+@query
+def job_counts(spark, sf_dir):
+    """Raw and written rows of a job with caps, counted while they are written."""
+    return _job(spark, sf_dir, max_train_samples=1000, validation_pct=10).counts

@@ -276,8 +276,8 @@ def head_size(rows: int, pct: float) -> int:
     return int((rows * pct * 2 + 100) // 200)
 
 
-def _head(df: DataFrame, order_by: str | Sequence[str], pct: float) -> Column:
-    """Whether a row is in the first ``pct`` percent.
+def head_filter(df: DataFrame, order_by: str | Sequence[str], pct: float) -> Column:
+    """Whether a row is in the first ``pct`` percent, also of a stream of the same rows.
 
     The key at the cut is found first; the rows themselves are then only compared with it, so
     nothing but keys is shuffled.
@@ -289,7 +289,7 @@ def _head(df: DataFrame, order_by: str | Sequence[str], pct: float) -> Column:
 
 def head_split(df: DataFrame, order_by: str | Sequence[str], pct: float = 5) -> DataFrame:
     """Mark the first ``pct`` percent as "validation" and the rest as "train" in ``split``."""
-    inside = _head(df, order_by, pct)
+    inside = head_filter(df, order_by, pct)
     return df.withColumn("split", F.when(inside, F.lit("validation")).otherwise(F.lit("train")))
 
 
@@ -297,7 +297,7 @@ def head_parts(
     df: DataFrame, order_by: str | Sequence[str], pct: float = 5
 ) -> dict[str, DataFrame]:
     """The two parts of :func:`head_split`, each behind a filter the scan can use."""
-    inside = _head(df, order_by, pct)
+    inside = head_filter(df, order_by, pct)
     return {"train": df.filter(~inside), "validation": df.filter(inside)}
 
 
@@ -307,13 +307,18 @@ def cap(df: DataFrame, n: int | None, order_by: str | Sequence[str]) -> DataFram
     The key of the last row is looked up and becomes a filter, so only keys are shuffled, no task
     gathers the rows, and costly columns are computed for rows inside the cap only.
     """
+    return df if n is None else df.filter(cap_filter(df, n, order_by))
+
+
+def cap_filter(df: DataFrame, n: int | None, order_by: str | Sequence[str]) -> Column:
+    """Whether a row is among the first ``n``, also of a stream of the same rows."""
     if n is None:
-        return df
+        return F.lit(True)
     columns = _columns(order_by)
-    if n <= 0:
-        return df.limit(0)
-    key = key_at(df, columns, n - 1, last=True)
-    return df if key is None else df.filter(_up_to(df, columns, key))
+    key = key_at(df, columns, n - 1, last=True) if n > 0 else None
+    if key is None:
+        return F.lit(n > 0)
+    return _up_to(df, columns, key)
 
 
 def sample_rows(df: DataFrame, key: str, n: int = 3, seed: int = 42) -> DataFrame:

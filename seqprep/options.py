@@ -31,6 +31,7 @@ class PrepOptions:
     dataset_name: str | None = None
     dataset_config: str | None = None
     load_from_disk: bool = False
+    streaming: bool = False
     train_file: str | None = None
     validation_file: str | None = None
     validation_pct: int = 5
@@ -58,8 +59,10 @@ class PrepOptions:
         return vocab_of("numeral-v1" if self.variant == "v1" else "numeral-v0", self.num_nodes)
 
     def fingerprint(self) -> str:
-        """A short key of all option values that decide a table, for reuse of prepared ones."""
-        values = {k: v for k, v in asdict(self).items() if k != "overwrite_cache"}
+        """A short key of all option values that decide a table, for reuse of prepared ones.
+
+        Streams and batches make the same rows."""
+        values = {k: v for k, v in asdict(self).items() if k not in ("overwrite_cache", "streaming")}
         text = json.dumps(values, sort_keys=True)
         return hashlib.md5(text.encode()).hexdigest()[:16]
 

@@ -1,9 +1,11 @@
 """Whole preparation and scoring jobs.
 
 Each job loads and splits the raw table, builds the examples of both splits, packs or caps them
-and writes each split once. The folder is named by the job, the options, all other parameters and the
-input; a second run of the same reads what is there, before it loads or builds anything. Tables
-handed over as ``raw`` have no name of their own: give one as ``source``, or they are built anew.
+and writes each split once; raw and written rows are counted while they are written. With the option
+``streaming`` the same job reads its source as a stream and builds its micro-batches. The folder is
+named by the job, the options, all other parameters and the input's files; a second run of the same
+reads what is there, before it loads or builds anything. Tables handed over as ``raw`` have no files:
+give a name as ``source``, or they are built anew.
 """
 
 from __future__ import annotations
@@ -11,46 +13,68 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from seqprep.functions.tokens import vocab_kind_for, vocab_of
+from seqprep.functions.tokens import Vocab, decode, vocab_kind_for, vocab_of
 from seqprep.functions.vectors import softmax, tail_slice, token_prob, topk_tokens
 from seqprep.operators.lego import lego_examples
 from seqprep.operators.metrics import eval_metrics
 from seqprep.operators.objectives import examples, max_target_length
-from seqprep.operators.ordering import cap
+from seqprep.operators.ordering import cap, cap_filter, sample_rows
 from seqprep.operators.packing import pack
 from seqprep.operators.preference import preference_max_length, preference_pairs
 from seqprep.operators.shortest import shortest_examples
 from seqprep.options import PrepOptions, block_size, validate_options
-from seqprep.sources.files import SPLITS, finished, load_raw, prepared, save_metrics, staged
+from seqprep.sources.files import (
+    SPLITS, content_of, exists, finished, load_raw, remove, save_metrics, scratch_scope, staged,
+)
+from seqprep.streaming.streams import stream_raw, write_epochs
 
 Splits = dict[str, DataFrame]
+Make = Callable[[DataFrame], DataFrame]
+
+
+class Prepared(dict):
+    """The written splits by name, with their counts: ``split, n_rows`` (raw) and ``n_kept`` (written)."""
+
+    def __init__(self, parts: Splits, counts: DataFrame):
+        super().__init__(parts)
+        self.counts = counts
+
+    def samples(self, opts: PrepOptions, vocab: Vocab | None = None, n: int = 3) -> DataFrame:
+        """``n`` written training rows: their key and the text of ``input_ids``."""
+        train = self["train"]
+        keys = [opts.row_id] if opts.row_id in train.columns else ["batch_id", "chunk"]
+        told = train.withColumn("_key", F.concat_ws("/", *keys))
+        picked = sample_rows(told.select(*keys, "_key", "input_ids"), "_key", n, opts.seed)
+        return picked.select(*keys, decode(F.col("input_ids"), vocab or opts.vocab).alias("text"))
 
 
 def _folder(
-    opts: PrepOptions, out: str, job: str, raw: Splits | None, source: str | None, **more: object
+    spark: SparkSession, opts: PrepOptions, out: str, job: str, raw: Splits | None, source: str | None, **more: object
 ) -> str:
-    """Where a job's tables go: its name and a digest of all that decides them."""
-    if raw is not None and source is None:
-        source = uuid.uuid4().hex
+    """Where a job's tables go: its name and a digest of all that decides them, the input's files too."""
+    if raw is None:
+        source = content_of(spark, opts)
+    source = source or uuid.uuid4().hex
     told = json.dumps([job, opts.fingerprint(), source, more], sort_keys=True)
     return f"{out}/{job}-{hashlib.md5(told.encode()).hexdigest()[:16]}"
 
 
-def _there(spark: SparkSession, folder: str, opts: PrepOptions) -> Splits | None:
+def _there(spark: SparkSession, folder: str, opts: PrepOptions) -> Prepared | None:
     """The finished tables of an earlier run, unless they are to be written again."""
-    if opts.overwrite_cache or not all(finished(spark, f"{folder}/{s}") for s in SPLITS):
+    if opts.overwrite_cache or not finished(spark, f"{folder}/counts"):
         return None
-    return {s: spark.read.parquet(f"{folder}/{s}") for s in SPLITS}
+    return Prepared({s: _read(spark, f"{folder}/{s}") for s in SPLITS}, spark.read.parquet(f"{folder}/counts"))
 
 
-def _written(parts: Splits, folder: str) -> Splits:
-    return {name: prepared(part, f"{folder}/{name}", True) for name, part in parts.items()}
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("epoch")  # the folder of a micro-batch
 
 
 def _loaded(spark: SparkSession, opts: PrepOptions, raw: Splits | None) -> Splits:
@@ -58,9 +82,97 @@ def _loaded(spark: SparkSession, opts: PrepOptions, raw: Splits | None) -> Split
     return raw or load_raw(spark, opts, opts.row_id)
 
 
-def _capped(parts: Splits, opts: PrepOptions, order_by: str | Sequence[str]) -> Splits:
-    limits = {"train": opts.max_train_samples, "validation": opts.max_eval_samples}
-    return {name: cap(part, limits[name], order_by) for name, part in parts.items()}
+def _observed(seen: Observation, df: DataFrame) -> int:
+    """The rows counted while they were written; counted now where the optimiser left them all out."""
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:
+        return df.count()
+
+
+def _write(rows: DataFrame, folder: str, make: Make, chunked: Make | None) -> tuple[int, int]:
+    """Build a split, or a micro-batch of it, and write it. Counts it on the way: raw rows and written ones."""
+    raw, kept = Observation(), Observation()
+    made = make(rows.observe(raw, F.count(F.lit(1)).alias("n")))
+    if chunked is not None:  # reads its rows several times
+        made = chunked(staged(made))
+    made.observe(kept, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(folder)
+    return _observed(raw, rows), _observed(kept, rows.sparkSession.read.parquet(folder))
+
+
+def _written(
+    spark: SparkSession,
+    opts: PrepOptions,
+    folder: str,
+    raw: Splits | None,
+    job: Callable[[Splits], Callable[[str], Make]],
+    chunked: Make | None = None,
+) -> Prepared:
+    """Run a job on its source, as a batch or as a stream.
+
+    ``job`` looks at the raw splits and gives the function that builds one of them; ``chunked`` packs
+    built training rows. A stream builds its micro-batches by the same functions, each into a folder of
+    its own, with a checkpoint; those of a job that failed are gone on with.
+    """
+    if raw is not None and opts.streaming:
+        raise ValueError("a streaming job reads the source that its options name")
+    with scratch_scope(spark):
+        parts = _loaded(spark, opts, raw)
+        build = job(parts)
+        limits = {"train": opts.max_train_samples, "validation": opts.max_eval_samples}
+        streams = stream_raw(spark, opts) if opts.streaming else {}
+        counts = []
+        for name, part in parts.items():
+            make, pack_rows = build(name), chunked if name == "train" else None
+            limit = limits[name]
+            if limit is not None and pack_rows is None:
+                inside = cap_filter(make(part), limit, opts.row_id)
+                make = _then(make, inside)
+            path = f"{folder}/{name}"
+            if limit is not None and pack_rows is not None:
+                path = f"{folder}/_chunks"  # they can be counted only once there are all of them
+            if opts.streaming:
+                n = _streamed(streams[name], path, f"{folder}/_state/{name}", make, pack_rows, opts.overwrite_cache)
+            else:
+                n = _write(part, path, make, pack_rows)
+            if limit is not None and pack_rows is not None:
+                chunks = spark.read.parquet(path)
+                first = ["epoch"] if opts.streaming else []
+                cap(chunks, limit, [*first, "batch_id", "chunk"]).drop("epoch").write.mode("overwrite").parquet(
+                    f"{folder}/{name}"
+                )
+                remove(spark, path)
+                n = n[0], spark.read.parquet(f"{folder}/{name}").count()
+            counts.append((name, *n))
+    told = spark.createDataFrame(counts, "split string, n_rows bigint, n_kept bigint")
+    told.coalesce(1).write.mode("overwrite").parquet(f"{folder}/counts")
+    return Prepared({s: _read(spark, f"{folder}/{s}") for s in SPLITS}, spark.read.parquet(f"{folder}/counts"))
+
+
+def _then(make: Make, inside: Column) -> Make:
+    return lambda rows: make(rows).filter(inside)
+
+
+def _streamed(
+    rows: DataFrame, path: str, state: str, make: Make, chunked: Make | None, anew: bool
+) -> tuple[int, int]:
+    """Write a stream until its present input is used up. Gives the rows read and written."""
+    spark = rows.sparkSession
+    if anew:
+        remove(spark, path)
+        remove(spark, state)
+
+    def write(batch: DataFrame, folder: str) -> None:
+        raw, kept = _write(batch, folder, make, chunked)
+        told = batch.sparkSession.createDataFrame([(raw, kept)], "n_rows bigint, n_kept bigint")
+        told.coalesce(1).write.mode("overwrite").parquet(f"{state}/counts/{folder.rsplit('/', 1)[1]}")
+
+    write_epochs(rows, path, f"{state}/checkpoint", write).awaitTermination()
+    if not exists(spark, f"{state}/counts"):  # no row ever came: the tables are still there, empty
+        nothing = spark.createDataFrame([], rows.schema)
+        write(nothing, f"{path}/epoch=0")
+    found = spark.read.parquet(f"{state}/counts").agg(F.sum("n_rows"), F.sum("n_kept")).first()
+    return found[0], found[1]
 
 
 def prepare_star(
@@ -69,18 +181,18 @@ def prepare_star(
     out: str,
     raw: Splits | None = None,
     source: str | None = None,
-) -> Splits:
+) -> Prepared:
     """Path-finding examples of both splits, capped but not packed."""
     validate_options(opts)
-    folder = _folder(opts, out, "star", raw, source)
+    folder = _folder(spark, opts, out, "star", raw, source)
     if there := _there(spark, folder, opts):
         return there
-    raw = _loaded(spark, opts, raw)
-    longest = max_target_length(*raw.values())
-    parts = {
-        name: examples(part, opts.objective, opts, name, longest) for name, part in raw.items()
-    }
-    return _written(_capped(parts, opts, opts.row_id), folder)
+
+    def job(parts: Splits) -> Callable[[str], Make]:
+        longest = max_target_length(*parts.values())
+        return lambda name: lambda rows: examples(rows, opts.objective, opts, name, longest)
+
+    return _written(spark, opts, folder, raw, job)
 
 
 def prepare_lego(
@@ -89,17 +201,17 @@ def prepare_lego(
     out: str,
     raw: Splits | None = None,
     source: str | None = None,
-) -> Splits:
+) -> Prepared:
     """Signed-variable chain examples of both splits, capped but not packed."""
     validate_options(opts)
-    folder = _folder(opts, out, "lego", raw, source)
+    folder = _folder(spark, opts, out, "lego", raw, source)
     if there := _there(spark, folder, opts):
         return there
-    parts = {
-        name: lego_examples(part, opts.task, opts.objective, opts, name)
-        for name, part in _loaded(spark, opts, raw).items()
-    }
-    return _written(_capped(parts, opts, opts.row_id), folder)
+
+    def job(parts: Splits) -> Callable[[str], Make]:
+        return lambda name: lambda rows: lego_examples(rows, opts.task, opts.objective, opts, name)
+
+    return _written(spark, opts, folder, raw, job)
 
 
 def prepare_shortest(
@@ -110,25 +222,22 @@ def prepare_shortest(
     position_limit: int | None = None,
     raw: Splits | None = None,
     source: str | None = None,
-) -> Splits:
+) -> Prepared:
     """Shortest-path examples: train rows packed, validation rows as they are.
 
-    The cap on training rows counts packed chunks, so it cannot be applied before packing.
+    The cap on training rows counts packed chunks, so it cannot be applied before packing. A stream
+    packs each micro-batch on its own.
     """
     validate_options(opts)
     block = block_size(opts.block_size, tokenizer_max, position_limit)
-    folder = _folder(opts, out, "shortest", raw, source, block=block)
+    folder = _folder(spark, opts, out, "shortest", raw, source, block=block)
     if there := _there(spark, folder, opts):
         return there
-    made = {
-        name: shortest_examples(part, opts.objective, opts, name, opts.aug)
-        for name, part in _loaded(spark, opts, raw).items()
-    }
-    chunks = pack(staged(made["train"]), opts.row_id, block)
-    if opts.max_train_samples is not None:
-        chunks = cap(staged(chunks), opts.max_train_samples, ["batch_id", "chunk"])
-    validation = cap(made["validation"], opts.max_eval_samples, opts.row_id)
-    return _written({"train": chunks, "validation": validation}, folder)
+
+    def job(parts: Splits) -> Callable[[str], Make]:
+        return lambda name: lambda rows: shortest_examples(rows, opts.objective, opts, name, opts.aug)
+
+    return _written(spark, opts, folder, raw, job, lambda made: pack(made, opts.row_id, block))
 
 
 def prepare(
@@ -139,7 +248,7 @@ def prepare(
     position_limit: int | None = None,
     raw: Splits | None = None,
     source: str | None = None,
-) -> Splits:
+) -> Prepared:
     """Choose the job by dataset name, as the vocabulary is chosen."""
     kind = vocab_kind_for(opts.dataset_name or opts.train_file or opts.validation_file)
     if kind == "lego":
@@ -149,7 +258,7 @@ def prepare(
 
 @dataclass(frozen=True)
 class PreferenceData:
-    pairs: Splits
+    pairs: Prepared
     max_length: int
 
 
@@ -163,16 +272,15 @@ def prepare_preference(
 ) -> PreferenceData:
     """Preference rows of both splits and the length budget of a prompt with its answer."""
     validate_options(opts)
-    folder = _folder(opts, out, "preference", raw, source, drop_equal=drop_equal)
+    folder = _folder(spark, opts, out, "preference", raw, source, drop_equal=drop_equal)
     pairs = _there(spark, folder, opts)
     if pairs is None:
-        pairs = _written(
-            {
-                name: preference_pairs(part, opts.text_column, drop_equal)
-                for name, part in _loaded(spark, opts, raw).items()
-            },
-            folder,
-        )
+        uncapped = replace(opts, max_train_samples=None, max_eval_samples=None)
+
+        def job(parts: Splits) -> Callable[[str], Make]:
+            return lambda name: lambda rows: preference_pairs(rows, opts.text_column, drop_equal)
+
+        pairs = _written(spark, uncapped, folder, raw, job)
     longest = max_target_length(*pairs.values())
     return PreferenceData(pairs, preference_max_length(pairs["train"], opts.row_id, longest))
 

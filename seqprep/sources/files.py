@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,18 +23,89 @@ SPLITS = ("train", "validation")
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the shared folder of the session (``spark.checkpoint.dir``).
 
-    A session without one, as in tests, uses its warehouse, which executors share as well. The
-    folder goes when the session's JVM ends: lazy results may read it until then.
+    A local session without one, as in tests, uses its warehouse; on a cluster the setting is needed.
+    The folder goes at the end of the :func:`scratch_scope` it was made in, else when the session's JVM
+    ends: lazy results may read it until then. :func:`sweep_scratch` removes what a crash has left.
     """
+    folder = f"{scratch_base(spark)}/{uuid.uuid4().hex}"
+    path, store = _store(spark, folder)
+    store.mkdirs(path)  # only what is there can be marked for deletion
+    scopes = getattr(_SCOPES, "open", None)
+    if scopes:
+        scopes[-1].append(folder)
+    else:
+        store.deleteOnExit(path)
+    return f"{folder}/data"
+
+
+def scratch_base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/_scratch"
+
+
+def _store(spark: SparkSession, folder: str) -> tuple:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.mkdirs(path)  # only what is there can be marked for deletion
-    store.deleteOnExit(path)
-    return f"{folder}/data"
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path, store = _store(spark, folder)
+    store.delete(path, True)
+
+
+_SCOPES = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the scratch tables made inside at its end, by this thread and outside inner scopes.
+
+    What rests on them must have been written by then.
+    """
+    if not hasattr(_SCOPES, "open"):
+        _SCOPES.open = []
+    made: list[str] = []
+    _SCOPES.open.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.open.remove(made)
+        for folder in made:
+            remove(spark, folder)
+
+
+class Rounds:
+    """Scratch tables of an iteration, each made from the one before: only the last two are kept."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._held = spark, []
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        path = scratch_dir(self._spark)
+        df.write.parquet(path)
+        self._held.append(path)
+        if len(self._held) > 2:
+            remove(self._spark, self._held.pop(0).rsplit("/", 1)[0])
+        return self._spark.read.schema(df.schema).parquet(path)
+
+
+def sweep_scratch(spark: SparkSession, hours: float = 24) -> int:
+    """Remove scratch folders that are older than ``hours``, as a crash leaves them; returns how many.
+
+    For the start of a day's work: a running job that still reads older tables would lose them.
+    """
+    base, store = _store(spark, scratch_base(spark))
+    if not store.exists(base):
+        return 0
+    limit = (time.time() - hours * 3600) * 1000
+    old = [s.getPath() for s in store.listStatus(base) if s.getModificationTime() < limit]
+    for path in old:
+        store.delete(path, True)
+    return len(old)
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -207,8 +281,35 @@ def prepared(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
 
 
 def finished(spark: SparkSession, path: str) -> bool:
-    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, store = _store(spark, path)
+    return store.exists(place)
+
+
+def content_of(spark: SparkSession, opts: PrepOptions) -> str | None:
+    """A digest of the files that the options name: paths, sizes and times. ``None`` without files.
+
+    Only the listing is read; for a catalogue table, the files that its rows come from.
+    """
+    if opts.dataset_name is None or opts.load_from_disk:
+        paths = [p for p in (opts.train_file, opts.validation_file) if p]
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        listed = reader.load([opts.dataset_name] if opts.dataset_name else paths)
+        files = listed.select("path", "length", "modificationTime")
+    else:
+        config = opts.dataset_config
+        table = spark.table(f"{opts.dataset_name}_{config}" if config else opts.dataset_name)
+        try:
+            files = table.select(
+                "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
+            ).distinct()
+        except AnalysisException:
+            return None
+    found = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
+    return f"{found[0]} {found[1]}"
 
 
 def save_metrics(df: DataFrame, path: str) -> None:

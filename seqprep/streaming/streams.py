@@ -7,18 +7,20 @@ on a retry, which makes a restart after a lost executor or driver repeatable.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from seqprep.operators.lego import lego_examples
 from seqprep.operators.objectives import train_examples
+from seqprep.operators.ordering import head_filter
 from seqprep.operators.packing import BATCH_ROWS, pack
 from seqprep.operators.shortest import shortest_examples
-from seqprep.options import PrepOptions
-from seqprep.sources.files import staged
+from seqprep.options import PrepOptions, file_format
+from seqprep.sources.files import finished, load_dir, read_file, scratch_scope, staged
 
 FORMATS = ("parquet", "json", "csv", "text")
 
@@ -73,6 +75,26 @@ def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def write_epochs(
+    df: DataFrame, path: str, checkpoint: str, write: Callable[[DataFrame, str], None]
+) -> StreamingQuery:
+    """Hand each micro-batch to ``write`` with its folder, ``path/epoch=<n>``.
+
+    Scratch tables that it makes go when the micro-batch is written.
+    """
+
+    def epoch(batch: DataFrame, n: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            write(batch, f"{path}/epoch={n}")
+
+    return (
+        df.writeStream.foreachBatch(epoch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def pack_stream(
     df: DataFrame,
     order_by: str | Sequence[str],
@@ -84,14 +106,57 @@ def pack_stream(
 ) -> StreamingQuery:
     """Pack each micro-batch on its own into ``path/epoch=<n>``."""
 
-    def write(batch: DataFrame, epoch: int) -> None:
+    def write(batch: DataFrame, folder: str) -> None:
         # Packing reads its rows several times, so they are written once.
         chunks = pack(staged(batch), order_by, block_size, columns, batch_rows)
-        chunks.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        chunks.write.mode("overwrite").parquet(folder)
 
-    return (
-        df.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return write_epochs(df, path, checkpoint, write)
+
+
+def _file_stream(spark: SparkSession, path: str, keep_linebreaks: bool) -> DataFrame:
+    schema = read_file(spark, path, keep_linebreaks=keep_linebreaks).schema
+    kind = file_format(path)
+    if kind != "txt":
+        reader = spark.readStream.schema(schema)
+        return reader.json(path) if kind == "json" else reader.csv(path, header=True, escape='"')
+    lines = spark.readStream.text(path).withColumnRenamed("value", "text")
+    return lines.withColumn("text", F.concat("text", F.lit("\n"))) if keep_linebreaks else lines
+
+
+def stream_raw(spark: SparkSession, opts: PrepOptions) -> dict[str, DataFrame]:
+    """The splits that the options name as streams, cut where ``load_raw`` cuts them.
+
+    Rows need their id in the data: a stream has no places. Where the head is cut off, the key at the
+    cut is looked up in the files first, by a pass over that column alone.
+    """
+    parts: dict[str, DataFrame]
+    if opts.dataset_name is None:
+        given = {"train": opts.train_file, "validation": opts.validation_file}
+        parts = {k: _file_stream(spark, p, opts.keep_linebreaks) for k, p in given.items() if p is not None}
+        whole = lambda: read_file(spark, opts.train_file, keep_linebreaks=opts.keep_linebreaks)
+    elif opts.load_from_disk:
+        there = load_dir(spark, opts.dataset_name)
+        split = len(there) > 1 or finished(spark, f"{opts.dataset_name}/train")
+        parts = {
+            k: spark.readStream.schema(p.schema).parquet(f"{opts.dataset_name}/{k}" if split else opts.dataset_name)
+            for k, p in there.items()
+        }
+        whole = None
+    else:
+        table = stream_table(spark, opts.dataset_name, opts.dataset_config)
+        name = f"{opts.dataset_name}_{opts.dataset_config}" if opts.dataset_config else opts.dataset_name
+        parts, still = {"train": table}, spark.table(name)
+        if "split" in table.columns:
+            parts["train"] = table.filter("split = 'train'").drop("split")
+            if not still.filter("split = 'validation'").isEmpty():
+                parts["validation"] = table.filter("split = 'validation'").drop("split")
+            still = still.filter("split = 'train'")
+        whole = lambda: still
+    for name, part in parts.items():
+        if opts.row_id not in part.columns:
+            raise ValueError(f"a stream needs the column {opts.row_id!r} in its {name} rows")
+    if "validation" not in parts and whole is not None:
+        inside = head_filter(whole(), opts.row_id, opts.validation_pct)
+        parts = {"train": parts["train"].filter(~inside), "validation": parts["train"].filter(inside)}
+    return parts

@@ -341,3 +341,110 @@ def test_packing_survives_a_retry(spark, star_table):
     once = packing.pack(made.repartition(3), "id", 128, rows_per_range=100)
     again = packing.pack(made.repartition(17), "id", 128, rows_per_range=130)
     assert rows(once) == rows(again)
+
+
+def scratch_folders(spark):
+    import os
+
+    base = files.scratch_base(spark)
+    return set(os.listdir(base)) if os.path.exists(base) else set()
+
+
+def test_scratch_goes_with_its_scope(spark):
+    before = scratch_folders(spark)
+    with files.scratch_scope(spark):
+        assert files.staged(spark.range(3)).count() == 3
+        with pytest.raises(RuntimeError), files.scratch_scope(spark):
+            files.staged(spark.range(3))
+            raise RuntimeError
+        assert len(scratch_folders(spark) - before) == 1
+    assert scratch_folders(spark) == before
+    rounds, now = files.Rounds(spark), spark.range(3)
+    for _ in range(6):
+        now = rounds.staged(now.selectExpr("id + 1 as id"))
+        assert len(scratch_folders(spark) - before) <= 2
+    assert now.agg(F.min("id")).first()[0] == 6
+
+
+def test_sweep_removes_old_scratch_only(spark):
+    import os
+    import time
+
+    kept, old = files.staged(spark.range(2)), files.scratch_dir(spark)
+    folder = os.path.dirname(old)
+    os.utime(folder, (time.time() - 90_000,) * 2)
+    assert files.sweep_scratch(spark) >= 1
+    assert not os.path.exists(folder) and kept.count() == 2
+
+
+def test_cluster_without_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    settings = {"spark.sql.warehouse.dir": "file:/here"}
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, *d: settings.get(k)), sparkContext=context)
+    with pytest.raises(ValueError):
+        files.scratch_base(session)
+    context.master = "local[2]"
+    assert files.scratch_base(session) == "file:/here/_scratch"
+    settings["spark.checkpoint.dir"], context.master = "hdfs:/shared/", "yarn"
+    assert files.scratch_base(session) == "hdfs:/shared/_scratch"
+
+
+def test_packing_a_stream_leaves_no_scratch(spark, sf_dir, star_table, tmp_path):
+    made = objectives.examples(star_table, "teacherforcing", PrepOptions(), "train").limit(400)
+    made.repartition(12).write.parquet(str(tmp_path / "in"))
+    before = scratch_folders(spark)
+    stream = streams.load_stream(spark, str(tmp_path / "in"), "parquet", made.schema, max_files=1)
+    streams.pack_stream(stream, "id", 128, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.agg(F.sum("n_rows")).first()[0] == 400 and found.select("epoch").distinct().count() >= 10
+    assert scratch_folders(spark) == before
+
+
+@pytest.mark.parametrize("kind", ["star", "lego", "shortest"])
+@pytest.mark.parametrize("caps", [None, 7])
+def test_jobs_give_the_same_rows_as_streams(spark, sf_dir, tmp_path, kind, caps):
+    from checks import views
+
+    table = getattr(views, kind)(spark, sf_dir)
+    path = str(tmp_path / f"{kind}.json")
+    table.write.json(path)
+    opts = PrepOptions(train_file=path, task="path", validation_pct=10, max_train_samples=caps, max_eval_samples=caps)
+    jobs = {
+        "star": workflows.prepare_star, "lego": workflows.prepare_lego,
+        "shortest": lambda *a: workflows.prepare_shortest(*a, tokenizer_max=256),
+    }
+    whole = jobs[kind](spark, opts, str(tmp_path / "batch"))
+    from dataclasses import replace
+
+    streamed = jobs[kind](spark, replace(opts, streaming=True), str(tmp_path / "stream"))
+    for name in ("train", "validation"):
+        assert whole[name].columns == streamed[name].columns
+        assert rows(whole[name]) == rows(streamed[name])
+    assert rows(whole.counts) == rows(streamed.counts)
+    counts = {r["split"]: r for r in whole.counts.collect()}
+    n = table.count()
+    assert sum(r["n_rows"] for r in counts.values()) == n and counts["validation"]["n_rows"] == round(n * 0.1)
+    assert all(counts[s]["n_kept"] == whole[s].count() for s in counts)
+    assert whole.samples(opts).count() == 3 and all(r["text"] for r in whole.samples(opts).collect())
+
+
+def test_a_rewritten_file_makes_a_new_table(spark, tmp_path, monkeypatch):
+    path = tmp_path / "lines.json"
+    line = '{"id": %d, "text": "1,2|2,3/1,3=1,2,3", "len_target": 3, "wrong_path": ["1,3"]}\n'
+    path.write_text("".join(line % i for i in range(20)))
+    opts, out = PrepOptions(train_file=str(path)), str(tmp_path / "out")
+    assert workflows.prepare_star(spark, opts, out)["train"].count() == 19
+    path.write_text("".join(line % i for i in range(40)))
+    assert workflows.prepare_star(spark, opts, out)["train"].count() == 38
+    monkeypatch.setattr(workflows, "load_raw", lambda *a: pytest.fail("loaded"))
+    assert workflows.prepare_star(spark, opts, out)["train"].count() == 38
+
+
+def test_counts_of_caps_that_leave_nothing(spark, tmp_path, star_table):
+    raw = {"train": star_table, "validation": star_table.limit(4)}
+    opts = PrepOptions(dataset_name="star", max_train_samples=0)
+    made = workflows.prepare_star(spark, opts, str(tmp_path / "out"), raw)
+    counts = {r["split"]: (r["n_rows"], r["n_kept"]) for r in made.counts.collect()}
+    assert counts == {"train": (star_table.count(), 0), "validation": (4, 4)}
