@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqprep.sources.files import scratch_dir, staged
+from seqprep.sources.files import Rounds, scratch_dir, staged
 
 __all__ = [
-    "arrow_rows", "cached", "lower_ascii", "needed", "numbered", "only_cache", "pieces_of", "reachable", "sliced", "scratch_dir", "small",
+    "Rounds", "arrow_rows", "cached", "lower_ascii", "needed", "numbered", "only_cache", "pieces_of", "reachable", "sliced", "scratch_dir", "small",
     "staged", "table", "unused", "UPPER", "LOWER",
 ]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqprep.llm.common import staged
+from seqprep.llm.common import Rounds
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,13 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
     written to the shared folder, so lineage stays short. Links may repeat or be loops.
     """
     u, v = F.greatest("u", "v"), F.least("u", "v")
-    now = staged(edges.filter("u != v").select(u.alias("u"), v.alias("v")).distinct())
+    rounds = Rounds(edges.sparkSession)
+    now = rounds.staged(edges.filter("u != v").select(u.alias("u"), v.alias("v")).distinct())
     state = None
     while True:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if seen[0] == 0 or seen == state:
             break
         state = seen
-        now = staged(_small_star(_large_star(now).distinct()).distinct())
+        now = rounds.staged(_small_star(_large_star(now).distinct()).distinct())
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqprep.llm.common import needed, staged
+from seqprep.llm.common import Rounds, needed, staged
 
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 
@@ -74,7 +74,8 @@ def _threads(replies: DataFrame) -> DataFrame:
     answers, so there are no circles, and a chain of n messages takes log2(n) rounds.
     """
     first = F.col("reply_to").isNull()
-    now = staged(
+    rounds = Rounds(replies.sparkSession)
+    now = rounds.staged(
         replies.select(
             "conv_id", "turn", F.coalesce("reply_to", "turn").alias("thread"),
             F.when(first, 0).otherwise(1).cast("bigint").alias("depth"), first.alias("done"),
@@ -89,7 +90,7 @@ def _threads(replies: DataFrame) -> DataFrame:
             "conv_id", "turn", F.col("_up").alias("thread"), (F.col("depth") + F.col("_more")).alias("depth"),
             F.col("_done").alias("done"),
         )
-        now = staged(now.filter("done").unionByName(moved))
+        now = rounds.staged(now.filter("done").unionByName(moved))
     return now.drop("done")
 
 
