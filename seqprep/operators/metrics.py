@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 
 from seqprep.functions.basics import IGNORE
 from seqprep.functions.vectors import argmax, token_nll
-from seqprep.operators.ordering import ROWS_PER_RANGE, running_total
+from seqprep.operators.ordering import ROWS_PER_RANGE, following, running_total
+from seqprep.sources.files import staged
+
+LONGEST = 100_000  # positions of a sequence that one window may hold
+FILTER_FROM = 1_000_000  # rows of a logit table from which vectors are filtered before they move
+FILTER_KEYS = 8_000_000  # keys of such a filter: 16 MB
 
 # ---- fixed values -------------------------------------------------------------------------
 EPSILON = 1e-9  # keeps positions without any counted label defined
@@ -100,11 +105,26 @@ def eval_metrics(df: DataFrame, eos_id: int) -> DataFrame:
     return sums.select(metric.alias("metric"), value.alias("value"))
 
 
-def shift_pairs(df: DataFrame) -> DataFrame:
+def sequence_sizes(df: DataFrame) -> tuple[int, int]:
+    """Rows of a logit table, and those of its longest sequence: one pass over ``seq``."""
+    sizes = df.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.agg(F.sum("n"), F.max("n")).first()
+    return found[0] or 0, found[1] or 0
+
+
+def shift_pairs(df: DataFrame, longest: int = LONGEST) -> DataFrame:
     """Score position ``j`` against the label at ``j + 1``: the last position of each goes.
 
-    A window over one sequence is bounded by the block size.
+    Sequences of up to ``longest`` positions are windows of their own; where one is longer, labels are
+    shifted by ranges of the keys, so that it meets in no single task.
     """
+    return _shifted(df, sequence_sizes(df)[1] > longest, longest)
+
+
+def _shifted(df: DataFrame, by_ranges: bool, longest: int) -> DataFrame:
+    if by_ranges:
+        shifted = following(df, "seq", "pos", ["label"], "_next", longest)
+        return shifted.filter(F.col("_next").isNotNull()).withColumn("label", F.col("_next.label")).drop("_next")
     by_pos = Window.partitionBy("seq").orderBy("pos")
     return (
         df.withColumn("_next", F.lead("label").over(by_pos))
@@ -115,28 +135,37 @@ def shift_pairs(df: DataFrame) -> DataFrame:
     )
 
 
-def shifted_predictions(df: DataFrame) -> DataFrame:
+def shifted_predictions(df: DataFrame, longest: int = LONGEST) -> DataFrame:
     """``seq, pos, pred, label, correct`` after the shift.
 
     The vectors are reduced to their arg max before the shift, so they are not shuffled.
     """
+    return _predicted(df, sequence_sizes(df)[1] > longest, longest)
+
+
+def _predicted(df: DataFrame, by_ranges: bool, longest: int) -> DataFrame:
     narrow = df.select("seq", "pos", argmax(F.col("v")).alias("pred"), "label")
+    narrow = staged(narrow) if by_ranges else narrow  # ranges read their keys several times
     hit = F.col("pred").eqNullSafe(F.col("label")).cast("int")
-    return shift_pairs(narrow).withColumn("correct", hit)
+    return _shifted(narrow, by_ranges, longest).withColumn("correct", hit)
 
 
-def train_seq_acc(df: DataFrame) -> DataFrame:
+def train_seq_acc(df: DataFrame, longest: int = LONGEST) -> DataFrame:
     """Share of sequences right at every label other than -1, one ``(metric, value)`` row.
 
     A sequence of one position has nothing left to predict after the shift and counts as right.
     """
-    by_pos = Window.partitionBy("seq").orderBy("pos")
     narrow = df.select("seq", "pos", argmax(F.col("v")).alias("pred"), "label")
-    following = narrow.withColumn("_next", F.lead("label").over(by_pos)).withColumn(
-        "_has", F.lead(F.lit(1)).over(by_pos).isNotNull()
-    )
+    if sequence_sizes(df)[1] > longest:
+        told = following(staged(narrow), "seq", "pos", ["label"], "_f", longest)
+        shifted = told.withColumn("_next", F.col("_f.label")).withColumn("_has", F.col("_f").isNotNull())
+    else:
+        by_pos = Window.partitionBy("seq").orderBy("pos")
+        shifted = narrow.withColumn("_next", F.lead("label").over(by_pos)).withColumn(
+            "_has", F.lead(F.lit(1)).over(by_pos).isNotNull()
+        )
     hit = (F.col("_has") & F.col("pred").eqNullSafe(F.col("_next"))).cast("int")
-    per_seq = following.groupBy("seq").agg(
+    per_seq = shifted.groupBy("seq").agg(
         F.sum(hit).alias("_right"),
         F.sum((F.col("_has") & (F.col("_next") != IGNORE)).cast("int")).alias("_counted"),
     )
@@ -151,36 +180,69 @@ def column_acc(df: DataFrame) -> DataFrame:
     return shifted_predictions(df).groupBy("pos").agg(F.avg("correct").alias("column_acc"))
 
 
-def kth_token_acc(df: DataFrame) -> DataFrame:
+def kth_token_acc(df: DataFrame, longest: int = LONGEST) -> DataFrame:
     """Accuracy of the k-th counted label of a sequence, wherever it stands: ``k, kth_acc``."""
-    before = (
-        Window.partitionBy("seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    )
+    by_ranges = sequence_sizes(df)[1] > longest
+    shifted = _predicted(df, by_ranges, longest)
     counted = (F.col("label") != IGNORE).cast("int")
-    return (
-        shifted_predictions(df)
-        .withColumn("k", F.sum(counted).over(before).cast("bigint"))
-        .filter(F.col("label") != IGNORE)
-        .groupBy("k")
-        .agg(F.avg("correct").alias("kth_acc"))
+    if by_ranges:
+        numbered = running_total(staged(shifted), ["seq", "pos"], counted, ["seq"], "k", longest)
+        numbered = numbered.withColumn("k", F.col("k") + counted)
+    else:
+        before = Window.partitionBy("seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        numbered = shifted.withColumn("k", F.sum(counted).over(before).cast("bigint"))
+    return numbered.filter(F.col("label") != IGNORE).groupBy("k").agg(F.avg("correct").alias("kth_acc"))
+
+
+def _among(keys: DataFrame, n: int, columns: Sequence[str]) -> Column:
+    """Whether a row may be among ``keys``: one bit for each of 16 times their number, set or not.
+
+    The bits are one array value, looked up where the row is. One row in 16 passes without being there.
+    """
+    words = max(1, n // 4)
+    bits = lambda: F.pmod(F.xxhash64(*columns), F.lit(words * 64))
+    one = F.lit(1).cast("bigint")
+    place = F.shiftright(bits(), 6)
+    shift = bits().bitwiseAND(F.lit(63)).cast("int")
+    held = keys.select(place.alias("w"), F.expr("1L").alias("one"), shift.alias("s")).groupBy("w").agg(
+        F.bit_or(F.call_function("shiftleft", F.col("one"), F.col("s"))).alias("b")
     )
+    every = keys.sparkSession.range(words).select(F.col("id").alias("w")).join(held, "w", "left")
+    array = every.agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))))["b"])
+    word = F.get(array.scalar(), place.cast("int"))
+    return F.call_function("shiftrightunsigned", word, shift).bitwiseAND(one) == 1
 
 
-def masked_nll(df: DataFrame) -> DataFrame:
+def masked_nll(
+    df: DataFrame, in_place: bool = False, longest: int = LONGEST, filter_from: int = FILTER_FROM
+) -> DataFrame:
     """Mean cross-entropy over labels other than -1, after the shift: ``n_tokens, loss``.
 
-    The label needed at a position is fetched from the row behind it, and the loss of that
-    position is then computed where the vector is.
+    The label needed at a position stands in the row behind it. A large table, of ``filter_from`` rows
+    or more, has its labels shifted on their own; they then meet the vectors by key, and vectors of
+    masked positions are filtered out by a bitmap of the keys wanted before anything is shuffled. The
+    bitmap has ``FILTER_KEYS`` keys at most; of more, all vectors move, as in a small table. A table
+    bucketed by ``seq`` needs no shuffle at all: say ``in_place``.
     """
-    scored = shift_pairs(df.select("seq", "pos", "v", "label")).filter(F.col("label") != IGNORE)
+    rows, widest = (0, 0) if in_place else sequence_sizes(df)
+    if widest > longest or rows >= filter_from:
+        wanted = staged(
+            _shifted(df.select("seq", "pos", "label"), widest > longest, longest).filter(F.col("label") != IGNORE)
+        )
+        n, vectors = wanted.count(), df.select("seq", "pos", "v")
+        if n <= FILTER_KEYS:
+            vectors = vectors.filter(_among(wanted, n, ["seq", "pos"]))
+        scored = vectors.join(wanted, ["seq", "pos"])
+    else:
+        scored = _shifted(df.select("seq", "pos", "v", "label"), False, longest).filter(F.col("label") != IGNORE)
     return scored.select(token_nll(F.col("v"), F.col("label")).alias("_nll")).agg(
         F.count("_nll").alias("n_tokens"), F.avg("_nll").alias("loss")
     )
 
 
-def perplexity(df: DataFrame) -> DataFrame:
+def perplexity(df: DataFrame, in_place: bool = False) -> DataFrame:
     """``exp`` of the masked cross-entropy; infinite when that overflows."""
-    return masked_nll(df).select("n_tokens", F.exp("loss").alias("perplexity"))
+    return masked_nll(df, in_place).select("n_tokens", F.exp("loss").alias("perplexity"))
 
 
 def union_batches(parts: Sequence[DataFrame]) -> DataFrame:

@@ -375,3 +375,31 @@ def running_total(
         .withColumn(name, F.col(name) + F.col("_before"))
         .select(*df.columns, name)
     )
+
+
+def following(
+    df: DataFrame,
+    group: str,
+    order: str,
+    columns: Sequence[str],
+    name: str,
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """Add ``name``: the ``columns`` of the next row of the same group, as a struct; null for the last.
+
+    A group may be any share of the table: rows look behind them within a range of keys, and the last
+    of a range at the first of the next one (one row for each range).
+    """
+    ranges = key_ranges(df, [group, order], rows_per_range)
+    marked = ranges.mark(df)
+    value = F.struct(group, *columns)
+    in_order = Window.partitionBy("_range").orderBy(*_order(ranges.columns))
+    found = F.lead(value).over(in_order)
+    if ranges.bounds:
+        firsts = marked.groupBy("_range").agg(F.min_by(value, ranges.key()).alias("_first"))
+        edges = firsts.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_edge"))
+        marked = marked.join(F.broadcast(edges), "_range")  # MAX_RANGES rows at most
+        found = F.coalesce(found, F.col("_edge"))
+    told = marked.withColumn("_next", found)
+    same = F.col(f"_next.{group}").eqNullSafe(F.col(group))
+    return told.withColumn(name, F.when(same, F.col("_next").dropFields(group))).select(*df.columns, name)

@@ -8,6 +8,8 @@ from checks import views
 from checks.compare import database, difference
 from checks.oracle import sql
 from checks.queries import QUERIES
+from seqprep.operators import metrics
+from seqprep.sources.files import staged
 
 HOT = ["ex_teacherforcing", "load_json", "oov_rate", "row_index", "metric_flush", "pack_assign"]
 
@@ -71,3 +73,42 @@ def test_hot_split_of_a_log_is_summed_in_parts(spark):
     )
     small = {tuple(r) for r in metric_flush(log, rows_per_range=100).collect()}
     assert small == {tuple(r) for r in metric_flush(log).collect()}
+
+
+@pytest.fixture(scope="module")
+def one_long_sequence(spark):
+    """Logits of 3,000 positions, a third of them in one sequence; nine in ten labels are masked."""
+    seq = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 83 + 1)
+    pos = F.floor(F.col("id") / 3).cast("int")
+    df = spark.range(3000).select(
+        seq.cast("bigint").alias("seq"), pos.alias("pos"),
+        F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(97)) / 40.0).alias("v"),
+        F.when(F.xxhash64("id") % 10 == 0, (F.col("id") % 8).cast("int")).otherwise(-1).alias("label"),
+    )
+    df = df.dropDuplicates(["seq", "pos"])
+    return staged(df)
+
+
+def test_long_sequences_score_the_same_by_ranges(one_long_sequence):
+    df = one_long_sequence
+    for measure in (metrics.shift_pairs, metrics.shifted_predictions, metrics.kth_token_acc, metrics.train_seq_acc):
+        whole, cut = measure(df), measure(df, longest=100)
+        key = lambda r: str(r)
+        assert sorted(whole.collect(), key=key) == sorted(cut.select(*whole.columns).collect(), key=key)
+    text = metrics.shift_pairs(df, longest=100)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_range" in text and "hashpartitioning(seq" not in text
+
+
+def test_masked_vectors_are_not_shuffled(spark, one_long_sequence):
+    df = one_long_sequence
+    plain = metrics.masked_nll(df).first()
+    for made in (
+        metrics.masked_nll(df, filter_from=1), metrics.masked_nll(df, longest=100), metrics.masked_nll(df, in_place=True),
+    ):
+        found = made.first()
+        assert found["n_tokens"] == plain["n_tokens"] and found["loss"] == pytest.approx(plain["loss"])
+    shifted = metrics.shift_pairs(df.select("seq", "pos", "label")).filter("label <> -1")
+    n = shifted.count()
+    passed = df.filter(metrics._among(shifted, n, ["seq", "pos"])).select("seq", "pos")
+    assert shifted.select("seq", "pos").exceptAll(passed).count() == 0
+    assert n <= passed.count() <= n + 0.12 * df.count() and n < 0.2 * df.count()
