@@ -10,7 +10,7 @@ a share of the whole capacity:
 
 A piece that fits nowhere opens a bin. Documents longer than a bin are cut into full pieces and a
 last one; full pieces are bins of their own at once. The rest is dealt by a hash of the document
-to cells of a fixed size, each packed by one task, which costs at most about one open bin a cell.
+and of its row, so that equal rows part, to cells of a fixed size, each packed by one task, which costs at most about one open bin a cell.
 
 Defined cases: a null or empty text has the end id only; repeated rows are pieces of their own;
 ties go to the oldest bin, and equal pieces are placed in the order of doc_id, piece and text hash;
@@ -145,7 +145,7 @@ def assign(
     full = (F.col("length") >= tokens) | (F.lit(documents) == 1)
     n_cells = pieces_of(pieces.filter(~full).count(), cell_pieces)
     cell = F.when(full, F.lit(None)).otherwise(
-        F.pmod(F.xxhash64("doc_id", "copy", "piece", F.lit(17)), F.lit(n_cells))
+        F.pmod(F.xxhash64("doc_id", "copy", "piece", F.monotonically_increasing_id()), F.lit(n_cells))
     )
     schema = pieces.withColumn("sequence_id", F.lit(0).cast("bigint")).withColumn(
         "offset", F.lit(0).cast("bigint")

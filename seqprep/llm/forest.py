@@ -14,7 +14,8 @@ time, and the best of all blocks are merged. Candidates are a share of the block
 nearest of vectors without clusters are spread over many prefixes: see the README for recall.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part, nor do rows without an id; of rows with the same id one counts; a query is
+components take no part, nor do rows without an id; of rows with the same id the one
+with the smallest vector counts; a query is
 no candidate of its own; ties go to the smaller id; fewer candidates than asked give fewer rows; an
 empty table gives no rows; other columns are not read.
 """
@@ -125,12 +126,14 @@ def valid(vector: Column) -> Column:
 
 
 def vectors_of(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Usable vectors: ``vec_id, vector`` in double precision, all of the most common length."""
+    """Usable vectors: ``vec_id, vector`` in double precision, all of the most common length, one for an id."""
     rows = needed(df, vec_id=vec_id, vector=vector).select(
         F.col("vec_id").cast("bigint"), F.col("vector").cast("array<double>")
     ).filter(F.col("vec_id").isNotNull() & valid(F.col("vector")))
     common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("vector") == (common["n"] if common else 0))
+    rows = rows.filter(F.size("vector") == (common["n"] if common else 0))
+    # Of rows with the same id the smallest vector counts, whatever their order.
+    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
 def write_index(df: DataFrame, path: str, block: int = BLOCK) -> None:

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from seqprep.llm.common import LOWER, UPPER, lower_ascii, needed, only_cache, small, staged
 
-SEGMENT_WORDS = 2_000_000  # a segment is closed once it has so many; a longer document is one segment
-GAP = 64  # places between documents, so that no phrase reaches into the next one
+SEGMENT_WORDS = 2_000_000  # a segment is closed once it has so many places; a longer document is one segment
+GAP = 64  # places between documents, so that no phrase of so many words reaches into the next one
 BROADCAST_ROWS = 200_000  # terms or phrases, at most some 30 MB
 DIRECTORY = ""  # the term of a segment's directory row; never a word
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,7 +52,7 @@ INDEX_DDL = (
     "segment bigint, term string, n_occ bigint, places binary, doc_ids array<bigint>, "
     "doc_words array<int>"
 )
-FOUND_DDL = "segment bigint, nth bigint, n_hit bigint, labels array<string>, starts array<int>, unnamed boolean"
+FOUND_DDL = "segment bigint, nth bigint, n_hit bigint, ids array<bigint>, starts array<int>"
 
 # What stands between words becomes a space, A-Z becomes a-z.
 _SEPARATED = bytes(
@@ -81,12 +81,12 @@ def _deltas(places: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 def _segment(
-    segment: int, terms: list[bytes], runs: list[np.ndarray], doc_ids: list[int | None]
+    segment: int, terms: list[bytes], runs: list[np.ndarray], doc_ids: list[int | None], gap: int
 ) -> Iterator[pa.RecordBatch]:
     lengths = np.array([len(r) for r in runs], dtype=np.int32)
-    starts = np.cumsum(lengths + GAP, dtype=np.int64) - lengths - GAP
+    starts = np.cumsum(lengths + gap, dtype=np.int64) - lengths - gap
     directory = [
-        pa.array([segment]), pa.array([DIRECTORY]), pa.array([len(runs)]),
+        pa.array([segment]), pa.array([DIRECTORY]), pa.array([gap]),
         pa.array([starts.astype("<i4").tobytes()], pa.binary()),
         pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())),
     ]
@@ -99,7 +99,7 @@ def _segment(
     del ids
     # The place of the k-th word is k and the gaps of the documents before its own.
     places = np.arange(len(order), dtype=np.int32)
-    places += np.repeat(GAP * np.arange(len(lengths), dtype=np.int32), lengths)
+    places += np.repeat(gap * np.arange(len(lengths), dtype=np.int32), lengths)
     firsts = np.cumsum(counts) - counts
     data = _deltas(places[order], firsts).astype("<i4")
     del places, order
@@ -123,7 +123,7 @@ def _segment(
         )
 
 
-def _segments(batches: Iterator[pa.RecordBatch], segment_words: int) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], segment_words: int, gap: int) -> Iterator[pa.RecordBatch]:
     only_cache("positions")
     part, nth, held = TaskContext.get().partitionId(), 0, 0
     terms: dict[bytes, int] = defaultdict()
@@ -135,46 +135,42 @@ def _segments(batches: Iterator[pa.RecordBatch], segment_words: int) -> Iterator
             found = list(map(terms.__getitem__, split_words(text.as_py())))
             runs.append(np.array(found, dtype=np.int32))
             doc_ids.append(key)
-            held += len(found)
+            held += len(found) + gap
             if held >= segment_words:
-                yield from _segment((part << 32) + nth, list(terms), runs, doc_ids)
+                yield from _segment((part << 32) + nth, list(terms), runs, doc_ids, gap)
                 nth, held = nth + 1, 0
                 terms.clear()
                 runs.clear()
                 doc_ids.clear()
     if runs:
-        yield from _segment((part << 32) + nth, list(terms), runs, doc_ids)
+        yield from _segment((part << 32) + nth, list(terms), runs, doc_ids, gap)
 
 
 def write_index(
     df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
-    segment_words: int = SEGMENT_WORDS,
+    segment_words: int = SEGMENT_WORDS, gap: int = GAP,
 ) -> None:
-    """Write the index of whole texts to ``path``. Nothing is shuffled: a task indexes what it reads."""
+    """Write the index of whole texts to ``path``. Nothing is shuffled: a task indexes what it reads.
+
+    Phrases of up to ``gap`` words, slop included, can be looked for in it.
+    """
     docs = needed(df, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    docs.mapInArrow(lambda batches: _segments(batches, segment_words), INDEX_DDL).write.parquet(path)
+    docs.mapInArrow(lambda batches: _segments(batches, segment_words, gap), INDEX_DDL).write.parquet(path)
 
 
 def windows(
     items: DataFrame, size: int = 10, item_id: str = "item_id", text: str = "text"
 ) -> DataFrame:
-    """``phrase, labels, unnamed``: every run of ``size`` words of an item, with the items that have it.
+    """``phrase, label``: every run of ``size`` words of an item, a row for each item that has it.
 
-    An item of fewer words, but not none, is one phrase. ``unnamed`` tells of items without an id.
+    An item of fewer words, but not none, is one phrase. Items without an id have a null label.
     """
     found = needed(items, item_id=item_id, text=text).select(
         F.col("item_id").cast("string").alias("label"), words(F.col("text")).alias("w")
     ).filter(F.size("w") > 0)
     last = F.greatest(F.size("w") - size + 1, F.lit(1))
     runs = found.select("label", "w", F.explode(F.sequence(F.lit(1), last)).alias("at"))
-    return (
-        runs.select("label", F.slice("w", F.col("at"), size).alias("phrase"))
-        .groupBy("phrase")
-        .agg(
-            F.sort_array(F.collect_set("label")).alias("labels"),
-            F.bool_or(F.col("label").isNull()).alias("unnamed"),
-        )
-    )
+    return runs.select("label", F.slice("w", F.col("at"), size).alias("phrase")).distinct()
 
 
 def _near(wanted: np.ndarray, places: np.ndarray, slop: int) -> np.ndarray:
@@ -186,7 +182,7 @@ def _near(wanted: np.ndarray, places: np.ndarray, slop: int) -> np.ndarray:
 
 def _match(postings: pd.DataFrame, phrases: pd.DataFrame, slop: int) -> pd.DataFrame:
     """Documents of one segment with matches."""
-    empty = pd.DataFrame({"segment": [], "nth": [], "n_hit": [], "labels": [], "starts": [], "unnamed": []})
+    empty = pd.DataFrame({"segment": [], "nth": [], "n_hit": [], "ids": [], "starts": []}, dtype=object)
     if postings.empty or phrases.empty:
         return empty
     lists = {
@@ -198,10 +194,9 @@ def _match(postings: pd.DataFrame, phrases: pd.DataFrame, slop: int) -> pd.DataF
     row = postings[postings["term"] == DIRECTORY].iloc[0]
     lengths = np.asarray(row["doc_words"], dtype=np.int64)
     hit = np.zeros(int(starts[-1] + lengths[-1]) + GAP, dtype=bool)
-    labels: dict[int, set[str]] = defaultdict(set)
+    ids: dict[int, set[int]] = defaultdict(set)
     at: dict[int, list[int]] = defaultdict(list)
-    nameless: set[int] = set()
-    for terms, names, unnamed in zip(phrases["terms"], phrases["labels"], phrases["unnamed"]):
+    for terms, phrase in zip(phrases["terms"], phrases["id"]):
         size, found = len(terms), None
         for t in terms:
             places = lists.get(t["term"])
@@ -220,25 +215,22 @@ def _match(postings: pd.DataFrame, phrases: pd.DataFrame, slop: int) -> pd.DataF
         inside = found - starts[nth]
         keep = (inside >= 0) & (inside < lengths[nth])
         for doc, place in zip(nth[keep].tolist(), inside[keep].tolist()):
-            labels[doc].update(names)
-            if unnamed:
-                nameless.add(doc)
+            ids[doc].add(phrase)
             at[doc].append(place)
             low = int(starts[doc]) + place
             hit[low : min(low + size, int(starts[doc] + lengths[doc]))] = True
-    if not labels:
+    if not ids:
         return empty
     total = np.concatenate([[0], np.cumsum(hit)])
-    docs = sorted(labels)
+    docs = sorted(ids)
     segment = int(row["segment"])
     return pd.DataFrame(
         {
             "segment": segment,
             "nth": docs,
             "n_hit": [int(total[starts[d] + lengths[d]] - total[starts[d]]) for d in docs],
-            "labels": [sorted(labels[d]) for d in docs],
+            "ids": [sorted(ids[d]) for d in docs],
             "starts": [sorted(set(at[d])) for d in docs],
-            "unnamed": [d in nameless for d in docs],
         }
     )
 
@@ -248,17 +240,17 @@ def search(spark: SparkSession, path: str, phrases: DataFrame, slop: int = 0) ->
 
     ``n_hit`` counts words inside matches, ``labels`` are those of the phrases found, ``starts`` the
     places (in words, from 0) where matches begin, ``unnamed`` whether a phrase found has an item
-    without an id. ``phrases`` has ``phrase`` (array of words), ``labels`` and, if any are, ``unnamed``;
-    it may have any number of rows: both it and the postings move by segment.
+    without an id. ``phrases`` has ``phrase`` (array of words) and ``label``, a row for each pair, and any
+    number of rows: phrases and postings move by segment, labels are joined to what was found.
     """
     index = spark.read.parquet(path)
-    if "unnamed" not in phrases.columns:
-        phrases = phrases.withColumn("unnamed", F.lit(False))
-    asked = staged(phrases.withColumn("id", F.xxhash64("phrase")))
+    asked = staged(phrases.select("phrase", "label", F.xxhash64("phrase").alias("id")))
+    each = asked.select("id", "phrase").distinct()
     longest = asked.agg(F.max(F.size("phrase"))).first()[0] or 0
-    if longest + slop > GAP:
-        raise ValueError(f"phrase and slop together may have {GAP} words at most")
-    parts = asked.select("id", "labels", F.posexplode("phrase").alias("place", "term"))
+    gap = index.filter(F.col("term") == DIRECTORY).agg(F.min("n_occ")).first()[0] or GAP
+    if longest + slop > gap:
+        raise ValueError(f"phrase and slop together may have {gap} words at most: the gap of the index")
+    parts = each.select("id", F.posexplode("phrase").alias("place", "term"))
     terms = parts.select("term").distinct()
     listed = index.filter(F.col("term") != DIRECTORY)
     held = listed.join(F.broadcast(terms) if small(terms, BROADCAST_ROWS) else terms, "term", "left_semi")
@@ -268,9 +260,9 @@ def search(spark: SparkSession, path: str, phrases: DataFrame, slop: int = 0) ->
         parts.join(counts, "term")
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("n", "place", "term"))).alias("terms"))
-        .join(asked, "id")
+        .join(each, "id")
         .filter(F.size("terms") == F.size("phrase"))
-        .select(F.col("terms")[0]["term"].alias("term"), "id", "terms", "labels", "unnamed")
+        .select(F.col("terms")[0]["term"].alias("term"), "id", "terms")
     )
     ordered = staged(ordered)
     rare = F.broadcast(ordered) if small(ordered, BROADCAST_ROWS) else ordered
@@ -287,9 +279,22 @@ def search(spark: SparkSession, path: str, phrases: DataFrame, slop: int = 0) ->
     )
     found = (
         postings.groupBy("segment")
-        .cogroup(active.select("segment", "terms", "labels", "unnamed").groupBy("segment"))
+        .cogroup(active.select("segment", "terms", "id").groupBy("segment"))
         .applyInPandas(lambda a, b: _match(a, b, slop), FOUND_DDL)
     )
+    found = staged(found)
+    names = asked.select("id", "label")
+    names = F.broadcast(names) if small(names, BROADCAST_ROWS) else names
+    named = (
+        found.select("segment", "nth", F.explode("ids").alias("id"))
+        .join(names, "id")
+        .groupBy("segment", "nth")
+        .agg(
+            F.sort_array(F.collect_set("label")).alias("labels"),
+            F.bool_or(F.col("label").isNull()).alias("unnamed"),
+        )
+    )
+    found = found.drop("ids").join(named, ["segment", "nth"])
     docs = index.filter(F.col("term") == DIRECTORY).select(
         "segment", F.posexplode(F.arrays_zip("doc_ids", "doc_words")).alias("nth", "d")
     )

@@ -70,7 +70,7 @@ def karmarkar_karp(sizes: Sequence[int], k: int) -> np.ndarray:
 def _slots(df: DataFrame, n_rows: int) -> DataFrame:
     """Add ``slot``: 0, 1, ... within each shard, by a fixed order that no single task sorts."""
     ranges = pieces_of(n_rows, SLOT_ROWS)
-    piece = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(ranges))
+    piece = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(ranges))  # equal rows part
     cut = df.withColumn("_piece", piece)
     before = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     sizes = cut.groupBy("shard", "_piece").agg(F.count(F.lit(1)).alias("_n"))
@@ -82,7 +82,7 @@ def _slots(df: DataFrame, n_rows: int) -> DataFrame:
         cut.withColumn("_place", F.row_number().over(inside) - 1)
         .join(starts, ["shard", "_piece"])
         .withColumn("slot", (F.col("_start") + F.col("_place")).cast("bigint"))
-        .drop("_piece", "_place", "_start")
+        .drop("_piece", "_place", "_start", "row")
     )
 
 
@@ -97,6 +97,7 @@ def shard_by_bytes(
             (F.octet_length(whole) + 1).cast("bigint").alias("size"),
             F.crc32(whole).alias("text_crc32"),
             F.xxhash64(whole).alias("group"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
     total = docs.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).first()

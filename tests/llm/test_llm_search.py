@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seqprep.llm import forest, jaccard, positions
-from seqprep.llm.common import LOWER, UPPER, scratch_dir
+from seqprep.llm.common import LOWER, UPPER, scratch_dir, staged
 from seqprep.llm.components import components
 from seqprep.llm.queries import QUERIES, SQL
 
@@ -296,3 +296,45 @@ def test_recall_of_op5(spark, tmp_path):
         scores[q] = -np.inf
         hits += len(set(np.argsort(-scores)[:20]) & set(rows["vec_id"]))
     assert len(found) == 450 * 20 and hits / len(found) >= 0.9
+
+
+def test_empty_texts_fill_segments_too(spark):
+    """100,000 null texts make many segments, and documents among them are found."""
+    rows = spark.range(100_000).selectExpr("id as doc_id", "cast(null as string) as text")
+    docs = rows.unionByName(spark.createDataFrame([(-1, "one two three four")], "doc_id bigint, text string"))
+    path = scratch_dir(spark)
+    positions.write_index(docs.coalesce(1), path, segment_words=64_000)
+    index = spark.read.parquet(path).filter(F.col("term") == positions.DIRECTORY)
+    assert index.count() > 90 and index.agg(F.max(F.size("doc_ids"))).first()[0] <= 1000
+    items = spark.createDataFrame([(5, "two three")], "item_id bigint, text string")
+    found = positions.search(spark, path, positions.windows(items)).filter("n_hit > 0").collect()
+    assert [(r["doc_id"], r["n_hit"], r["labels"]) for r in found] == [(-1, 2, ["5"])]
+
+
+def test_phrases_longer_than_the_usual_gap(spark):
+    words = " ".join(f"w{i}" for i in range(90))
+    docs = spark.createDataFrame([(1, words), (2, f"w89 {words}"), (3, words[:-4])], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, words), (None, words)], "item_id bigint, text string")
+    path = scratch_dir(spark)
+    positions.write_index(docs, path, gap=100)
+    found = positions.search(spark, path, positions.windows(items, 90)).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["labels"], r["unnamed"]) for r in found] == [(90, ["1"], True)] * 2 + [(0, [], False)]
+
+
+def test_forest_of_repeated_ids(spark):
+    """Which of the rows with one id counts does not depend on their order."""
+    draw = np.random.default_rng(5)
+    rows = [(k % 200, draw.standard_normal(8).tolist()) for k in range(400)]
+    seen = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(parts)
+        vectors, path = staged(forest.vectors_of(df)), scratch_dir(spark)
+        forest.write_index(vectors, path)
+        found = forest.search(spark, path, vectors.filter("vec_id % 20 = 0"))
+        seen.append(sorted(map(tuple, found.collect())))
+    assert seen[0] == seen[1]
+    kept = {}
+    for key, v in rows:
+        kept[key] = min(kept.get(key, v), v)
+    expected = dict(plain_nearest(kept.items(), 20))
+    assert [(q, v) for q, _, v, _ in seen[0]] == [(q, v) for q in sorted(expected) for v, _ in expected[q]]

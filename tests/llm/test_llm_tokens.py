@@ -192,3 +192,12 @@ def test_empty_tables(spark, hostile):
     assert planes.read_planes(spark, path).count() == 0
     pieces = staged(bestfit.cut_pieces(none, PATH, 0, 64).drop("ids"))
     assert bestfit.assign(pieces, 64).count() == 0
+
+
+def test_equal_rows_part(spark):
+    """A third of all pieces and documents are equal rows: no cell, and no window of slots, holds them all."""
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "if(id % 3 = 0, null, concat('w', id)) as text")
+    pieces = staged(bestfit.cut_pieces(rows, PATH, 0, 64).drop("ids"))
+    packed = bestfit.assign(pieces, 64, cell_pieces=100)
+    equal = packed.filter("doc_id is null").groupBy((F.col("sequence_id") % 60).alias("cell")).count()
+    assert equal.agg(F.max("count")).first()[0] < 100 and packed.count() == 6000
