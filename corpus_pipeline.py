@@ -17,13 +17,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the language classifier, trained on the labelled rows, rejects."""
+    """Drop what the language classifier, trained on the labelled rows, rejects.
+
+    Every row is judged by its own text. Null and empty texts, and those without a letter, have no
+    language and go; texts below 64 bytes go only if they share nothing with any language; very long
+    ones are read whole; without a labelled row nothing is known and every row goes.
+    """
     reachable(spark)
     return langid.accepted(docs.select(*COLUMNS), langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near duplicates."""
+    """Keep one document of each class of near duplicates.
+
+    Repeated rows are one class, also without a doc_id. Null and empty texts, and those without words,
+    are near to nothing: all of them stay. Texts are compared whole, however long.
+    """
     reachable(spark)
     return jaccard.one_of_each(docs.select(*COLUMNS))
 
@@ -32,7 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Drop documents that hold ten words in a row of a benchmark item, or all of a shorter one.
 
     Each row is judged by its text, whose hash stands for it in the index: rows with the same doc_id,
-    or none, do not share a verdict.
+    or none, do not share a verdict. Null and empty texts hold nothing and stay; without benchmark
+    items so does every row.
     """
     key = F.xxhash64("text")
     benchmark = table(spark, sf_dir, "benchmark")
@@ -43,7 +53,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 2048 tokens."""
+    """Pack what is left into sequences of 2048 tokens.
+
+    A null or empty text is its end token alone; a longer text than a sequence is cut; repeated rows
+    are packed each. No rows give no rows.
+    """
     reachable(spark)
     return packed(docs)
 
