@@ -179,9 +179,14 @@ def encode(text: Column, vocab: Vocab) -> Column:
 
 def ids_to_tokens(ids: Column, vocab: Vocab) -> Column:
     """Ids to tokens; unknown ids become null."""
-    names = [vocab.ignored or None, *map(str, range(vocab.numbers)), *vocab.symbols]
-    table = F.array(*[F.lit(n).cast("string") for n in names])  # entry 1 is id -1
-    return F.transform(ids, lambda i: F.when(i >= -1, F.try_element_at(table, i + 2)))
+    symbols = F.array(*[F.lit(s) for s in vocab.symbols])
+
+    def name(i: Column) -> Column:
+        number = F.when((i >= 0) & (i < vocab.numbers), i.cast("string"))
+        symbol = number.when(i >= vocab.numbers, F.try_element_at(symbols, i - vocab.numbers + 1))
+        return symbol.when(i == -1, F.lit(vocab.ignored or None).cast("string"))
+
+    return F.transform(ids, name)
 
 
 def detokenize(tokens: Column, vocab: Vocab) -> Column:
