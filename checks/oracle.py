@@ -683,6 +683,20 @@ r AS (SELECT seq, i - 1 AS token, ex[i] / list_sum(ex) AS prob,
              row_number() OVER (PARTITION BY seq ORDER BY ex[i] DESC, i) - 1 AS rank
       FROM sm JOIN first USING (seq, pos), range(1, 65) t(i))
 SELECT seq, rank, token, round(prob, 6) AS prob FROM r WHERE rank < 3""",
+    "generation_rows": f"""WITH {LOGITS}, {SOFTMAX},
+a AS (SELECT *, cast(pos - 4 AS bigint) AS place FROM sm WHERE pos >= 4),
+r AS (SELECT seq, i - 1 AS token, ex[i] / list_sum(ex) AS prob,
+             row_number() OVER (PARTITION BY seq ORDER BY ex[i] DESC, i) - 1 AS place
+      FROM a, range(1, 65) t(i) WHERE pos = 4)
+SELECT seq, 'token' AS kind, place, cast(pred AS bigint) AS token, round(ex[pred + 1] / list_sum(ex), 6) AS prob FROM a
+UNION ALL SELECT seq, 'best', place, token, round(prob, 6) FROM r WHERE place < 3
+UNION ALL SELECT seq, 'label', place, label, round(ex[label + 1] / list_sum(ex), 6) FROM a WHERE pos = 4""",
+    "generation_metrics": f"""WITH {LOGITS}, a AS (SELECT * FROM best WHERE pos >= 4)
+SELECT 'seq_acc' AS metric, round(avg(ok), 6) AS value
+FROM (SELECT cast(bool_and(label = 0 OR pred = label) AS double) AS ok FROM a GROUP BY seq)
+UNION ALL SELECT concat('token_acc_', pos - 4),
+  round(sum(cast(label <> 0 AND pred = label AS int)) / (sum(cast(label <> 0 AS int)) + 1e-9), 6)
+FROM a GROUP BY pos""",
     "union_batches": f"""WITH {PREDS}
 SELECT id, cast(sum(correct) AS bigint) AS n_correct FROM cells GROUP BY id""",
     "tail_slice": f"WITH {PREDS} SELECT id, {words('preds')} AS generated FROM preds",

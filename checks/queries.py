@@ -785,3 +785,33 @@ def stream_job(spark, sf_dir):
 def job_counts(spark, sf_dir):
     """Raw and written rows of a job with caps, counted while they are written."""
     return _job(spark, sf_dir, max_train_samples=1000, validation_pct=10).counts
+
+
+def _generation(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The scoring job on the generated view; label 0 takes the place of the end token."""
+    return workflows.score_generation(views.generated(spark, sf_dir), 0, "seq", out=files.scratch_dir(spark))
+
+
+@query
+def generation_rows(spark, sf_dir):
+    """Every answered token with its probability, the likeliest first tokens and the first label's."""
+    rows = _generation(spark, sf_dir)["rows"]
+    kinds = {
+        "token": F.arrays_zip(F.col("preds").alias("token"), F.col("probs").alias("prob")),
+        "best": F.transform("best", lambda b: F.struct(b["token"].alias("token"), b["value"].alias("prob"))),
+        "label": F.array(F.struct(F.element_at("labels", 1).alias("token"), F.col("label_prob").alias("prob"))),
+    }
+    parts = [
+        rows.select("seq", F.lit(kind).alias("kind"), F.posexplode(entries).alias("place", "e"))
+        for kind, entries in kinds.items()
+    ]
+    made = metrics.union_batches(parts)
+    return flat(
+        made.select("seq", "kind", "place", F.col("e.token").alias("token"), F.round("e.prob", 6).alias("prob"))
+    )
+
+
+@query
+def generation_metrics(spark, sf_dir):
+    """Accuracies saved by the scoring job, from the rows that it wrote."""
+    return _generation(spark, sf_dir)["metrics"].withColumn("value", F.round("value", 6))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqprep.functions import vectors as vec
 from seqprep.functions.draws import Draws
 from seqprep.functions.tokens import encode, token_count, vocab_of
 from seqprep.operators.ordering import with_row_index
@@ -217,6 +218,17 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's outputs: ``seq, sequence, labels, logits``; positions 4 to 9 of ten are the answer."""
+    told = F.struct("pos", vec.argmax(F.col("v")).alias("pred"), "label", "v")
+    rows = logits(spark, sf_dir).groupBy("seq").agg(F.array_sort(F.collect_list(told)).alias("all"))
+    answer = F.filter("all", lambda x: x["pos"] >= 4)
+    return rows.select(
+        "seq", F.col("all.pred").alias("sequence"), F.transform(answer, lambda x: x["label"]).alias("labels"),
+        F.transform(answer, lambda x: x["v"]).alias("logits"),
+    )
+
+
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric values in arrival order: ``seq, split, key, value, is_flush``."""
     return table(spark, sf_dir, "events").select(

@@ -20,8 +20,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from seqprep.functions.basics import let
 from seqprep.functions.tokens import Vocab, decode, vocab_kind_for, vocab_of
-from seqprep.functions.vectors import softmax, tail_slice, token_prob, topk_tokens
+from seqprep.functions.vectors import log_sum_exp, softmax, tail_slice, token_prob, topk_tokens
 from seqprep.operators.lego import lego_examples
 from seqprep.operators.metrics import eval_metrics
 from seqprep.operators.objectives import examples, max_target_length
@@ -292,27 +293,61 @@ def score(predictions: DataFrame, kind: str, out: str, num_nodes: int = 50) -> D
     return predictions.sparkSession.read.schema(metrics.schema).json(out)
 
 
+def scored_outputs(outputs: DataFrame, row_id: str = "id", k: int = 3) -> DataFrame:
+    """``row id, preds, labels, probs, best, label_prob`` of every generated sequence, in one projection.
+
+    ``outputs`` holds ``row id, sequence, labels`` and the logits: ``logits``, a vector for each answered
+    position, or only ``first``, that of the first one. ``preds`` is the answer cut off the end of the
+    sequence, ``probs`` the probability of each of its tokens, ``best`` the ``k`` likeliest first tokens and
+    ``label_prob`` the probability of the first label. The whole softmax is taken of the first vector alone;
+    the others give one number each. Tokens without a vector, or outside it, have no probability.
+    """
+    vectors = F.col("logits") if "logits" in outputs.columns else F.array("first")
+    answers = outputs.select(
+        row_id, tail_slice(F.col("sequence"), F.size("labels")).alias("preds"), "labels", vectors.alias("_vectors")
+    )
+    n = F.least(F.size("preds"), F.size("_vectors"))
+    probs = F.zip_with(
+        F.slice("_vectors", 1, n), F.slice("preds", 1, n),
+        lambda v, p: F.when(p >= 0, F.exp(F.try_element_at(v, p.cast("int") + 1) - log_sum_exp(v))),
+    )
+    label = F.try_element_at("labels", F.lit(1))
+    first = let(
+        softmax(F.try_element_at("_vectors", F.lit(1))),
+        lambda v: F.struct(topk_tokens(v, k).alias("best"), token_prob(v, label).alias("label_prob")),
+    )
+    return answers.select(row_id, "preds", "labels", probs.alias("probs"), first.alias("_first")).select(
+        row_id, "preds", "labels", "probs", "_first.best", "_first.label_prob"
+    )
+
+
 def score_generation(
     outputs: DataFrame,
     eos_id: int,
     row_id: str = "id",
     k: int = 3,
+    out: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Score a table of generated sequences: ``row id, sequence, labels, first`` in one job.
+    """Accuracies, probabilities and likeliest tokens of a table of generated sequences.
 
-    ``sequence`` is prompt and answer, ``first`` the logits of the first answered position. Gives
-    "metrics" (``metric, value`` of the answers cut off the end), "tokens" (the ``k`` likeliest
-    first tokens per row) and "label" (the probability of the first label).
+    The input is that of :func:`scored_outputs`. With ``out`` this is a job: the logits are read once, the
+    scored rows are written to ``out/rows`` without them, the accuracies come from the written answers alone
+    and are saved as JSON in ``out/metrics``. Gives "rows", "metrics" (``metric, value``), "tokens" (the ``k``
+    likeliest first tokens per row) and "label" (the probability of the first label). A row without a
+    sequence or labels is in "rows", and counts in no accuracy.
     """
-    answers = outputs.select(
-        row_id, tail_slice(F.col("sequence"), F.size("labels")).alias("preds"), "labels", "first"
-    )
-    probs = answers.select(row_id, "labels", softmax(F.col("first")).alias("probs"))
-    best = probs.select(row_id, F.posexplode(topk_tokens(F.col("probs"), k)).alias("rank", "b"))
+    rows = scored_outputs(outputs, row_id, k)
+    if out is not None:
+        rows.write.mode("overwrite").parquet(f"{out}/rows")
+        rows = outputs.sparkSession.read.parquet(f"{out}/rows")
+    metrics = eval_metrics(rows.select("preds", "labels"), eos_id)
+    if out is not None:
+        save_metrics(metrics, f"{out}/metrics")
+        metrics = outputs.sparkSession.read.schema(metrics.schema).json(f"{out}/metrics")
+    best = rows.select(row_id, F.posexplode("best").alias("rank", "b"))
     return {
-        "metrics": eval_metrics(answers.select("preds", "labels"), eos_id),
+        "rows": rows,
+        "metrics": metrics,
         "tokens": best.select(row_id, "rank", F.col("b.token").alias("token"), F.col("b.value").alias("prob")),
-        "label": probs.select(
-            row_id, token_prob(F.col("probs"), F.try_element_at("labels", F.lit(1))).alias("prob")
-        ),
+        "label": rows.select(row_id, F.col("label_prob").alias("prob")),
     }

@@ -303,6 +303,34 @@ def test_generation_scoring(spark):
     assert label[1] == pytest.approx(math.exp(2) / (5 + math.e + math.exp(2))) and label[2] is None
 
 
+def test_generation_job(spark, tmp_path):
+    """The job reads the logits once and scores what it wrote; hostile rows have a defined result."""
+    rows_in = [
+        (1, [9, 9, 5, 1, 70], [5, 6, 70], [[0.0] * 5 + [2.0, 1.0], [0.0, 1.0]]),  # no vector of the last token
+        (2, [8], [7, 9], [[1.0] * 7] * 2),  # shorter than its labels; a token outside the vector
+        (3, [4], [], []),
+        (4, None, None, None),
+    ]
+    schema = "id bigint, sequence array<int>, labels array<int>, logits array<array<double>>"
+    df = spark.createDataFrame(rows_in, schema)
+    found = workflows.score_generation(df, 70, out=str(tmp_path / "scores"))
+    assert "logits" not in spark.read.parquet(str(tmp_path / "scores/rows")).columns
+    told = {r.id: r for r in found["rows"].collect()}
+    first = 5 + math.exp(2) + math.e
+    assert told[1].preds == [5, 1, 70]
+    assert told[1].probs == pytest.approx([math.exp(2) / first, math.e / (1 + math.e)])
+    assert [b.token for b in told[1].best] == [5, 6, 0] and told[1].label_prob == pytest.approx(math.exp(2) / first)
+    assert told[2].preds == [8] and told[2].probs == [None] and told[2].label_prob is None
+    assert told[3].preds == [] and told[3].best is None and told[4].preds is None
+    values = {r.metric: r.value for r in found["metrics"].collect()}
+    assert values["seq_acc"] == pytest.approx(1 / 3) and values["token_acc_0"] == pytest.approx(0.5)
+    assert spark.read.json(str(tmp_path / "scores/metrics")).count() == len(values)
+    lazy = workflows.score_generation(df, 70)
+    assert sorted(lazy["metrics"].collect()) == sorted(found["metrics"].collect())
+    empty = workflows.score_generation(df.limit(0), 70, out=str(tmp_path / "none"))
+    assert empty["rows"].count() == 0 and empty["metrics"].count() == 0
+
+
 def test_shortest_job(spark, sf_dir, tmp_path):
     from checks import views
 
