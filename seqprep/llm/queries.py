@@ -205,15 +205,25 @@ def op6_crossentropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossentropy.score(docs, crossentropy.train(docs))
 
 
+def wrapped(text: Column) -> Column:
+    """A text in lines of seven words."""
+    return F.regexp_replace(F.replace(text, F.lit("\n"), F.lit(" ")), r"((?:[^ ]+ +){6}[^ ]+) +", "$1\n")
+
+
 def quoting(messages: DataFrame) -> DataFrame:
     """The conversations as mail: users quote the message before theirs, assistants the one before
-    that, and everybody also what stood before the quoted message, one level deeper."""
+    that, and everybody also what stood before the quoted message, one level deeper. In turn the quote
+    stands as it was, is wrapped anew, is wrapped anew without its first sentence, or is left out so that
+    only the deeper one is there."""
     texts = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
     quoted = F.col("turn") - F.when(F.col("role") == "assistant", 2).otherwise(1)
     asked = messages.select("conv_id", "turn", "role", "text", quoted.alias("t1"), (quoted - 1).alias("t2"))
     for n in (1, 2):
         source = texts.select("conv_id", F.col("turn").alias(f"t{n}"), F.col("said").alias(f"q{n}"))
         asked = asked.join(source, ["conv_id", f"t{n}"], "left")
+    way, q1 = (F.col("conv_id") + F.col("turn")) % 4, F.col("q1")
+    part = F.regexp_replace(F.replace(q1, F.lit("\n"), F.lit(" ")), "^[^.!?]*[.!?] *", "")
+    asked = asked.withColumn("q1", F.when(way == 0, q1).when(way == 1, wrapped(q1)).when(way == 2, wrapped(part)))
 
     def marked(text: str, mark: str) -> Column:
         return F.concat(F.lit(mark), F.replace(F.col(text), F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
@@ -231,6 +241,11 @@ def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NORMAL = r"trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*((>[ \t]?)+)', '')), '\s+', ' ', 'g'))"
+_FLAT = "replace(a.text, chr(10), ' ')"
+_WRAP = r"regexp_replace({}, '((?:[^ ]+ +){{6}}[^ ]+) +', '\1' || chr(10), 'g')"
+_QUOTED = f"""CASE (m.conv_id + m.turn) % 4 WHEN 0 THEN a.text WHEN 1 THEN {_WRAP.format(_FLAT)}
+    WHEN 2 THEN {_WRAP.format(f"regexp_replace({_FLAT}, '^[^.!?]*[.!?] *', '')")} END"""
+_ENDS = r"regexp_replace(passage, '([.!?]) |([。！？])', '\1\2' || chr(10), 'g')"
 
 SQL["op2_quotes"] = rf"""
 WITH RECURSIVE m AS (
@@ -239,7 +254,7 @@ WITH RECURSIVE m AS (
 mail AS (
   SELECT m.conv_id, m.turn, m.role,
     coalesce('>> ' || replace(b.text, chr(10), chr(10) || '>> ') || chr(10), '')
-    || coalesce('> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10), '')
+    || coalesce('> ' || replace({_QUOTED}, chr(10), chr(10) || '> ') || chr(10), '')
     || coalesce(m.text, '') AS text
   FROM m LEFT JOIN conversations a ON a.conv_id = m.conv_id AND a.turn = m.t1
          LEFT JOIN conversations b ON b.conv_id = m.conv_id AND b.turn = m.t1 - 1),
@@ -248,15 +263,28 @@ raw AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line,
 said AS (SELECT conv_id, turn, line, place, {_NORMAL} AS said,
   length(regexp_replace(regexp_extract(line, '^[ 	]*((?:>[ 	]?)+)', 1), '[^>]', '', 'g')) AS level
   FROM raw),
-first AS (SELECT conv_id, said, min(turn) AS source FROM said
-  WHERE level = 0 AND said <> '' GROUP BY ALL),
-quoted AS (SELECT DISTINCT conv_id, turn, level, said FROM said WHERE level > 0 AND said <> ''),
-links AS (SELECT q.conv_id, q.turn, level, CASE WHEN source < q.turn THEN source END AS source
-  FROM quoted q LEFT JOIN first USING (conv_id, said)),
-replies AS (SELECT conv_id, turn, max(source) FILTER (WHERE level = 1) AS reply_to,
-  count(*) AS n_quoted, count(source) AS n_linked FROM links GROUP BY ALL),
-told AS (SELECT conv_id, turn, role, text, reply_to, coalesce(n_quoted, 0) AS n_quoted,
-  coalesce(n_linked, 0) AS n_linked FROM mail LEFT JOIN replies USING (conv_id, turn)),
+starts AS (SELECT *, said <> '' AND coalesce(lag(said) OVER w = '' OR lag(level) OVER w <> level, true) AS begins
+  FROM said WINDOW w AS (PARTITION BY conv_id, turn ORDER BY place)),
+runs AS (SELECT *, sum(begins::int) OVER (PARTITION BY conv_id, turn ORDER BY place) AS run FROM starts),
+pas AS (SELECT conv_id, turn, level, run, string_agg(said, ' ' ORDER BY place) AS passage
+  FROM runs WHERE said <> '' GROUP BY ALL),
+parts AS (
+  SELECT conv_id, turn, level, passage, said AS unit, 1 AS line FROM runs JOIN pas USING (conv_id, turn, level, run)
+  WHERE said <> ''
+  UNION ALL SELECT conv_id, turn, level, passage, passage, 0 FROM pas
+  UNION ALL SELECT conv_id, turn, level, passage, trim(unnest(string_split({_ENDS}, chr(10)))), 0 FROM pas),
+units AS (SELECT conv_id, turn, level, passage, unit, max(line) AS line FROM parts WHERE unit <> '' GROUP BY ALL),
+first AS (SELECT conv_id, unit, min(turn) AS source FROM units WHERE level = 0 GROUP BY ALL),
+found AS (SELECT u.*, CASE WHEN source < u.turn THEN source END AS source
+  FROM units u LEFT JOIN first USING (conv_id, unit) WHERE level > 0),
+links AS (SELECT conv_id, turn, level, passage, sum(line) AS n_lines, count(source) FILTER (line = 1) AS n_lines_linked,
+  coalesce(max(source) FILTER (unit = passage), max(source)) AS source FROM found GROUP BY ALL),
+shallow AS (SELECT conv_id, turn, min(level) AS level FROM links WHERE source IS NOT NULL GROUP BY ALL),
+replies AS (SELECT l.conv_id, l.turn, max(source) FILTER (l.level = s.level) AS reply_to, sum(n_lines) AS n_quoted,
+  sum(n_lines_linked) AS n_linked, count(*) AS n_passages, count(source) AS n_found
+  FROM links l LEFT JOIN shallow s USING (conv_id, turn) GROUP BY ALL),
+told AS (SELECT conv_id, turn, role, text, reply_to, n_quoted, n_linked, n_passages, n_found
+  FROM mail LEFT JOIN replies USING (conv_id, turn)),
 tree AS (
   SELECT conv_id, turn, turn AS thread, 0::BIGINT AS depth FROM told WHERE reply_to IS NULL
   UNION ALL
@@ -264,8 +292,10 @@ tree AS (
   FROM told t JOIN tree ON t.conv_id = tree.conv_id AND t.reply_to = tree.turn),
 own AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY place) AS text
   FROM said WHERE level = 0 GROUP BY ALL)
-SELECT conv_id, turn, role, thread, depth, coalesce(reply_to, -1) AS reply_to, n_quoted::BIGINT AS n_quoted,
-  n_linked::BIGINT AS n_linked, coalesce(own.text, '') AS text,
+SELECT conv_id, turn, role, thread, depth, coalesce(reply_to, -1) AS reply_to,
+  coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked,
+  coalesce(n_passages, 0)::BIGINT AS n_passages, coalesce(n_found, 0)::BIGINT AS n_found,
+  coalesce(own.text, '') AS text,
   row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn) - 1 AS position
 FROM told JOIN tree USING (conv_id, turn) LEFT JOIN own USING (conv_id, turn)"""
 

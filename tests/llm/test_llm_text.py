@@ -253,6 +253,32 @@ def test_replies_of_hostile_messages(spark):
     assert quotes.linked(df.limit(0)).count() == 0
 
 
+REQUOTED = [
+    (1, 0, "The first point is long\nand wrapped here. A second point! 第一句。第二句。\n\nAnother paragraph."),
+    (1, 1, "Something between. With its own end."),
+    (1, 2, "> The first point is long and\n> wrapped here. A second\n> point! 第一句。第二句。\nWrapped anew"),
+    (1, 3, "> A second\n> point!\nOne sentence, wrapped anew"),
+    (1, 4, "> 第二句。\nA wide one"),
+    (1, 5, ">>> Something between. With\n>>> its own end.\nDeeper, wrapped anew"),
+    (1, 6, "> said elsewhere\n>> Wrapped\n>> ANEW\nFirst level unknown"),
+    (1, 7, "> Something between. Not with this end.\nPart of one, part unknown"),
+    (1, 8, "> Another paragraph. Something between.\nPut together: the latest"),
+    (1, 9, "> The first point\nHalf a line is no passage"),
+    (1, 10, "> Something between. With its own end.\n>\n> Another paragraph.\nTwo passages"),
+    (2, 0, "> Another paragraph.\nOf another conversation"),
+]
+
+
+def test_quotes_wrapped_anew_in_part_and_deeper(spark):
+    rows = quotes.linked(spark.createDataFrame(REQUOTED, "conv_id int, turn int, text string").selectExpr("*", "'r' as role"))
+    told = {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_passages"], r["n_found"]) for r in rows.collect()}
+    assert told == {
+        (1, 0): (None, 0, 0), (1, 1): (None, 0, 0), (1, 2): (0, 1, 1), (1, 3): (0, 1, 1), (1, 4): (0, 1, 1),
+        (1, 5): (1, 1, 1), (1, 6): (2, 2, 1), (1, 7): (1, 1, 1), (1, 8): (1, 1, 1), (1, 9): (None, 1, 0),
+        (1, 10): (1, 2, 2), (2, 0): (None, 1, 0),
+    }
+
+
 def test_op2_matches_sql(spark, sf_dir):
     names, expected = sql_rows(sf_dir, "op2_quotes", "conversations")
     rows = QUERIES["op2_quotes"](spark, sf_dir).select(*names).collect()
