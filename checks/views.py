@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqprep.functions import vectors as vec
+from seqprep.functions.basics import computed_once
 from seqprep.functions.draws import Draws
 from seqprep.functions.tokens import encode, token_count, vocab_of
 from seqprep.operators.ordering import with_row_index
@@ -25,9 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _edges(path: Column) -> Column:
+def _edges(path: Column, text: Column) -> Column:
+    """Pairs of neighbours as ``a,b``; of a pair with a null only the other one is left.
+
+    Nodes are numbers. A path without nulls is cut up as ``text``, its nodes joined by commas, which
+    costs less than a lambda; ``_`` stands for nulls in it.
+    """
+    doubled = F.split(F.regexp_replace(text, "([^,]*),(?=([^,]*))", "$1,$2|"), "[|]")
     steps = F.slice(path, F.lit(2), F.size(path) - 1)
-    return F.transform(steps, lambda b, i: F.concat_ws(",", F.element_at(path, i + 1), b))
+    told = F.transform(steps, lambda b, i: F.concat_ws(",", F.element_at(path, i + 1), b))
+    whole = F.slice(doubled, F.lit(1), F.size(path) - 1)
+    return F.when(F.contains(text, F.lit("_")), told).otherwise(whole)
 
 
 def _long_segments(lines: DataFrame, orders: DataFrame) -> DataFrame:
@@ -67,13 +76,11 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = cut.groupBy("l_orderkey", "segment").agg(
         F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines")
     )
-    node = lambda column: (column % 50).cast("string")
+    nodes = lambda keys: F.transform(keys, lambda k: k % 50).cast("array<string>")
     paths = orders.select(
         (F.col("l_orderkey") + F.col("segment") * SEGMENT_ID).alias("id"),
-        F.transform("lines", lambda x: node(x["l_partkey"])).alias("path"),
-        F.transform(
-            F.slice("lines", F.lit(2), F.size("lines") - 1), lambda x: node(x["l_suppkey"])
-        ).alias("tail"),
+        nodes("lines.l_partkey").alias("path"),
+        nodes(F.slice("lines.l_suppkey", F.lit(2), F.size("lines") - 1)).alias("tail"),
     )
     first = F.array(F.element_at("path", 1))
     paths = paths.select(
@@ -82,22 +89,29 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(first, "tail").alias("wrong0"),
         F.concat(first, F.reverse("tail")).alias("wrong1"),
     )
-    edges = F.array_distinct(F.concat(_edges(F.col("path")), _edges(F.col("wrong0"))))
-    keyed = F.transform(
-        edges, lambda e: F.struct(F.md5(F.concat_ws("|", F.col("id"), e)).alias("k"), e.alias("e"))
-    )
-    edge_text = F.array_join(F.transform(F.sort_array(keyed), lambda s: s["e"]), "|")
-    return paths.select(
+    paths = paths.withColumns({f"{p}_text": F.array_join(p, ",", "_") for p in ("path", "wrong0")})
+    pairs = [_edges(F.col(p), F.col(f"{p}_text")) for p in ("path", "wrong0")]
+    # Edges are told with their owner, ``id|a,b``, to be hashed as they are; ``#`` is in no edge.
+    owner = F.coalesce(F.concat(F.col("id").cast("string"), F.lit("|")), F.lit(""))
+    edges = F.array_join(F.array_distinct(F.concat(*pairs)), "#")
+    paths = paths.withColumns({"edges": edges, "owner": owner})
+    owned = F.concat("owner", F.replace(F.col("edges"), F.lit("#"), F.concat(F.lit("#"), "owner")))
+    paths = computed_once(paths, edges=F.when(F.size("path") > 1, F.split(owned, "#")).otherwise(F.array()))
+    keyed = F.transform("edges", lambda e: F.struct(F.md5(e).alias("k"), e.alias("e")))
+    told = F.concat(F.lit("#"), F.array_join(F.sort_array(keyed)["e"], "#"))
+    edge_text = F.substr(F.replace(told, F.concat(F.lit("#"), "owner"), F.lit("|")), F.lit(2))
+    text = F.concat(
+        edge_text,
+        F.lit("/"),
+        F.element_at("path", 1),
+        F.lit(","),
+        F.element_at("path", -1),
+        F.lit("="),
+        F.array_join("path", ","),
+    )
+    return computed_once(paths, text=text).select(
         "id",
-        F.concat(
-            edge_text,
-            F.lit("/"),
-            F.element_at("path", 1),
-            F.lit(","),
-            F.element_at("path", -1),
-            F.lit("="),
-            F.array_join("path", ","),
-        ).alias("text"),
+        "text",
         F.size("path").alias("len_target"),
         F.array(F.array_join("wrong0", ","), F.array_join("wrong1", ",")).alias("wrong_path"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add ``columns``, each evaluated once a row whatever later steps do with them.
+
+    The optimiser moves a filter on a computed column below the projection that computes it, with a copy
+    of the whole expression for every use. It moves none below a generator, here of one row for a row.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.withColumns(columns).select(*kept, F.inline(F.array(F.struct(*columns))))
+
+
 def ints(*values: Column | int) -> Column:
     """An ``array<int>`` of the given values."""
     return F.array(*[F.lit(v).cast("int") if isinstance(v, int) else v.cast("int") for v in values])

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqprep.functions.basics import ints
+from seqprep.functions.basics import computed_once, ints
 
 # ---- fixed values -------------------------------------------------------------------------
 # Whitespace cut from both ends of a line (the Unicode whitespace characters).
@@ -112,13 +112,9 @@ def split_prompt_target(df: DataFrame, text: str, sep: str = "=") -> tuple[DataF
     bare = F.octet_length(F.replace(F.col(text), F.lit(sep), F.lit("")))
     separators = F.octet_length(F.col(text)) - bare
     parts = split_parts(F.col(text), sep)
-    accepted = (
-        df.filter(separators == 1)
-        .withColumn("_parts", parts)
-        .withColumn("prompt", F.concat(F.get("_parts", 0), F.lit(sep)))
-        .withColumn("target", F.get("_parts", 1))
-        .drop("_parts")
-    )
+    split = df.filter(separators == 1).withColumn("_parts", parts)
+    prompt = F.concat(F.get("_parts", 0), F.lit(sep))
+    accepted = computed_once(split, prompt=prompt, target=F.get("_parts", 1)).drop("_parts")
     rejects = df.filter(~separators.eqNullSafe(1)).withColumn("n_parts", F.size(parts))
     return accepted, rejects
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from seqprep.functions.basics import ints, let, masked, ones, repeat
+from seqprep.functions.basics import computed_once, ints, let, masked, ones, repeat
 from seqprep.functions.draws import Draws
 from seqprep.functions.tokens import Vocab, encode, node_set, split_prompt_target
 from seqprep.options import OBJECTIVES_V0, OBJECTIVES_V1, PrepOptions
@@ -322,25 +322,26 @@ def reverse_list(text: Column) -> Column:
     return F.array_join(F.reverse(F.split(text, ",", -1)), ",")
 
 
-def encoded_rows(df: DataFrame, objective: str, opts: PrepOptions) -> DataFrame:
+def encoded_rows(df: DataFrame, objective: str, opts: PrepOptions, split: str = "train") -> DataFrame:
     """Split and encode accepted lines: row id, ``_p``, ``_t`` and, where needed, ``_w``."""
     accepted, _ = split_prompt_target(df, opts.text_column, "=")
     target = reverse_list(F.col("target")) if objective == "reverse" else F.col("target")
-    columns = [
-        F.col(opts.row_id),
-        encode(F.col("prompt"), opts.vocab).alias("_p"),
-        encode(target, opts.vocab).alias("_t"),
-    ]
-    if objective in NEEDS_WRONG_PATH:
+    columns = {"_p": encode(F.col("prompt"), opts.vocab), "_t": encode(target, opts.vocab)}
+    if _needs_wrong_path(objective, split):
         wrong = F.col("wrong_path")
         if not isinstance(df.schema["wrong_path"].dataType, ArrayType):
             wrong = F.array(wrong)
-        columns.append(F.transform(wrong, lambda w: encode(w, opts.vocab)).alias("_w"))
-    return accepted.select(*columns)
+        columns["_w"] = F.transform(wrong, lambda w: encode(w, opts.vocab))
+    return computed_once(accepted, **columns).select(opts.row_id, *columns)
+
+
+def _needs_wrong_path(objective: str, split: str) -> bool:
+    """Validation rows for error detection take their errors from the nodes of the prompt."""
+    return objective in NEEDS_WRONG_PATH and (split == "train" or objective != "error_detection")
 
 
-def _row(objective: str, opts: PrepOptions) -> Row:
-    wrong = F.col("_w") if objective in NEEDS_WRONG_PATH else None
+def _row(objective: str, opts: PrepOptions, split: str = "train") -> Row:
+    wrong = F.col("_w") if _needs_wrong_path(objective, split) else None
     draws = Draws(opts.seed, F.col(opts.row_id))
     return Row(F.col("_p"), F.col("_t"), wrong, draws, opts.vocab, opts)
 
@@ -390,9 +391,9 @@ def validation_examples(
 ) -> DataFrame:
     """``row id, input_ids, attention_mask, targets``; ``input_ids`` holds the prompt only."""
     _known(objective, opts)
-    row = _row(objective, opts)
+    row = _row(objective, opts, "validation")
     build = VALIDATION[opts.variant].get(objective, _teacherforcing)
-    rows = encoded_rows(df, objective, opts)
+    rows = encoded_rows(df, objective, opts, "validation")
     if opts.variant == "v1":
         rows = rows.filter(_complete(objective, "validation"))
     if opts.variant == "v1" and objective == "error_detection":
@@ -427,12 +428,12 @@ def rejected(df: DataFrame, objective: str, opts: PrepOptions, split: str) -> Da
     """Rows :func:`examples` leaves out, as ``row id, reason``."""
     _, rejects = split_prompt_target(df, opts.text_column, "=")
     out = rejects.select(opts.row_id, F.lit("parts").alias("reason"))
-    rows = encoded_rows(df, objective, opts)
+    rows = encoded_rows(df, objective, opts, split)
     whole = F.coalesce(_complete(objective, split), F.lit(False))
     if split == "train" or opts.variant == "v1":
         out = out.unionByName(rows.filter(~whole).select(opts.row_id, F.lit("wrong_path").alias("reason")))
     if opts.variant == "v1" and objective == "error_detection" and split != "train":
-        bad = rows.filter(whole & ~_error_detection_possible(_row(objective, opts)))
+        bad = rows.filter(whole & ~_error_detection_possible(_row(objective, opts, split)))
         out = out.unionByName(bad.select(opts.row_id, F.lit("target").alias("reason")))
     return out
 
