@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,7 +18,9 @@ MARKED_WORDS = 50_000  # words with a mark behind them that are kept for a while
 _MARKS = (",", ".")
 _BYTES = ByteLevel(add_prefix_space=False, use_regex=False)
 _SHOWN = {c: _BYTES.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}  # as the vocabulary shows them
-_PROBE = "The quick, ÀÉßñ über 1234 naïve. fjörð don't ÿþý"
+_PROBE = "The quick, ÀÉßñ über 1234 naïve. fjörð don't ÿþý (x-1):***\"Éa's,'Llb' C3$.5!?"
+# What the tokenizer merges apart: lower-cased words of Latin-1 letters, digits and ASCII marks.
+_PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
 
 
 def _plain(body: str) -> bool:
@@ -25,12 +28,22 @@ def _plain(body: str) -> bool:
     return body.isalpha() and (body.isascii() or max(body) <= "\xff")
 
 
+def _pieces(word: str) -> list[str]:
+    """The parts that the tokenizer merges apart; none for a word that it has to cut up itself."""
+    if _plain(word):
+        return [word.lower()]
+    if "<|" in word or max(word, default="\u0100") > "\xff":  # may hold a special token, or compose
+        return []
+    found = _PIECE.findall(word.lower())
+    return found if sum(map(len, found)) == len(word) else []
+
+
 class _Words(dict):
     """Ids of words as bytes, learnt when first met."""
 
     def __init__(self, tokenizer: Tokenizer, old: dict[str, bytes]):
         super().__init__()
-        self._tokenizer, self._old = tokenizer, old
+        self._tokenizer, self._model, self._old = tokenizer, tokenizer.model, old
         self.marked: list[str] = []
         self.held = 0  # bytes of the words learnt
 
@@ -41,12 +54,12 @@ class _Words(dict):
     def _learn(self, word: str) -> bytes:
         """Ids of a word, from the old generation or by merging."""
         if (ids := self._old.get(word)) is None:
-            if _plain(word):
-                shown = word.lower()
-                if not shown.isascii():
-                    shown = shown.translate(_SHOWN)
-                merged = self._tokenizer.model.tokenize(shown)
-                ids = b"".join([t.id.to_bytes(4, "little") for t in merged])
+            pieces = _pieces(word)
+            if len(pieces) == 1:
+                shown = pieces[0] if pieces[0].isascii() else pieces[0].translate(_SHOWN)
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(shown)])
+            elif pieces:
+                ids = b"".join([self[piece] for piece in pieces])
             else:
                 whole = self._tokenizer.encode(word, add_special_tokens=False).ids
                 ids = np.array(whole, dtype="<u4").tobytes()
