@@ -27,16 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _edges(path: Column, text: Column) -> Column:
-    """Pairs of neighbours as ``a,b``; of a pair with a null only the other one is left.
+    """Pairs of neighbours as ``{a, b}``; of a pair with a null only the other one is left.
 
-    Nodes are numbers. A path without nulls is cut up as ``text``, its nodes joined by commas, which
-    costs less than a lambda; ``_`` stands for nulls in it.
+    Nodes are numbers. The pairs of a path without nulls are cast as a whole, which costs less than a
+    lambda; ``_`` stands for nulls in its ``text``.
     """
-    doubled = F.split(F.regexp_replace(text, "([^,]*),(?=([^,]*))", "$1,$2|"), "[|]")
     steps = F.slice(path, F.lit(2), F.size(path) - 1)
-    told = F.transform(steps, lambda b, i: F.concat_ws(",", F.element_at(path, i + 1), b))
-    whole = F.slice(doubled, F.lit(1), F.size(path) - 1)
-    return F.when(F.contains(text, F.lit("_")), told).otherwise(whole)
+    pair = lambda b, i: F.concat(F.lit("{"), F.concat_ws(", ", F.element_at(path, i + 1), b), F.lit("}"))
+    whole = F.arrays_zip(F.slice(path, F.lit(1), F.size(path) - 1), steps).cast("array<string>")
+    return F.when(F.contains(text, F.lit("_")), F.transform(steps, pair)).otherwise(whole)
 
 
 def _long_segments(lines: DataFrame, orders: DataFrame) -> DataFrame:
@@ -93,7 +92,7 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [_edges(F.col(p), F.col(f"{p}_text")) for p in ("path", "wrong0")]
     # Edges are told with their owner, ``id|a,b``, to be hashed as they are; ``#`` is in no edge.
     owner = F.coalesce(F.concat(F.col("id").cast("string"), F.lit("|")), F.lit(""))
-    edges = F.array_join(F.array_distinct(F.concat(*pairs)), "#")
+    edges = F.translate(F.array_join(F.array_distinct(F.concat(*pairs)), "#"), "{} ", "")
     paths = paths.withColumns({"edges": edges, "owner": owner})
     owned = F.concat("owner", F.replace(F.col("edges"), F.lit("#"), F.concat(F.lit("#"), "owner")))
     paths = computed_once(paths, edges=F.when(F.size("path") > 1, F.split(owned, "#")).otherwise(F.array()))

@@ -23,6 +23,7 @@ NUMERAL_V1_SYMBOLS = "|=/$?&*-+><[](){};."
 NUMERAL_V0_SYMBOLS = "|=/$"
 LEGO_SYMBOLS = "abcdefghijklmnopqrstuvwxyz+-1|=?/$:TF"
 NUMERAL_IGNORED = ":"  # has id -1
+SEPARATORS = "|/="  # stand singly between the numbers of a line
 UNKNOWN_TEXT = "<|unk|>"
 # Separator clean-up when numeral tokens become text, applied in this order.
 NUMERAL_JOINS = [(",|,", "|"), (",/,", "/"), (",=", "="), ("=,", "="), (",:", ":")]
@@ -169,8 +170,23 @@ def encode_tokens(tokens: Column, vocab: Vocab) -> Column:
 
 
 def encode(text: Column, vocab: Vocab) -> Column:
-    """Text to ``array<int>``; unknown tokens become null."""
-    return encode_tokens(tokenize(text), vocab)
+    """Text to ``array<int>``; unknown tokens become null.
+
+    Most numeral lines are known numbers with one separator between them. Their separators become
+    ids in the text, which is then cut and cast as a whole; others are looked up token by token.
+    """
+    each = encode_tokens(tokenize(text), vocab)
+    separators = [s for s in SEPARATORS if s in vocab.symbols]
+    if vocab.numbers not in range(10, 101, 10) or "=" not in separators:
+        return each
+    number = f"[1-{vocab.numbers // 10 - 1}]?[0-9]" if vocab.numbers > 10 else "[0-9]"
+    # Possessive, so that the matcher needs no stack for long lines.
+    regular = f"^{number}(?:[,{''.join(separators)}]{number})*+=?\\z"
+    told = text
+    for symbol in separators:
+        told = F.replace(told, F.lit(symbol), F.lit(f",{vocab.id_of(symbol)},"))
+    whole = F.split(F.rtrim(told, F.lit(",")), ",").try_cast("array<int>")
+    return F.when(F.rlike(text, F.lit(regular)), whole).otherwise(each)
 
 
 def ids_to_tokens(ids: Column, vocab: Vocab) -> Column:
