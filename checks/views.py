@@ -5,7 +5,7 @@ See FIXTURES.md for the recipes. Every view covers its whole source table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqprep.functions import vectors as vec
@@ -26,18 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _edges(path: Column, text: Column) -> Column:
-    """Pairs of neighbours as ``{a, b}``; of a pair with a null only the other one is left.
-
-    Nodes are numbers. The pairs of a path without nulls are cast as a whole, which costs less than a
-    lambda; ``_`` stands for nulls in its ``text``.
-    """
-    steps = F.slice(path, F.lit(2), F.size(path) - 1)
-    pair = lambda b, i: F.concat(F.lit("{"), F.concat_ws(", ", F.element_at(path, i + 1), b), F.lit("}"))
-    whole = F.arrays_zip(F.slice(path, F.lit(1), F.size(path) - 1), steps).cast("array<string>")
-    return F.when(F.contains(text, F.lit("_")), F.transform(steps, pair)).otherwise(whole)
-
-
 def _long_segments(lines: DataFrame, orders: DataFrame) -> DataFrame:
     """Lines of the long ``orders`` with their segment: numbered by ranges of the sort key, so an
     order of any size is cut up without meeting in one task. Equal lines are told apart by a count.
@@ -53,6 +41,34 @@ def _long_segments(lines: DataFrame, orders: DataFrame) -> DataFrame:
     return numbered.join(firsts, "l_orderkey").select(*keys, segment.alias("segment"))
 
 
+def _in_order(cut: DataFrame) -> DataFrame:
+    """``l_orderkey, segment, lines``: the sorted lines of each segment, each with its nodes and edges.
+
+    Rows move once and are sorted once. A line sees the one before it, and the first one of a segment the
+    others. Only lines without a key, which are not cut up, may be more than a segment has.
+    """
+    node = lambda key: (F.col(key) % 50).cast("string")
+    edge = lambda a, b: F.when(F.col("_at") > 1, F.concat_ws(",", a, b))
+    in_order = Window.partitionBy("l_orderkey", "segment").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    before = {f"_{k}": F.lag(k).over(in_order) for k in ("l_partkey", "l_suppkey")}
+    steps = cut.withColumns({"_at": F.row_number().over(in_order), **before})
+    wrong_from = F.when(F.col("_at") == 2, node("_l_partkey")).otherwise(node("_l_suppkey"))
+    line = F.struct(
+        node("l_partkey").alias("path"),
+        node("l_suppkey").alias("tail"),
+        edge(node("_l_partkey"), node("l_partkey")).alias("edge"),
+        edge(wrong_from, node("l_suppkey")).alias("wrong_edge"),
+    )
+    steps = steps.withColumn("line", line)
+    ahead = F.collect_list("line").over(in_order.rowsBetween(Window.currentRow, SEGMENT - 1))
+    keyed = steps.filter(F.col("l_orderkey").isNotNull()).withColumn("lines", ahead)
+    kept = ("l_orderkey", "segment", "lines")
+    others = steps.filter(F.col("l_orderkey").isNull()).groupBy("l_orderkey", "segment").agg(
+        F.sort_array(F.collect_list(F.struct("_at", "line")))["line"].alias("lines")
+    )
+    return keyed.filter(F.col("_at") == 1).select(*kept).unionByName(others.select(*kept))
+
+
 def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph lines from all order lines: ``id, text, len_target, wrong_path``.
 
@@ -71,36 +87,23 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
         "segment", F.lit(0).cast("bigint")
     )
     cut = whole.unionByName(_long_segments(lines, long))
-    # A group holds one segment: lines sorted by the struct's fields in turn.
-    orders = cut.groupBy("l_orderkey", "segment").agg(
-        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines")
-    )
-    nodes = lambda keys: F.transform(keys, lambda k: k % 50).cast("array<string>")
+    orders = _in_order(cut)
+    first = F.array(F.element_at("lines.path", 1))
+    later = lambda field: F.slice(f"lines.{field}", F.lit(2), F.size("lines") - 1)
+    tail, edges = later("tail"), F.array_distinct(F.concat(later("edge"), later("wrong_edge")))
+    id_ = F.col("l_orderkey") + F.col("segment") * SEGMENT_ID
     paths = orders.select(
-        (F.col("l_orderkey") + F.col("segment") * SEGMENT_ID).alias("id"),
-        nodes("lines.l_partkey").alias("path"),
-        nodes(F.slice("lines.l_suppkey", F.lit(2), F.size("lines") - 1)).alias("tail"),
+        id_.alias("id"),
+        F.coalesce(F.concat(id_.cast("string"), F.lit("|")), F.lit("")).alias("owner"),
+        F.col("lines.path").alias("path"),
+        F.concat(first, tail).alias("wrong0"),
+        F.concat(first, F.reverse(tail)).alias("wrong1"),
+        edges.alias("edges"),
     )
-    first = F.array(F.element_at("path", 1))
-    paths = paths.select(
-        "id",
-        "path",
-        F.concat(first, "tail").alias("wrong0"),
-        F.concat(first, F.reverse("tail")).alias("wrong1"),
-    )
-    paths = paths.withColumns({f"{p}_text": F.array_join(p, ",", "_") for p in ("path", "wrong0")})
-    pairs = [_edges(F.col(p), F.col(f"{p}_text")) for p in ("path", "wrong0")]
-    # Edges are told with their owner, ``id|a,b``, to be hashed as they are; ``#`` is in no edge.
-    owner = F.coalesce(F.concat(F.col("id").cast("string"), F.lit("|")), F.lit(""))
-    edges = F.translate(F.array_join(F.array_distinct(F.concat(*pairs)), "#"), "{} ", "")
-    paths = paths.withColumns({"edges": edges, "owner": owner})
-    owned = F.concat("owner", F.replace(F.col("edges"), F.lit("#"), F.concat(F.lit("#"), "owner")))
-    paths = computed_once(paths, edges=F.when(F.size("path") > 1, F.split(owned, "#")).otherwise(F.array()))
-    keyed = F.transform("edges", lambda e: F.struct(F.md5(e).alias("k"), e.alias("e")))
-    told = F.concat(F.lit("#"), F.array_join(F.sort_array(keyed)["e"], "#"))
-    edge_text = F.substr(F.replace(told, F.concat(F.lit("#"), "owner"), F.lit("|")), F.lit(2))
+    paths = computed_once(paths, edges=F.col("edges"))
+    keyed = F.transform("edges", lambda e: F.struct(F.md5(F.concat("owner", e)).alias("k"), e.alias("e")))
     text = F.concat(
-        edge_text,
+        F.array_join(F.sort_array(keyed)["e"], "|"),
         F.lit("/"),
         F.element_at("path", 1),
         F.lit(","),
