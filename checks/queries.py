@@ -342,7 +342,7 @@ def _train(objective: str, opts: PrepOptions = OPTS) -> Query:
 def _validation(objective: str, opts: PrepOptions = OPTS) -> Query:
     def run(spark, sf_dir):
         rows = views.star(spark, sf_dir)
-        longest = objectives.max_target_length(rows) if opts.variant == "v1" else None
+        longest = objectives.max_target_length(views.star_lengths(spark, sf_dir)) if opts.variant == "v1" else None
         return flat(objectives.examples(rows, objective, opts, "validation", longest))
 
     return run
@@ -409,7 +409,7 @@ def rejects_error_detection(spark, sf_dir):
 def ex_malformed(spark, sf_dir):
     """Error-detection rows of a table with malformed lines."""
     rows = malformed(views.star(spark, sf_dir))
-    longest = objectives.max_target_length(rows)
+    longest = objectives.max_target_length(views.star_lengths(spark, sf_dir))
     return flat(objectives.examples(rows, "error_detection", OPTS, "validation", longest))
 
 

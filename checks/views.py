@@ -17,6 +17,7 @@ from seqprep.sources.files import staged
 
 SEGMENT = 12  # order lines of a path at most
 SEGMENT_ID = 1 << 40  # between the ids of an order's segments
+BLOCK = 100_000  # segments told at a time
 PRED_WIDTH = SEGMENT + 1
 CHAIN = 8  # vector entries of a chain
 SEED = 42
@@ -119,6 +120,28 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def star_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, len_target`` of the rows of :func:`star`, from the number of lines of each order alone.
+
+    Lines are neither moved nor sorted for it. The segments of an order are told block by block, so
+    that no array grows with it.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    sizes = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    last = F.when(F.col("l_orderkey").isNull(), 0).otherwise(F.expr(f"(n - 1) div {SEGMENT}"))
+    blocks = sizes.withColumn("last", last.cast("bigint")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), "last", F.lit(BLOCK).cast("bigint")))
+    )
+    end = F.least(F.col("last"), F.col("block") + (BLOCK - 1))
+    segments = blocks.withColumn("segment", F.explode(F.sequence("block", end)))
+    left = F.col("n") - F.col("segment") * SEGMENT
+    length = F.when(F.col("l_orderkey").isNull(), left).otherwise(F.least(left, F.lit(SEGMENT)))
+    return segments.select(
+        (F.col("l_orderkey") + F.col("segment") * SEGMENT_ID).alias("id"),
+        length.cast("int").alias("len_target"),
+    )
+
+
 def shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, query, target, steps, trace`` from the star view."""
     parts = F.split("text", "=")
